@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from ledgerline.llm.bpe_codec import op5_bpe_codec
+from ledgerline.llm.chat_windows import op2_chat_windows
 from ledgerline.llm.packed_ids import op1_packed_ids
+from ledgerline.llm.quality_pu import op8_quality_pu
+from ledgerline.llm.secrets_crf import op6_secrets_crf
 
 
 def queries() -> dict:
-    return {"op1_packed_ids": op1_packed_ids, "op5_bpe_codec": op5_bpe_codec}
+    return {
+        "op1_packed_ids": op1_packed_ids,
+        "op2_chat_windows": op2_chat_windows,
+        "op5_bpe_codec": op5_bpe_codec,
+        "op6_secrets_crf": op6_secrets_crf,
+        "op8_quality_pu": op8_quality_pu,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
