@@ -17,14 +17,15 @@ text; an empty table gives no files and an empty result; further columns of the
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -39,14 +40,21 @@ MAGIC = b"S8BW0001"
 FILE_IDS = 4_000_000
 
 
+_WIDTHS = np.array([max(1, int(x).bit_length()) for x in range(65_536)], np.uint8)
+#: For each count of ids, two smaller counts' starts whose runs cover it: (count, run, shift).
+_COVERS = [(2, 1, 1), (3, 2, 1), (4, 2, 2), (5, 4, 1), (6, 4, 2), (7, 4, 3), (8, 4, 4), (10, 8, 2), (12, 8, 4), (15, 8, 7), (20, 15, 5), (30, 15, 15), (60, 30, 30)]
+
+
 def _width(values: np.ndarray) -> np.ndarray:
     """Bits of each value, 1 at least."""
-    out = np.ones(len(values), np.int64)
-    for shift in (32, 16, 8, 4, 2, 1):
-        big = (values >> np.uint64(shift)) > 0
-        out[big] += shift
-        values = np.where(big, values >> np.uint64(shift), values)
-    return out
+    if values.dtype == np.uint16:
+        return _WIDTHS[values]
+    values = values.astype(np.uint64)
+    out = np.zeros(len(values), np.uint8)
+    for part in range(4):
+        low = (values >> np.uint64(16 * part)).astype(np.uint16)
+        np.copyto(out, _WIDTHS[low] + np.uint8(16 * part), where=low > 0)
+    return np.maximum(out, 1)
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -54,35 +62,31 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    ids = ids.astype(np.uint64)
-    width = _width(ids)
+    widest = {1: np.concatenate([_width(ids), np.zeros(60, np.uint8)])}  # the most bits of any id in the run that starts at each place
+    for count, run, shift in _COVERS:
+        most = widest[run].copy()
+        np.maximum(most[:-shift], widest[run][shift:], out=most[:-shift])
+        widest[count] = most
     best = np.full(n, ESCAPE, np.int8)  # the selector of a word that starts at each id: the first that fits
-    room = block - np.arange(n) % block
-    room = np.minimum(room, n - np.arange(n))
+    room = np.minimum(block - np.arange(n, dtype=np.int32) % block, n - np.arange(n, dtype=np.int64)).astype(np.int16 if block < 2**15 else np.int64)
     for selector in range(len(SELECTORS) - 1, -1, -1):
         count, bits = SELECTORS[selector]
-        over = np.concatenate([[0], np.cumsum(width > bits)])
-        fits = np.zeros(n, bool)
-        if n >= count:
-            fits[: n - count + 1] = over[count:] == over[: n - count + 1]
-        best[fits & (room >= count)] = selector
-    step = np.array([c for c, _ in SELECTORS] + [1, 1], np.int64)
+        best[(widest[count][:n] <= bits) & (room >= count)] = selector
+    del widest
+    ids = ids.astype(np.uint64)
+    step = np.array([c for c, _ in SELECTORS] + [1, 1], np.int64)[best]
     n_blocks = -(-n // block)
     at = np.arange(n_blocks) * block
     ends = np.minimum(at + block, n)
     live = np.arange(n_blocks)
-    starts, owner, order = [], [], []
-    turn = 0
+    used = np.zeros(n, bool)  # where words start
     while len(live):  # one word of every block that has ids left
-        starts.append(at[live])
-        owner.append(live)
-        order.append(np.full(len(live), turn))
-        at[live] += step[best[at[live]]]
-        live = live[at[live] < ends[live]]
-        turn += 1
-    starts, owner, order = map(np.concatenate, (starts, owner, order))
-    by = np.lexsort((order, owner))
-    starts, owner = starts[by], owner[by]
+        here = at[live]
+        used[here] = True
+        here += step[here]
+        at[live] = here
+        live = live[here < ends[live]]
+    starts = np.flatnonzero(used)
     chosen = best[starts].astype(np.int64)
     size = np.where(chosen == ESCAPE, 2, 1)
     place = np.cumsum(size) - size
@@ -98,7 +102,7 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     if len(mine):
         words[place[mine]] = np.uint64(ESCAPE << 60)
         words[place[mine] + 1] = ids[starts[mine]]
-    first = np.searchsorted(owner, np.arange(n_blocks))
+    first = np.searchsorted(starts, np.arange(n_blocks) * block)
     return words, place[first].astype(np.uint64)
 
 
@@ -153,45 +157,56 @@ def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 # ---- the tokenizer ---------------------------------------------------------------------------------
 
-#: Any whitespace but a plain space or line feed, and the mark of first pieces; texts with these, or with two spaces in a
-#: row, go to the library whole.
-_ODD_SPACE = regex.compile(r"[^\S \n]|[\x00\x1c-\x1f]|  |\n | \n")
+#: Whitespace other than a plain space or line feed, neighbours of whitespace, and the mark of first pieces. Texts with
+#: any of these go to the library whole.
+_ODD = ["  ", "\n ", " \n", "\n\n", "\t", "\r", "\v", "\f", "\0", "\x1c", "\x1d", "\x1e", "\x1f"]
+_ODD_WIDE = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_RUN_OF_MARKS = re.compile(r"[\W_][.,](?:[ \n]|\Z)")
 
 
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, which sees each distinct piece once.
 
-    Byte-level pre-tokenization starts a new match at every space that follows a non-space. So where single spaces
-    divide a text, the pieces from one space to the next encode alone as they do inside the text. Texts with other
-    whitespace are given to the library whole. The ids of at most `keep` pieces are remembered.
+    Byte-level pre-tokenization starts a new match at every space that follows a non-space, before and after a lone line
+    feed between non-spaces, and where a letter or digit is followed by one full stop or comma and then a space or line
+    feed. So the pieces between such places encode alone as they do inside the text. Texts with other whitespace are
+    given to the library whole. The ids of the pieces seen last, twice `keep` at most, are remembered.
     """
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4"
         self.keep = keep
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = self.kind[1:] == "u2" and "H" or "I"  # little-endian machines, as Spark's executors are
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, self.kind)
-        if _ODD_SPACE.search(text) or text[0] == " ":
+        if text[0] in " \n" or text[-1] == "\n" or any(x in text for x in _ODD) or not text.isascii() and any(x in text for x in _ODD_WIDE):
             return np.frombuffer(self._library([text])[0], self.kind)
-        parts = text.split(" ")
-        parts[0] = "\0" + parts[0]  # the first piece has no space before it
+        if len(self.known) > self.keep:
+            self.known, self.older = {"": b""}, self.known
+        if not _RUN_OF_MARKS.search(text):
+            for mark in (". ", ", ", ".\n", ",\n"):
+                text = text.replace(mark, "\0" + mark)
+        parts = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
         found = list(map(self.known.get, parts))
         if None in found:
-            if len(self.known) > self.keep:
-                self.known.clear()
-                found = [None] * len(parts)
-            missing = list({p for p, x in zip(parts, found) if x is None})
-            self.known.update(zip(missing, self._library([p[1:] if p[:1] == "\0" else " " + p for p in missing])))
-            found = list(map(self.known.__getitem__, parts))
+            holes = [i for i, x in enumerate(found) if x is None]
+            missing = {parts[i] for i in holes}
+            back = {p: ids for p in missing if (ids := self.older.get(p)) is not None}
+            new = list(missing - back.keys())
+            back.update(zip(new, self._library(new)))
+            self.known.update(back)
+            for i in holes:
+                found[i] = back[parts[i]]
         return np.frombuffer(b"".join(found), self.kind)
 
 
