@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Shingles of near-duplicate operators: words in one shingle, least similarity in percent.
@@ -129,6 +129,13 @@ def with_range_bucket(df: DataFrame, key: str, buckets: int, name: str = "bucket
     ends = sorted(set(found or []))
     if not ends:
         return df.withColumn(name, F.lit(0)), ends
-    array = F.array(*[F.lit(int(x)) for x in ends])
-    # width of a binary search in native terms: ends below the key
-    return df.withColumn(name, F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.aggregate(array, F.lit(0), lambda n, x: n + (x < F.col(key)).cast("int")))), ends
+    return df.withColumn(name, F.when(F.col(key).isNull(), F.lit(0)).otherwise(_ends_below(F.col(key), ends))), ends
+
+
+def _ends_below(key: Column, ends: list[int]) -> Column:
+    """How many of the ascending ends are below the key: by groups of ends first, then inside one group."""
+    group = max(1, int(len(ends) ** 0.5))
+    as_array = lambda xs: F.array(*[F.lit(int(x)) for x in xs])
+    below = lambda array: F.aggregate(array, F.lit(0), lambda n, x: n + (x < key).cast("int"))
+    groups = F.greatest(below(as_array(ends[::group])), F.lit(1))  # groups whose first end is below; the last of them is looked into
+    return (groups - 1) * group + below(F.slice(as_array(ends), (groups - 1) * group + 1, group))

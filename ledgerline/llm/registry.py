@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from ledgerline.llm.bpe_codec import op5_bpe_codec
 from ledgerline.llm.chat_windows import op2_chat_windows
+from ledgerline.llm.decontaminate import op7_decontaminate
+from ledgerline.llm.jaccard_trees import op3_jaccard_trees
+from ledgerline.llm.license_scan import op9_license_scan
 from ledgerline.llm.packed_ids import op1_packed_ids
 from ledgerline.llm.quality_pu import op8_quality_pu
 from ledgerline.llm.secrets_crf import op6_secrets_crf
+from ledgerline.llm.syncmers import op4_syncmers
 
 
 def queries() -> dict:
     return {
         "op1_packed_ids": op1_packed_ids,
         "op2_chat_windows": op2_chat_windows,
+        "op3_jaccard_trees": op3_jaccard_trees,
+        "op4_syncmers": op4_syncmers,
         "op5_bpe_codec": op5_bpe_codec,
         "op6_secrets_crf": op6_secrets_crf,
+        "op7_decontaminate": op7_decontaminate,
         "op8_quality_pu": op8_quality_pu,
+        "op9_license_scan": op9_license_scan,
     }
 
 
