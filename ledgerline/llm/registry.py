@@ -9,6 +9,7 @@ from ledgerline.llm.jaccard_trees import op3_jaccard_trees
 from ledgerline.llm.license_scan import op9_license_scan
 from ledgerline.llm.packed_ids import op1_packed_ids
 from ledgerline.llm.quality_pu import op8_quality_pu
+from ledgerline.llm.repeated_passages import op10_repeated_passages
 from ledgerline.llm.secrets_crf import op6_secrets_crf
 from ledgerline.llm.syncmers import op4_syncmers
 
@@ -24,6 +25,7 @@ def queries() -> dict:
         "op7_decontaminate": op7_decontaminate,
         "op8_quality_pu": op8_quality_pu,
         "op9_license_scan": op9_license_scan,
+        "op10_repeated_passages": op10_repeated_passages,
     }
 
 
