@@ -9,7 +9,7 @@
    sizes and the most collisions of any of their bitmaps. Two nodes are traversed together and dropped when the bits that
    they share plus those collisions are fewer than the overlap that their least sizes need, or when their sizes are too
    far apart; the bound never drops a linked pair.
-4. First each set is verified against one partner of each group; the links give first components. Then the trees are
+4. First each set is verified against one partner of each group, by a few rankings; the links give first components. Then the trees are
    traversed again, dropping nodes that lie in one component, and all pairs between components are verified. So no link
    between components is lost, and a group of many near copies is never written out as pairs.
 5. Verification compares whole sets, streamed by the pair's first member.
@@ -39,7 +39,8 @@ OFTEN = 200_000
 OFTEN_IN_CHUNK = 8
 CHUNK_SHINGLES = 2_000_000
 GROUP = 4096
-BITS = 1024
+BITS = 2048
+RANKINGS = 8
 FAN = 8
 LEAF = 16
 
@@ -276,7 +277,9 @@ def tree_pairs(groups: DataFrame, partners: bool) -> DataFrame:
             for i, j in joined(one, two, len(trees) == 1):
                 yield a[i], b[j]
             return
-        rank_a, rank_b = ((k.view(np.uint64) ^ np.uint64(grp & (2**64 - 1))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1) for k in (a, b))
+        # one of a few rankings for each group: a set has the same partners in most of its groups, so few pairs in all
+        seed = np.uint64((grp % RANKINGS + 1) * 0xD1B54A32D192ED03 % 2**64)
+        rank_a, rank_b = ((k.view(np.uint64) ^ seed) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1) for k in (a, b))
         none = np.uint64(2**64 - 1)
         best_a, who_a = np.full(len(a), none), np.zeros(len(a), np.int64)
         best_b, who_b = (best_a, who_a) if len(trees) == 1 else (np.full(len(b), none), np.zeros(len(b), np.int64))
