@@ -1,24 +1,477 @@
-"""The named queries over the driver's tables, each with the SQL that must give the same rows."""
+"""The named queries over the driver's tables, each with the SQL that must give the same rows.
+
+The tables stand in for the engine's inputs: documents for fetched documents, benchmark for claimed spans, pages for
+landed HTML, labels for annotations, events for run telemetry, orders for amounts. Rules that find nothing in this corpus
+run on the inline texts of `plans.fixtures` instead, so that no agreement is about empty results.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.functions import constants as C
+from ledgerline.functions import text as T
+from ledgerline.functions import urls as U
+from ledgerline.functions.similarity import similarity
+from ledgerline.operators import facts as X
+from ledgerline.operators import health, matching, review, scoring, style
+from ledgerline.plans import fixtures
+from ledgerline.sources import documents as D
+from ledgerline.sources import html as H
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def provenance_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("span"))
-    return docs.join(F.broadcast(spans), F.contains("text", "span")).select("doc_id", "item_id")
+def query(sql: str | None = None) -> Callable:
+    def put(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# ---- provenance -----------------------------------------------------------------------------------------
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source_text"))
+
+
+def contained_spans(docs: DataFrame, spans: DataFrame, word: int = 8) -> DataFrame:
+    """(doc_id, item_id) of spans that stand verbatim in documents, found by a shared word.
+
+    Every span names its longest whole word; only documents with that word are tested, so the join has a key and neither
+    side is broadcast. Spans without an inner word of some length are tested against all documents.
+    """
+    inner = F.filter(F.slice(F.split("source_text", r"[^\p{L}]+"), 2, 10_000), lambda w: F.char_length(w) >= word)
+    inner = F.when(F.size(F.split("source_text", r"[^\p{L}]+")) > 2, F.slice(inner, F.lit(1), F.greatest(F.size(inner) - 1, F.lit(0)))).otherwise(F.array())
+    keyed = spans.withColumn("anchor", F.get(F.sort_array(F.transform(inner, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"])
+    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.filter(F.split("text", r"[^\p{L}]+"), lambda w: F.char_length(w) >= word))).alias("anchor"))
+    wanted = keyed.where("anchor IS NOT NULL").select("anchor").distinct()
+    hits = words.select("doc_id", "anchor").join(wanted, "anchor", "left_semi")
+    by_word = hits.join(keyed, "anchor").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "source_text")).select("doc_id", "item_id")
+    rest = keyed.where("anchor IS NULL").join(docs.select("doc_id", "text"), F.contains("text", "source_text")).select("doc_id", "item_id")
+    return by_word.unionByName(rest)
+
+
+@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def provenance_verify(spark, sf_dir):
+    return contained_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), _spans(spark, sf_dir))
+
+
+@query("""SELECT count(*) AS claims, CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS hallucinated,
+round(CAST(count(*) FILTER (WHERE NOT ok) AS DOUBLE) / count(*), 6) AS rate
+FROM (SELECT b.item_id, bool_or(coalesce(contains(d.text, b.text), false)) AS ok FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id)""")
+def hallucination_rate(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    found = contained_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), spans).select("item_id", F.lit(True).alias("ok")).distinct()
+    df = spans.join(found, "item_id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    return df.agg(F.count("*").alias("claims"), F.count_if(~F.col("ok")).alias("hallucinated"), F.round(F.count_if(~F.col("ok")) / F.count("*"), 6).alias("rate"))
+
+
+@query("""SELECT d.doc_id, b.item_id, CASE WHEN p > 81 THEN '...' ELSE '' END || substr(d.text, greatest(p - 80, 1), least(p + length(b.text) - 1 + 80, length(d.text)) - greatest(p - 80, 1) + 1)
+|| CASE WHEN p + length(b.text) - 1 + 80 < length(d.text) THEN '...' ELSE '' END AS context
+FROM (SELECT doc_id, text FROM documents) d JOIN benchmark b ON contains(d.text, b.text), LATERAL (SELECT strpos(d.text, b.text) AS p) q""")
+def context_snippet(spark, sf_dir):
+    docs, spans = table(spark, sf_dir, "documents").select("doc_id", "text"), _spans(spark, sf_dir)
+    pairs = contained_spans(docs, spans).join(docs, "doc_id").join(spans, "item_id")
+    return pairs.select("doc_id", "item_id", T.context_snippet(F.col("text"), F.col("source_text")).alias("context"))
+
+
+# ---- URLs, pages, documents -------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, substr(sha256(url), 1, 16) AS address FROM pages")
+def content_address(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", U.content_address(F.col("url")).alias("address"))
+
+
+@query("SELECT substr(sha256(url), 1, 16) AS address, count(*) AS requests FROM pages WHERE page_id % 3 <> 0 AND substr(sha256(url), 1, 16) NOT IN (SELECT substr(sha256(url), 1, 16) FROM pages WHERE page_id % 3 = 0) GROUP BY 1")
+def fetch_dedupe(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", U.content_address(F.col("url")).alias("address"))
+    stored, wanted = pages.where("page_id % 3 = 0"), pages.where("page_id % 3 <> 0")
+    return D.missing(wanted, stored).select("address").join(wanted.groupBy("address").agg(F.count("*").alias("requests")), "address")
+
+
+@query("SELECT page_id, coalesce(nullif(lower(regexp_extract(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '[^/](\\.[^./]+)$', 1)), ''), '.bin') AS extension FROM pages")
+def extension_infer(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", U.extension(F.col("url")).alias("extension"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1) AS host, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) AS base FROM pages")
+def url_host(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", U.host(F.col("url")).alias("host"), U.base_url(F.col("url")).alias("base"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages")
+def html_title(spark, sf_dir):
+    df = H.parsed_pages(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return df.select("page_id", F.col("page.title").alias("title"))
+
+
+@query("SELECT p.page_id, CAST(len(regexp_extract_all(html, '<a\\s[^>]*href=', 0)) AS BIGINT) AS links FROM pages p")
+def html_links(spark, sf_dir):
+    df = H.parsed_pages(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return df.select("page_id", F.size(F.filter("page.links", lambda x: x["href"].isNotNull())).cast("long").alias("links"))
+
+
+@query("""SELECT host, CASE WHEN regexp_matches(host, '(?i)[02468]\\.') THEN 'even' WHEN regexp_matches(host, '(?i)[13579]\\.') THEN 'odd' END AS kind, count(*) AS n
+FROM (SELECT regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1) AS host FROM pages) GROUP BY 1, 2""")
+def platform_cascade(spark, sf_dir):
+    host = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("host"))
+    kind = F.coalesce(F.when(F.col("host").rlike(r"(?i)[02468]\."), "even"), F.when(F.col("host").rlike(r"(?i)[13579]\."), "odd"))
+    return host.groupBy("host", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT url, CASE WHEN regexp_matches(url, '(?i)legistar\\.com') THEN 'legistar' WHEN regexp_matches(url, '(?i)granicus\\.com') THEN 'granicus' WHEN regexp_matches(url, '(?i)civicplus') THEN 'civicplus'
+WHEN regexp_matches(url, '(?i)iqm2\\.com') THEN 'iqm2' END AS platform FROM (VALUES ('https://a.legistar.com/Calendar.aspx'), ('https://B.Granicus.com/x'), ('https://www.civicplusmedia.com/'), ('http://c.iqm2.com'), ('https://example.org/none')) t(url)""")
+def platform_detect(spark, sf_dir):
+    urls = spark.createDataFrame([(u,) for u in fixtures.URLS], "url string")
+    return urls.select("url", U.platform(F.col("url"), F.lit(None).cast("string")).alias("platform"))
+
+
+@query("SELECT doc_id, length(trim(text, ' \n\t\r')) / 1.0 < 20 AS ocr_required FROM documents")
+def sparse_text_flag(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", D.ocr_required(F.col("text"), F.lit(1)).alias("ocr_required"))
+
+
+# ---- text -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))) AS digest FROM documents")
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS BIGINT) AS words FROM documents")
+def word_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"))
+
+
+@query("SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: trim(p, ' \n\t\r') <> '' AND NOT starts_with(trim(p, ' \n\t\r'), '#'))) AS BIGINT) AS blocks FROM documents")
+def paragraph_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.paragraphs(F.col("text"))).cast("long").alias("blocks"))
+
+
+_ABBR = "|".join(C.ABBREVIATIONS)
+_SENTENCES = f"""list_filter(flatten(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '' AND NOT starts_with(l, '#')),
+lambda l: string_split(regexp_replace(regexp_replace(l, '\\b({_ABBR})\\.', '\\1' || chr(57344), 'g'), '([.!?])\\s+', '\\1' || chr(57345), 'g'), chr(57345)))), lambda s: s <> '')"""
+
+
+@query(f"SELECT doc_id, CAST(len(s) AS BIGINT) AS sentences, CAST(coalesce(list_max(list_transform(s, lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')))), 0) AS BIGINT) AS longest FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)")
+def sentence_lengths(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("sentences"), F.coalesce(F.array_max(F.transform("s", lambda x: T.word_count(x))), F.lit(0)).cast("long").alias("longest"))
+
+
+@query(f"""SELECT doc_id, round(CASE WHEN len(w) = 0 OR len(s) = 0 THEN 0.0 ELSE 0.39 * len(w) / len(s) + 11.8 * CAST(list_sum(list_transform(w, lambda x: greatest(1,
+len(regexp_extract_all(lower(x), '[aeiouy]+', 0)) - CASE WHEN ends_with(lower(x), 'e') AND len(regexp_extract_all(lower(x), '[aeiouy]+', 0)) > 1 THEN 1 ELSE 0 END))) AS DOUBLE) / len(w) - 15.59 END, 6) AS grade
+FROM (SELECT doc_id, {_SENTENCES} AS s, regexp_extract_all(text, '[A-Za-z'']+', 0) AS w FROM documents)""")
+def reading_level(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.reading_grade(F.col("text")), 6).alias("grade"))
+
+
+@query("SELECT doc_id, CASE WHEN length(trim(text)) > 120 THEN rtrim(substr(trim(text), 1, 120)) || '...' ELSE trim(text) END AS snippet FROM documents")
+def snippets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
+
+
+@query("SELECT doc_id, contains(text, '!') AS exclaims, regexp_matches(text, '(?i)\\byou\\b|\\byour\\b') AS addresses, regexp_matches(text, '\\$[0-9,]+') AS amounts FROM documents")
+def text_signals(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.contains(t, F.lit("!")).alias("exclaims"), t.rlike(r"(?iU)\byou\b|\byour\b").alias("addresses"), T.has_amount(t).alias("amounts"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(lower(source), '\\s+', ' ', 'g')) || '/' || replace(lower(lang), ' ', '-') AS slug FROM documents")
+def slugs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", T.normalize(F.col("source")), T.slug(F.col("lang"))).alias("slug"))
+
+
+@query("""SELECT o_orderkey, strftime(date_trunc('month', o_orderdate), '%m/%d/%Y') AS first, strftime(last_day(CAST(o_orderdate AS DATE)), '%m/%d/%Y') AS last FROM orders""")
+def month_ranges(spark, sf_dir):
+    first, last = U.month_range(F.col("o_orderdate"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", first.alias("first"), last.alias("last"))
+
+
+def _digests(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(fixtures.DIGESTS, fixtures.DIGEST_SCHEMA)
+
+
+def _rules(rows: list[tuple]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{r}', '{s}', CAST({n} AS BIGINT))" for i, r, s, n in rows) + ") t(text_id, rule, severity, n)"
+
+
+@query(_rules(fixtures.EXPECTED_FINDINGS))
+def style_findings(spark, sf_dir):
+    return style.check_deterministic(_digests(spark)).groupBy("text_id", "rule", "severity").agg(F.count("*").alias("n"))
+
+
+_PHRASES = " UNION ALL ".join("SELECT '" + p.replace("'", "''") + "' AS p" for p in C.BANNED_PHRASES)
+
+
+@query(f"SELECT doc_id, p AS phrase FROM (SELECT doc_id, lower(text || CASE WHEN doc_id % 7 = 0 THEN ' Notably, of course.' ELSE '' END) AS t FROM documents) d, ({_PHRASES}) q WHERE contains(d.t, q.p)")
+def banned_phrases(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), F.concat("text", F.when(F.col("doc_id") % 7 == 0, " Notably, of course.").otherwise("")).alias("text"))
+    return style.banned(docs).where("excerpt IS NOT NULL").select(F.col("text_id").alias("doc_id"), F.col("excerpt").alias("phrase"))
+
+
+# ---- telemetry as facts and runs ------------------------------------------------------------------------------
+
+
+def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as facts: the type picks the field, value / 500 is the confidence, every 20th span is not verified."""
+    fields = F.array(*map(F.lit, C.FIELD_TYPES))
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("c"), (F.col("user_id") % 50).cast("string")).alias("case_id"), F.element_at(fields, (F.col("event_id") % 4 + 1).cast("int")).alias("field_type"), F.col("event_id").alias("idx"),
+        (F.col("value") / 500).alias("confidence"), (F.col("event_id") % 20 != 0).alias("verified"), F.concat_ws("|", "event_type", F.date_format("ts", "yyyy-MM-dd")).alias("run_id"), F.col("event_type").alias("jurisdiction"), F.date_format("ts", "yyyy-MM-dd").alias("generated_at"))
+
+
+_EVENT_FACTS = """(SELECT 'c' || CAST(user_id % 50 AS VARCHAR) AS case_id, CASE event_id % 4 WHEN 0 THEN 'motions' WHEN 1 THEN 'people' WHEN 2 THEN 'locations' ELSE 'amounts' END AS field_type, event_id AS idx,
+value / 500 AS confidence, event_id % 20 <> 0 AS verified, event_type || '|' || strftime(ts, '%Y-%m-%d') AS run_id, event_type AS jurisdiction, strftime(ts, '%Y-%m-%d') AS generated_at FROM events)"""
+_ROUTED = f"(SELECT *, CASE WHEN confidence >= CASE field_type WHEN 'motions' THEN 0.85 WHEN 'people' THEN 0.95 WHEN 'locations' THEN 0.9 ELSE 0.85 END THEN 'published' ELSE 'queued' END AS route, case_id || '-' || field_type || '-' || CAST(idx AS VARCHAR) AS queue_id FROM {_EVENT_FACTS})"
+
+
+@query(f"SELECT queue_id, route FROM {_ROUTED}")
+def routing_split(spark, sf_dir):
+    return X.routed(event_facts(spark, sf_dir)).select("queue_id", "route")
+
+
+@query(f"""SELECT count(*) FILTER (WHERE s = 'pending') AS pending, count(*) FILTER (WHERE s = 'accepted') AS accepted, count(*) FILTER (WHERE s = 'edited') AS edited, count(*) FILTER (WHERE s = 'rejected') AS rejected, count(*) AS total
+FROM (SELECT CASE idx % 5 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'pending' END AS s FROM {_ROUTED} WHERE route = 'queued')""")
+def queue_summary(spark, sf_dir):
+    status = F.when(F.col("idx") % 5 == 0, "accepted").when(F.col("idx") % 5 == 1, "rejected").otherwise("pending")
+    return review.summary(X.routed(event_facts(spark, sf_dir)).where("route = 'queued'").select(status.alias("status")))
+
+
+@query(f"""WITH q AS (SELECT queue_id, 'pending' AS status, 0 AS version FROM {_ROUTED} WHERE route = 'queued'), c AS (SELECT queue_id, 'accepted' AS status, 1 AS version FROM q WHERE length(queue_id) % 2 = 0 UNION ALL SELECT queue_id, 'rejected', 2 FROM q WHERE length(queue_id) % 3 = 0)
+SELECT status, version, count(*) AS n FROM (SELECT status, version FROM (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY version DESC) AS r FROM (SELECT * FROM q UNION ALL SELECT * FROM c)) WHERE r = 1) GROUP BY 1, 2""")
+def review_upsert(spark, sf_dir):
+    q = X.routed(event_facts(spark, sf_dir)).where("route = 'queued'").select("queue_id", F.lit("pending").alias("status"), F.lit(0).alias("version"))
+    n = F.char_length("queue_id")
+    changed = q.where(n % 2 == 0).select("queue_id", F.lit("accepted").alias("status"), F.lit(1).alias("version")).unionByName(q.where(n % 3 == 0).select("queue_id", F.lit("rejected").alias("status"), F.lit(2).alias("version")))
+    return review.upserted(q, changed).groupBy("status", "version").agg(F.count("*").alias("n"))
+
+
+def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = X.routed(event_facts(spark, sf_dir))
+    published = lambda f: F.count_if((F.col("field_type") == f) & (F.col("confidence") > 0.5))
+    items = facts.groupBy("run_id", "jurisdiction", "generated_at", (F.col("idx") % 9).alias("item")).agg(*[published(f).alias(f"n_{f}") for f in C.FIELD_TYPES], (F.sum("confidence") < 4).alias("schema_valid"))
+    return health.run_metrics(items, facts)
+
+
+_ITEMS = f"(SELECT run_id, jurisdiction, generated_at, idx % 9 AS item, " + ", ".join(f"count(*) FILTER (WHERE field_type = '{f}' AND confidence > 0.5) AS n_{f}" for f in C.FIELD_TYPES) + f", sum(confidence) < 4 AS schema_valid FROM {_ROUTED} GROUP BY 1, 2, 3, 4)"
+_RUNS = f"""(SELECT i.*, coalesce(f.mean_confidence, 0.0) AS mean_confidence, coalesce(f.hallucination_rate, 0.0) AS hallucination_rate, coalesce(f.volume, 0) AS review_queue_volume FROM
+(SELECT run_id, jurisdiction, generated_at, count(*) AS rows_parsed, count(*) FILTER (WHERE NOT schema_valid) AS schema_failures, avg(CASE WHEN schema_valid THEN 0.0 ELSE 1.0 END) AS schema_failure_rate, """ + ", ".join(f"coalesce(avg(CASE WHEN n_{f} > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE schema_valid), 0.0) AS rate_{f}" for f in C.FIELD_TYPES) + f""" FROM {_ITEMS} GROUP BY 1, 2, 3) i
+LEFT JOIN (SELECT run_id, avg(confidence) AS mean_confidence, avg(CASE WHEN verified THEN 0.0 ELSE 1.0 END) AS hallucination_rate, count(*) FILTER (WHERE route = 'queued' AND verified) AS volume FROM {_ROUTED} GROUP BY 1) f ON i.run_id = f.run_id)"""
+_SHOWN = ", ".join(f"round({c}, 6) AS {c}" for c in health.FLOATS)
+
+
+@query(f"SELECT run_id, jurisdiction, generated_at, rows_parsed, schema_failures, review_queue_volume, {_SHOWN} FROM {_RUNS}")
+def run_metrics(spark, sf_dir):
+    return event_runs(spark, sf_dir).select("run_id", "jurisdiction", "generated_at", *health.INTEGERS, *[F.round(c, 6).alias(c) for c in health.FLOATS])
+
+
+_BASED = f"(SELECT *, " + ", ".join(f"avg({c}) OVER w AS base_{c}" for c in health.FLOATS) + f" FROM {_RUNS} WINDOW w AS (PARTITION BY lower(trim(jurisdiction)) ORDER BY generated_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+
+
+@query(f"SELECT run_id, " + ", ".join(f"round(base_{c}, 5) AS base_{c}" for c in health.FLOATS) + f" FROM {_BASED}")
+def trailing_baseline(spark, sf_dir):
+    return health.with_baseline(event_runs(spark, sf_dir)).select("run_id", *[F.round(f"base_{c}", 5).alias(f"base_{c}") for c in health.FLOATS])
+
+
+@query(" UNION ALL ".join(
+    f"SELECT run_id, jurisdiction, '{c}' AS metric, round({c} - base_{c}, 5) AS delta FROM {_BASED} WHERE base_{c} IS NOT NULL AND " + {"schema_failure_rate": f"{c} - base_{c} > 0.10", "mean_confidence": f"base_{c} - {c} > 0.15", "hallucination_rate": f"{c} - base_{c} > 0.05"}.get(c, f"abs({c} - base_{c}) > 0.30") for c in health.FLOATS))
+def drift_flags(spark, sf_dir):
+    flags = health.drift_flags(health.with_baseline(event_runs(spark, sf_dir)))
+    return flags.select("run_id", "jurisdiction", "metric", F.round("delta", 5).alias("delta"))
+
+
+@query(f"SELECT run_id, rows_parsed FROM (SELECT *, row_number() OVER (PARTITION BY jurisdiction ORDER BY generated_at DESC, run_id DESC) AS r FROM {_RUNS}) WHERE r = 1")
+def latest_run(spark, sf_dir):
+    return health.latest(event_runs(spark, sf_dir)).select("run_id", "rows_parsed")
+
+
+@query("SELECT event_id, json_valid(props) AS valid FROM events")
+def schema_validity(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.expr("try_parse_json(props) IS NOT NULL").alias("valid"))
+
+
+@query("SELECT d.source, round(avg(CASE WHEN l.quality IS NULL THEN 0.0 ELSE 1.0 END), 6) AS rate_labelled, round(avg(CASE WHEN coalesce(l.toxic, 0) > 0 THEN 1.0 ELSE 0.0 END), 6) AS rate_toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
+def population_rates(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return df.groupBy("source").agg(F.round(F.avg(F.col("quality").isNotNull().cast("double")), 6).alias("rate_labelled"), F.round(F.avg((F.coalesce("toxic", F.lit(0)) > 0).cast("double")), 6).alias("rate_toxic"))
+
+
+# ---- scores -----------------------------------------------------------------------------------------------------
+
+
+def label_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels beside a plain heuristic's prediction and confidence."""
+    docs = table(spark, sf_dir, "documents")
+    sign = F.char_length("text") - F.char_length(F.regexp_replace("text", r"[!*$%&#|]", ""))
+    df = docs.select("doc_id", "lang", (F.lit(1.0) - F.least(F.lit(1.0), F.lit(8.0) * sign / F.greatest(F.col("n_chars"), F.lit(1)))).alias("confidence")).join(table(spark, sf_dir, "labels"), "doc_id")
+    return df.withColumns({"predicted": (F.col("confidence") >= 0.6).cast("int"), "correct": F.col("quality") == 1})
+
+
+_POINTS = """(SELECT d.doc_id, d.lang, 1.0 - least(1.0, 8.0 * (length(text) - length(regexp_replace(text, '[!*$%&#|]', '', 'g'))) / greatest(n_chars, 1)) AS confidence, l.quality, l.quality = 1 AS correct FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+_PRF = "precision, recall, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END"
+
+
+def _prf_sql(counts: str, keys: str) -> str:
+    return f"""SELECT {keys} tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS f1
+FROM (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS recall FROM ({counts}))"""
+
+
+def _rounded(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+_COUNTS = "count(*) FILTER (WHERE quality = 1 AND confidence >= 0.6) AS tp, count(*) FILTER (WHERE quality = 0 AND confidence >= 0.6) AS fp, count(*) FILTER (WHERE quality = 1 AND confidence < 0.6) AS fn"
+
+
+def _counts(df: DataFrame, *keys: str) -> DataFrame:
+    yes, hit = F.col("predicted") == 1, F.col("quality") == 1
+    return scoring.with_prf(df.groupBy(*keys).agg(F.count_if(yes & hit).alias("tp"), F.count_if(yes & ~hit).alias("fp"), F.count_if(~yes & hit).alias("fn")))
+
+
+@query(_prf_sql(f"SELECT {_COUNTS} FROM {_POINTS}", ""))
+def pooled_prf(spark, sf_dir):
+    return _rounded(_counts(label_points(spark, sf_dir)))
+
+
+@query(_prf_sql(f"SELECT lang, {_COUNTS} FROM {_POINTS} GROUP BY lang", "lang,"))
+def prf_by_group(spark, sf_dir):
+    return _rounded(_counts(label_points(spark, sf_dir), "lang"), "lang")
+
+
+_EDGES = "(VALUES " + ", ".join(f"({i}, {a}, {b}, '[{a:.2f}, {b:.2f})')" for i, (a, b) in enumerate(C.CALIBRATION_EDGES)) + ") b(bucket, low, high, range_label)"
+
+
+def _calibration_sql(key: str) -> str:
+    pick, join = (f"k.{key}, ", f"AND p.{key} = k.{key}") if key else ("", "")
+    keys = f"(SELECT {key}, count(*) AS total FROM {_POINTS} GROUP BY 1) k" if key else f"(SELECT count(*) AS total FROM {_POINTS}) k"
+    return f"""SELECT {pick}b.low, b.range_label, count(p.doc_id) AS n, k.total, coalesce(avg(p.confidence), 0.0) AS mean_confidence, coalesce(avg(CASE WHEN p.correct THEN 1.0 WHEN p.doc_id IS NOT NULL THEN 0.0 END), 0.0) AS accuracy
+FROM {keys} CROSS JOIN {_EDGES} LEFT JOIN {_POINTS} p ON p.confidence >= b.low AND p.confidence < b.high {join} GROUP BY ALL"""
+
+
+@query(f"SELECT range_label, n, round(mean_confidence, 6) AS mean_confidence, round(accuracy, 6) AS accuracy FROM ({_calibration_sql('')})")
+def calibration_buckets(spark, sf_dir):
+    return scoring.calibration(label_points(spark, sf_dir)).select("range_label", "n", F.round("mean_confidence", 6).alias("mean_confidence"), F.round("accuracy", 6).alias("accuracy"))
+
+
+@query(f"SELECT lang, range_label, n, round(mean_confidence, 6) AS mean_confidence, round(accuracy, 6) AS accuracy FROM ({_calibration_sql('lang')})")
+def calibration_by_field(spark, sf_dir):
+    return scoring.calibration(label_points(spark, sf_dir), ["lang"]).select("lang", "range_label", "n", F.round("mean_confidence", 6).alias("mean_confidence"), F.round("accuracy", 6).alias("accuracy"))
+
+
+@query(f"SELECT lang, round(sum(abs(mean_confidence - accuracy) * n) / max(total), 6) AS ece, max(total) AS n FROM ({_calibration_sql('lang')}) GROUP BY lang")
+def ece(spark, sf_dir):
+    return scoring.calibration_error(scoring.calibration(label_points(spark, sf_dir), ["lang"]), ["lang"]).select("lang", F.round("ece", 6).alias("ece"), "n")
+
+
+@query(f"SELECT lang, coalesce(min(low) FILTER (WHERE n >= 10 AND accuracy >= 0.9), 0.9) AS threshold FROM ({_calibration_sql('lang')}) GROUP BY lang")
+def derive_thresholds(spark, sf_dir):
+    return scoring.derived_thresholds(scoring.calibration(label_points(spark, sf_dir), ["lang"]), ["lang"]).select("lang", "threshold")
+
+
+@query(f"""WITH s AS (SELECT lang, doc_id % 2 AS half, {_COUNTS} FROM {_POINTS} GROUP BY 1, 2), r AS ({_prf_sql('SELECT * FROM s', 'lang, half,')})
+SELECT a.lang, round(a.f1 - b.f1, 5) AS delta FROM r a JOIN r b ON a.lang = b.lang AND a.half = 1 AND b.half = 0 WHERE b.f1 - a.f1 > -1""")
+def regression_gate(spark, sf_dir):
+    scores = _counts(label_points(spark, sf_dir).withColumn("half", F.col("doc_id") % 2), "lang", "half")
+    scores = scores.withColumn("f1", F.round("f1", 6))
+    got = scoring.regressions(scores.where("half = 1"), scores.where("half = 0"), margin=-1.0, keys=("lang",))
+    return got.select("lang", F.round("delta", 5).alias("delta"))
+
+
+# ---- inline cases of matching and rules -----------------------------------------------------------------------------
+
+
+@query(_prf_sql("SELECT rule, tp, fp, fn FROM (VALUES " + ", ".join(f"('{r}', {a}, {b}, {c})" for r, a, b, c in fixtures.RULE_COUNTS) + ") t(rule, tp, fp, fn)", "rule,").replace("tp, fp, fn, round", "CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round"))
+def rule_set_scores(spark, sf_dir):
+    return _rounded(scoring.rule_scores(spark.createDataFrame(fixtures.RULE_CASES, "expected array<string>, actual array<string>")), "rule")
+
+
+@query("""SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey WHERE abs(a.o_totalprice - b.o_totalprice) < 500""")
+def amount_band(spark, sf_dir):
+    """Orders of one customer whose totals lie close: the band predicate as an equi join with a residual condition."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    a, b = o.alias("a"), o.alias("b")
+    near = (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_orderkey") < F.col("b.o_orderkey")) & (F.abs(F.col("a.o_totalprice") - F.col("b.o_totalprice")) < 500)
+    return a.join(b, near).select(F.col("a.o_orderkey").alias("a"), F.col("b.o_orderkey").alias("b"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {str(x).lower()})" for a, b, x in fixtures.AMOUNTS) + ") t(a, b, equal)")
+def amount_match(spark, sf_dir):
+    df = spark.createDataFrame([(a, b) for a, b, _ in fixtures.AMOUNTS], "a string, b string")
+    return df.select("a", "b", matching.amounts_equal(F.col("a"), F.col("b")).alias("equal"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in fixtures.NAMES) + ") t(name, plain)")
+def person_title_strip(spark, sf_dir):
+    return spark.createDataFrame([(a,) for a, _ in fixtures.NAMES], "name string").select("name", matching.strip_title(F.col("name")).alias("plain"))
+
+
+@query()
+def greedy_match(spark, sf_dir):
+    gold, pred = (spark.createDataFrame(rows, "case_id string, field_type string, idx int, value string") for rows in (fixtures.GOLD, fixtures.PREDICTED))
+    return matching.greedy_match(gold, pred)
+
+
+@query()
+def text_similarity(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    return b.join(other, "item_id").select("item_id", F.round(similarity(F.col("text"), F.col("other")), 6).alias("similarity"))
+
+
+@query("SELECT category_name AS wanted, category_id FROM (VALUES " + ", ".join(f"('{w}', {'NULL' if i is None else repr(i)})" for w, i in fixtures.CATEGORY_ANSWERS) + ") t(category_name, category_id)")
+def category_cascade(spark, sf_dir):
+    found = spark.createDataFrame(fixtures.CATEGORIES, "wanted string, category string, category_id string, pos int")
+    return H.resolved_category(found, F.col("wanted"), ("wanted",)).select("wanted", "category_id")
+
+
+@query("SELECT r_name, string_agg(n_name, ', ' ORDER BY n_nationkey) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def grouped_sections(spark, sf_dir):
+    df = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    listed = df.groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("l"))
+    return listed.select("r_name", F.array_join(F.transform("l", lambda x: x["n_name"]), ", ").alias("nations"))
+
+
+@query("""SELECT user_id, event_id FROM (SELECT *, max(CASE WHEN event_type = 'purchase' AND value > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) AS has FROM events) WHERE event_type = CASE WHEN has = 1 THEN 'purchase' ELSE 'click' END""")
+def period_fallback(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("period"), F.when(F.col("value") > 300, "x").alias("meeting_details_url"))
+    return D.with_fallback_period(df, "purchase", "click", "user_id").select("user_id", "event_id")
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r <= 5")
+def first_n_per_city(spark, sf_dir):
+    return H.first_rows(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], "event_id", 5)
 
 
-def queries() -> dict:
-    return {"provenance_verify": provenance_verify}
+@query("SELECT event_type AS connector, count(*) AS n FROM events GROUP BY 1")
+def counts_by_kind(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("connector")).agg(F.count("*").alias("n"))
 
 
-def oracle_sql() -> dict:
-    return {"provenance_verify": "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"}
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
+def notable_amounts(spark, sf_dir):
+    """An addition of ours: amounts above 100,000."""
+    return table(spark, sf_dir, "orders").where("o_totalprice > 100000").select("o_orderkey", "o_totalprice")

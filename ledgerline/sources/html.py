@@ -8,18 +8,24 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ledgerline.functions import constants as C
 from ledgerline.functions.text import clean_cell, not_empty
 from ledgerline.functions.urls import absolute
 
-CELL = "struct<text:string,href:string,onclick:string,label:string,header:boolean,span:int,css:string>"
-ROW = f"struct<css:string,cells:array<{CELL}>>"
-GRID = f"struct<id:string,rows:array<{ROW}>>"
-LINK = "struct<text:string,href:string,onclick:string>"
-SPAN = "struct<id:string,text:string>"
-BOX = "struct<id:string,value:string,label:string>"
-PAGE = f"struct<title:string,grids:array<{GRID}>,links:array<{LINK}>,spans:array<{SPAN}>,boxes:array<{BOX}>>"
+
+
+def _record(**fields: S.DataType) -> S.StructType:
+    return S.StructType([S.StructField(k, v) for k, v in fields.items()])
+
+
+_STR = S.StringType()
+CELL = _record(text=_STR, href=_STR, onclick=_STR, label=_STR, header=S.BooleanType(), span=S.IntegerType(), css=_STR)
+GRID = _record(id=_STR, rows=S.ArrayType(_record(css=_STR, cells=S.ArrayType(CELL))))
+LINK = _record(text=_STR, href=_STR, onclick=_STR)
+PAGE = _record(title=_STR, grids=S.ArrayType(GRID), links=S.ArrayType(LINK), spans=S.ArrayType(_record(id=_STR, text=_STR)), boxes=S.ArrayType(_record(id=_STR, value=_STR, label=_STR)))
+
 
 
 class _Page(HTMLParser):
