@@ -12,7 +12,8 @@
 4. First each set is verified against one partner of each group, by a few rankings; the links give first components. Then the trees are
    traversed again, dropping nodes that lie in one component, and all pairs between components are verified. So no link
    between components is lost, and a group of many near copies is never written out as pairs.
-5. Verification compares whole sets, streamed by the pair's first member.
+5. Pairs are first tested by wider bitmaps, as wide as a set needs; then whole sets are compared, streamed by the pair's
+   first member. Only sets in a pair that is still possible are fetched from the texts.
 
 Result: doc_id, n_shingles, component_id (the least doc_id reachable by links). The number of links of each document is
 not counted: inside a group of g near copies that would take all g * g / 2 pairs.
@@ -24,7 +25,7 @@ repeated rows are kept; an empty table gives an empty result; further columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -41,6 +42,8 @@ CHUNK_SHINGLES = 2_000_000
 GROUP = 4096
 BITS = 2048
 RANKINGS = 8
+#: Up to so many wanted sets (16 bytes each) are broadcast to the texts; more are joined by a shuffle.
+FEW_SETS = 200_000
 FAN = 8
 LEAF = 16
 
@@ -56,13 +59,35 @@ def bitmap(shingles: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.packbits(out).view(np.uint64)
 
 
+def wide_bitmap(shingles: np.ndarray) -> bytes:
+    """The size, then a bitmap of at least two bits for each shingle."""
+    bits = min(1 << 20, max(BITS, 1 << (2 * len(shingles)).bit_length()))
+    return np.int64(len(shingles)).tobytes() + bitmap(shingles, bits).tobytes()
+
+
+def may_link(x: bytes, y: bytes, percent: int = SIMILAR_PERCENT) -> bool:
+    """Whether wide bitmaps leave a link possible. The wider one is folded; the bound is that of the tree."""
+    n, m = np.frombuffer(x, np.int64, 1)[0], np.frombuffer(y, np.int64, 1)[0]
+    a, b = np.frombuffer(x, np.uint64, offset=8), np.frombuffer(y, np.uint64, offset=8)
+    width = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(v.reshape(-1, width)) if len(v) > width else v for v in (a, b))
+    ones = lambda v: int(np.bitwise_count(v).sum(dtype=np.int64))
+    return ones(a & b) + min(n - ones(a), m - ones(b)) >= needed_overlap(n, m, percent)
+
+
+def alike(x: bytes, y: bytes, percent: int = SIMILAR_PERCENT) -> bool:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
 def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), seed=3) - 2**63
 
 
 # ---- passes over the texts ---------------------------------------------------------------------------
 
-SETS = "doc_id long, set_id long, n long, bits binary, often array<long>"
+SETS = "doc_id long, set_id long, n long, bits binary, wide binary, often array<long>"
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -78,12 +103,13 @@ def described(docs: DataFrame) -> DataFrame:
             values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0))
             return signed(values[counts >= OFTEN_IN_CHUNK]).tolist()
 
-        def table(ids: list, keys: list, sizes: list, bits: list, frequent: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(frequent, pa.list_(pa.int64()))], ["doc_id", "set_id", "n", "bits", "often"])
+        def table(ids: list, keys: list, sizes: list, bits: list, wide: list, frequent: list) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, keys, sizes, bits, wide, frequent), kinds)], ["doc_id", "set_id", "n", "bits", "wide", "often"])
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            keys, sizes, bits = [], [], []
+            keys, sizes, bits, wide = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, hashes)
                 held.append(s)
@@ -91,12 +117,13 @@ def described(docs: DataFrame) -> DataFrame:
                 keys.append(set_id(s))
                 sizes.append(len(s))
                 bits.append(bitmap(s).tobytes())
+                wide.append(wide_bitmap(s))
             if size >= CHUNK_SHINGLES:
-                yield table([None], [None], [None], [None], [often()])
+                yield table([None], [None], [None], [None], [None], [often()])
                 held, size = [], 0
-            yield table(ids, keys, sizes, bits, [None] * len(ids))
+            yield table(ids, keys, sizes, bits, wide, [None] * len(ids))
         if held:
-            yield table([None], [None], [None], [None], [often()])
+            yield table([None], [None], [None], [None], [None], [often()])
 
     return docs.mapInArrow(run, SETS)
 
@@ -325,43 +352,49 @@ def _pair_batch(held: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set_id and shingles of the wanted sets (set_id, doc_id of one document that has it)."""
+    """set_id and data (the sorted shingles) of the wanted sets (set_id, doc_id of one document that has it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(text, hashes).tobytes() for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(sets, pa.binary())], ["set_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(sets, pa.binary())], ["set_id", "data"])
 
-    return docs.join(wanted, "doc_id").select("set_id", "text").mapInArrow(run, "set_id long, shingles binary").dropDuplicates(["set_id"])
+    few = wanted.count() <= FEW_SETS
+    return docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("set_id", "text").mapInArrow(run, "set_id long, data binary").dropDuplicates(["set_id"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
-    """The pairs whose whole sets are alike enough. A first member's set is sent once to each task that needs it."""
+def kept_pairs(pairs: DataFrame, data: DataFrame, keep: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs whose data (set_id, data) pass `keep`, streamed by first member and one of eight salts."""
     width = shuffle_width(pairs.sparkSession)
-    salt = F.pmod(F.xxhash64("b"), F.lit(8)).cast("int")
-    pairs = pairs.withColumn("salt", salt)
-    seconds = pairs.join(sets.withColumnRenamed("set_id", "b"), "b").select("a", "salt", F.col("b").alias("b"), "shingles")
-    firsts = pairs.select("a", "salt").distinct().join(sets.withColumnRenamed("set_id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(8)).cast("int"))
+    seconds = pairs.join(data.withColumnRenamed("set_id", "b"), "b").select("a", "salt", F.col("b").alias("b"), "data")
+    firsts = pairs.select("a", "salt").distinct().join(data.withColumnRenamed("set_id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "data")
     dealt = firsts.unionByName(seconds).repartition(width, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_key, own = None, np.empty(0, np.uint64)
+        own_key, own = None, b""
         for batch in batches:
             out = []
-            for a, b, data in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shingles"))):
-                s = np.frombuffer(data, np.uint64)
+            for a, b, value in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "data"))):
                 if b is None:
-                    own_key, own = a, s
-                elif a == own_key:
-                    shared = len(np.intersect1d(own, s, assume_unique=True))
-                    if 100 * shared >= percent * (len(own) + len(s) - shared):
-                        out.append((a, b))
+                    own_key, own = a, value
+                elif a == own_key and keep(own, value):
+                    out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(run, PAIRS)
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs that are links: wide bitmaps rule out most others, whole sets decide."""
+    near = written(kept_pairs(pairs, sets.select("set_id", F.col("wide").alias("data")), may_link), "near")
+    ids = near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    # a set all of whose documents have a null id cannot be fetched by id
+    wanted = written(sets.select("set_id", "doc_id").join(ids, "set_id").where("doc_id IS NOT NULL"), "wanted")
+    return kept_pairs(near, written(whole_sets(docs, wanted), "whole"), alike)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node reachable) of all nodes of the links, by rounds of least labels and jumps."""
     links = links.where("a != b")
@@ -387,20 +420,17 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     own = everything.where("set_id IS NOT NULL")
     often = [r.t for r in everything.where("often IS NOT NULL").select(F.explode("often").alias("t")).groupBy("t").count().orderBy(F.desc("count"), "t").limit(OFTEN).collect()]
     groups = written(in_groups(written(shared_members(prefixes(docs.select("text"), often)), "members")), "groups")
-    sets = own.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    sets = own.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
     filled = written(groups.join(sets.select("set_id", "n", "bits"), "set_id"), "filled")
-    first_pairs = written(tree_pairs(filled.withColumn("component", F.lit(-1).cast("long")), partners=True), "pairs")
-    in_pairs = first_pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    # a set all of whose documents have a null id cannot be fetched by id
-    wanted = sets.select("set_id", "doc_id").join(in_pairs, "set_id").where("doc_id IS NOT NULL")
-    whole = written(whole_sets(docs, wanted), "whole")
-    first_links = written(verified(first_pairs, whole), "links")
+    possible = written(tree_pairs(filled.withColumn("component", F.lit(-1).cast("long")), partners=True), "pairs")
+    first_links = written(_linked(possible, sets, docs), "links")
     found = components(first_links).withColumnRenamed("node", "set_id")
-    # sets without a possible partner cannot gain a link; the others carry their component, -1 where they have none
+    # sets without a possible partner cannot gain a link; the others carry a number of their component, -1 where they have none
+    in_pairs = possible.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     again = filled.join(in_pairs, "set_id").join(found, "set_id", "left")
     numbered = again.withColumn("component", F.coalesce(F.xxhash64("component").bitwiseAND(F.lit(2**63 - 1)), F.lit(-1).cast("long")))
-    more_pairs = written(tree_pairs(numbered, partners=False).join(first_pairs, ["a", "b"], "left_anti"), "pairs")
-    links = first_links.unionByName(verified(more_pairs, whole))
+    more = tree_pairs(numbered, partners=False).join(possible, ["a", "b"], "left_anti")
+    links = first_links.unionByName(_linked(more, sets, docs))
     least = sets.select("set_id", "doc_id").where("doc_id IS NOT NULL")
     as_docs = links.join(least.select(F.col("set_id").alias("a"), F.col("doc_id").alias("da")), "a").join(least.select(F.col("set_id").alias("b"), F.col("doc_id").alias("db")), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
     labels = components(as_docs).withColumnRenamed("node", "least_id")
