@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,23 +33,29 @@ REQUIRED = {"motions": ["text", "outcome"], "people": ["raw_name", "role"], "loc
 CLOSED = {"motions": {"outcome": C.OUTCOMES}, "people": {"role": C.PERSON_ROLES}, "locations": {}, "amounts": {"kind": C.AMOUNT_KINDS}}
 
 
+def _valid(field: str) -> Callable[[Column], Column]:
+    """Whether one fact of the field has its required members and keeps to the closed sets."""
+
+    def good(x: Column) -> Column:
+        v = x["value"]
+        checks = [x["confidence"].isNotNull(), x["provenance"]["source_document"].isNotNull(), x["provenance"]["source_text"].isNotNull(), *(v[m].isNotNull() for m in REQUIRED[field])]
+        checks += [F.coalesce(v[m].isin(s), F.lit(False)) for m, s in CLOSED[field].items()]
+        if field == "amounts":
+            checks.append(v["amount_usd"].isNull() | v["amount_usd"].try_cast("decimal(18,2)").isNotNull())
+        if field == "motions":
+            checks.append(F.coalesce(F.forall(v["votes"], lambda w: F.coalesce(w["position"].isin(C.VOTE_POSITIONS), F.lit(False))), F.lit(True)))
+        return reduce(lambda a, b: a & b, checks)
+
+    return good
+
+
 def parsed(raw: DataFrame, json_col: str = "payload") -> DataFrame:
     """The payload as `item`, and whether it is valid (`schema_valid`): it parses, required members are there, closed sets hold."""
     with_bad = S.StructType([*ITEM.fields, S.StructField("_corrupt_record", _STR)])
     df = raw.withColumn("item", F.from_json(json_col, with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     ok: Column = F.col("item").isNotNull() & F.col("item._corrupt_record").isNull() & F.col("item.title").isNotNull() & F.coalesce(F.col("item.item_type").isin(C.ITEM_TYPES), F.lit(False))
     for field in C.FIELD_TYPES:
-
-        def good(x: Column, field: str = field) -> Column:
-            v = x["value"]
-            checks = [x["confidence"].isNotNull(), x["provenance"]["source_document"].isNotNull(), x["provenance"]["source_text"].isNotNull(), *(v[m].isNotNull() for m in REQUIRED[field]), *(F.coalesce(v[m].isin(s), F.lit(False)) for m, s in CLOSED[field].items())]
-            if field == "amounts":
-                checks.append(v["amount_usd"].isNull() | v["amount_usd"].try_cast("decimal(18,2)").isNotNull())
-            if field == "motions":
-                checks.append(F.coalesce(F.forall(v["votes"], lambda w: F.coalesce(w["position"].isin(C.VOTE_POSITIONS), F.lit(False))), F.lit(True)))
-            return reduce(Column.__and__, checks)
-
-        ok = ok & F.coalesce(F.forall(F.col(f"item.{field}"), good), F.lit(True))
+        ok = ok & F.coalesce(F.forall(F.col(f"item.{field}"), _valid(field)), F.lit(True))
     return df.withColumn("schema_valid", F.coalesce(ok, F.lit(False)))
 
 

@@ -121,7 +121,13 @@ def url_host(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", U.host(F.col("url")).alias("host"), U.base_url(F.col("url")).alias("base"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages")
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")]
+_TITLE = r"trim(regexp_replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))"
+for _a, _b in _ENTITIES:
+    _TITLE = f"replace({_TITLE}, '{_a}', '{_b}')"
+
+
+@query(f"SELECT page_id, {_TITLE} AS title FROM pages")
 def html_title(spark, sf_dir):
     df = H.parsed_pages(table(spark, sf_dir, "pages").select("page_id", "html"))
     return df.select("page_id", F.col("page.title").alias("title"))
@@ -281,12 +287,12 @@ _ITEMS = f"(SELECT run_id, jurisdiction, generated_at, idx % 9 AS item, " + ", "
 _RUNS = f"""(SELECT i.*, coalesce(f.mean_confidence, 0.0) AS mean_confidence, coalesce(f.hallucination_rate, 0.0) AS hallucination_rate, coalesce(f.volume, 0) AS review_queue_volume FROM
 (SELECT run_id, jurisdiction, generated_at, count(*) AS rows_parsed, count(*) FILTER (WHERE NOT schema_valid) AS schema_failures, avg(CASE WHEN schema_valid THEN 0.0 ELSE 1.0 END) AS schema_failure_rate, """ + ", ".join(f"coalesce(avg(CASE WHEN n_{f} > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE schema_valid), 0.0) AS rate_{f}" for f in C.FIELD_TYPES) + f""" FROM {_ITEMS} GROUP BY 1, 2, 3) i
 LEFT JOIN (SELECT run_id, avg(confidence) AS mean_confidence, avg(CASE WHEN verified THEN 0.0 ELSE 1.0 END) AS hallucination_rate, count(*) FILTER (WHERE route = 'queued' AND verified) AS volume FROM {_ROUTED} GROUP BY 1) f ON i.run_id = f.run_id)"""
-_SHOWN = ", ".join(f"round({c}, 6) AS {c}" for c in health.FLOATS)
+_SHOWN = ", ".join(f"round({c}, 4) AS {c}" for c in health.FLOATS)
 
 
 @query(f"SELECT run_id, jurisdiction, generated_at, rows_parsed, schema_failures, review_queue_volume, {_SHOWN} FROM {_RUNS}")
 def run_metrics(spark, sf_dir):
-    return event_runs(spark, sf_dir).select("run_id", "jurisdiction", "generated_at", *health.INTEGERS, *[F.round(c, 6).alias(c) for c in health.FLOATS])
+    return event_runs(spark, sf_dir).select("run_id", "jurisdiction", "generated_at", *health.INTEGERS, *[F.round(c, 4).alias(c) for c in health.FLOATS])
 
 
 _BASED = f"(SELECT *, " + ", ".join(f"avg({c}) OVER w AS base_{c}" for c in health.FLOATS) + f" FROM {_RUNS} WINDOW w AS (PARTITION BY lower(trim(jurisdiction)) ORDER BY generated_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import constants as C
@@ -60,6 +60,10 @@ def extracted(entries: DataFrame, documents: DataFrame, extractor: Extractor = r
     return rows.select("case_id", "meeting_id", "title", "item_number", "document_text").mapInPandas(run, "case_id string, meeting_id string, payload string")
 
 
+def _from(listed: Column, least: Column) -> Column:
+    return F.filter(listed, lambda x: x["confidence"] >= least)
+
+
 @dataclass
 class Run:
     """The tables of a run; all are lazy until used."""
@@ -100,11 +104,12 @@ def run(meetings: DataFrame, entries: DataFrame, fetched: DataFrame, run_id: str
     kept = raw.where("schema_valid").withColumn("pos", F.element_at(F.split("case_id", "-"), -1).cast("int"))
     shown = X.drop_unverified(kept)
     for field in C.FIELD_TYPES:  # only published facts reach the digest
-        shown = shown.withColumn("item", F.col("item").withField(field, F.filter(F.col(f"item.{field}"), lambda x, f=field: x["confidence"] >= X.threshold(F.lit(f), thresholds))))
+        least = X.threshold(F.lit(field), thresholds)
+        shown = shown.withColumn("item", F.col("item").withField(field, _from(F.col(f"item.{field}"), least)))
     text = digest.template_digest(digest.rendered_facts(shown), meetings)
     rules = style.context_of(shown.select(F.col("meeting_id").alias("text_id"), "pos", F.col("item.item_number").alias("item_number"), F.transform("item.people", lambda x: x["value"]).alias("people")))
     findings = style.check_deterministic(text.select(F.col("meeting_id").alias("text_id"), F.col("digest_markdown").alias("text")).join(rules, "text_id", "left"))
-    counts = published.groupBy("case_id").pivot("field_type", C.FIELD_TYPES).agg(F.count("*")).na.fill(0)
+    counts = published.groupBy("case_id").pivot("field_type", C.FIELD_TYPES).agg(F.count(F.lit(1))).na.fill(0)
     items = raw.join(counts, "case_id", "left").na.fill(0, C.FIELD_TYPES).join(meetings.select("meeting_id", "jurisdiction"), "meeting_id")
     named = items.select(F.lit(run_id).alias("run_id"), "jurisdiction", F.lit(generated_at).alias("generated_at"), "schema_valid", *[F.col(f).alias(f"n_{f}") for f in C.FIELD_TYPES])
     metrics = health.run_metrics(named, facts.withColumn("run_id", F.lit(run_id)))

@@ -37,7 +37,7 @@ def ocr_required(text: Column, pages: Column) -> Column:
 def read_files(spark: SparkSession, path: str, pdf_text: Callable[[bytes], tuple[str, int]] | None = None) -> DataFrame:
     """path, text, page_count, ocr_required of files. PDFs need `pdf_text`; without it they have no text and are quarantined."""
     files = spark.read.format("binaryFile").load(path)
-    plain = files.where(~F.lower("path").endswith(".pdf")).select("path", F.decode("content", F.lit("UTF-8")).alias("text"), F.lit(1).alias("page_count"), F.lit(False).alias("ocr_required"))
+    plain = files.where(~F.lower("path").endswith(".pdf")).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.lit(1).alias("page_count"), F.lit(False).alias("ocr_required"))
     pdfs = files.where(F.lower("path").endswith(".pdf")).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,7 +18,7 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
     """Registry rows from a YAML list (read through Spark as one text), in their order."""
     import yaml
 
-    text = spark.read.option("wholetext", True).text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     names = [f.split()[0] for f in CITIES.split(", ")][1:]
     alias = {"legistar_url": "root_url", "civicplus_base_url": "root_url", "civicplus_category_id": "category_id", "civicplus_category_name": "category_name", "civicplus_status": "status", "civicplus_note": "note"}
     rows = []
