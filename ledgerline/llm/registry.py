@@ -11,6 +11,7 @@ from ledgerline.llm.packed_ids import op1_packed_ids
 from ledgerline.llm.quality_pu import op8_quality_pu
 from ledgerline.llm.repeated_passages import op10_repeated_passages
 from ledgerline.llm.secrets_crf import op6_secrets_crf
+from ledgerline.llm.sql import JACCARD_CLASSES
 from ledgerline.llm.syncmers import op4_syncmers
 
 
@@ -30,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_jaccard_trees": JACCARD_CLASSES}
