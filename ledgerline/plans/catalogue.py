@@ -287,27 +287,27 @@ _ITEMS = f"(SELECT run_id, jurisdiction, generated_at, idx % 9 AS item, " + ", "
 _RUNS = f"""(SELECT i.*, coalesce(f.mean_confidence, 0.0) AS mean_confidence, coalesce(f.hallucination_rate, 0.0) AS hallucination_rate, coalesce(f.volume, 0) AS review_queue_volume FROM
 (SELECT run_id, jurisdiction, generated_at, count(*) AS rows_parsed, count(*) FILTER (WHERE NOT schema_valid) AS schema_failures, avg(CASE WHEN schema_valid THEN 0.0 ELSE 1.0 END) AS schema_failure_rate, """ + ", ".join(f"coalesce(avg(CASE WHEN n_{f} > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE schema_valid), 0.0) AS rate_{f}" for f in C.FIELD_TYPES) + f""" FROM {_ITEMS} GROUP BY 1, 2, 3) i
 LEFT JOIN (SELECT run_id, avg(confidence) AS mean_confidence, avg(CASE WHEN verified THEN 0.0 ELSE 1.0 END) AS hallucination_rate, count(*) FILTER (WHERE route = 'queued' AND verified) AS volume FROM {_ROUTED} GROUP BY 1) f ON i.run_id = f.run_id)"""
-_SHOWN = ", ".join(f"round({c}, 4) AS {c}" for c in health.FLOATS)
+_SHOWN = ", ".join(f"round({c}, 9) AS {c}" for c in health.FLOATS)
 
 
 @query(f"SELECT run_id, jurisdiction, generated_at, rows_parsed, schema_failures, review_queue_volume, {_SHOWN} FROM {_RUNS}")
 def run_metrics(spark, sf_dir):
-    return event_runs(spark, sf_dir).select("run_id", "jurisdiction", "generated_at", *health.INTEGERS, *[F.round(c, 4).alias(c) for c in health.FLOATS])
+    return event_runs(spark, sf_dir).select("run_id", "jurisdiction", "generated_at", *health.INTEGERS, *[F.round(c, 9).alias(c) for c in health.FLOATS])
 
 
 _BASED = f"(SELECT *, " + ", ".join(f"avg({c}) OVER w AS base_{c}" for c in health.FLOATS) + f" FROM {_RUNS} WINDOW w AS (PARTITION BY lower(trim(jurisdiction)) ORDER BY generated_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
 
 
-@query(f"SELECT run_id, " + ", ".join(f"round(base_{c}, 5) AS base_{c}" for c in health.FLOATS) + f" FROM {_BASED}")
+@query(f"SELECT run_id, " + ", ".join(f"round(base_{c}, 9) AS base_{c}" for c in health.FLOATS) + f" FROM {_BASED}")
 def trailing_baseline(spark, sf_dir):
-    return health.with_baseline(event_runs(spark, sf_dir)).select("run_id", *[F.round(f"base_{c}", 5).alias(f"base_{c}") for c in health.FLOATS])
+    return health.with_baseline(event_runs(spark, sf_dir)).select("run_id", *[F.round(f"base_{c}", 9).alias(f"base_{c}") for c in health.FLOATS])
 
 
 @query(" UNION ALL ".join(
-    f"SELECT run_id, jurisdiction, '{c}' AS metric, round({c} - base_{c}, 5) AS delta FROM {_BASED} WHERE base_{c} IS NOT NULL AND " + {"schema_failure_rate": f"{c} - base_{c} > 0.10", "mean_confidence": f"base_{c} - {c} > 0.15", "hallucination_rate": f"{c} - base_{c} > 0.05"}.get(c, f"abs({c} - base_{c}) > 0.30") for c in health.FLOATS))
+    f"SELECT run_id, jurisdiction, '{c}' AS metric, round({c} - base_{c}, 9) AS delta FROM {_BASED} WHERE base_{c} IS NOT NULL AND " + {"schema_failure_rate": f"{c} - base_{c} > 0.10", "mean_confidence": f"base_{c} - {c} > 0.15", "hallucination_rate": f"{c} - base_{c} > 0.05"}.get(c, f"abs({c} - base_{c}) > 0.30") for c in health.FLOATS))
 def drift_flags(spark, sf_dir):
     flags = health.drift_flags(health.with_baseline(event_runs(spark, sf_dir)))
-    return flags.select("run_id", "jurisdiction", "metric", F.round("delta", 5).alias("delta"))
+    return flags.select("run_id", "jurisdiction", "metric", F.round("delta", 9).alias("delta"))
 
 
 @query(f"SELECT run_id, rows_parsed FROM (SELECT *, row_number() OVER (PARTITION BY jurisdiction ORDER BY generated_at DESC, run_id DESC) AS r FROM {_RUNS}) WHERE r = 1")
