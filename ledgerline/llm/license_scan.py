@@ -1,8 +1,9 @@
 """License scans: winnowed fingerprints of templates pick candidates, banded alignment measures them.
 
-A template's words give hashes of all runs of `GRAM` words; winnowing keeps the least of every `WINDOW` neighbouring ones,
-so a text that shares GRAM + WINDOW - 1 words in a row with a template shares a kept hash. The kept hashes form an
-inverted index (hash -> template and place). A text's kept hashes are looked up in it; hits of a template on neighbouring
+A template's words give hashes of all runs of `GRAM` words; winnowing keeps the least of every `WINDOW` neighbouring ones.
+The kept hashes form an inverted index (hash -> template and place). All runs of a text are looked up in it, not only
+winnowed ones, so a text that holds a template whole always has a hit, and so has one that shares GRAM + WINDOW - 1 words
+in a row with it; hits of a template on neighbouring
 diagonals make a candidate, which a local alignment inside a band around those diagonals verifies. Reported are the
 matched words, their share of the template (coverage) and the spans on both sides, where coverage is `LEAST` or more.
 
@@ -95,9 +96,9 @@ class Index:
             return []
         codes = self.hashes.array(words)
         grams = _grams(words, self.hashes)
-        if not self.table[(grams >> np.uint64(48)).astype(np.int64)].any():
+        at = np.flatnonzero(self.table[(grams >> np.uint64(48)).astype(np.int64)])
+        if not len(at):
             return []
-        at = winnowed(grams)
         kept = grams[at]
         place = np.searchsorted(self.sorted, kept)
         place[place == len(self.sorted)] = 0

@@ -175,3 +175,12 @@ def test_licences(spark):
     hashes = np.random.default_rng(1).integers(0, 50, 400).astype(np.uint64)
     kept = set(ls.winnowed(hashes, 4).tolist())
     assert all(kept & set(range(i, i + 4)) for i in range(397))
+
+
+def test_every_template_at_the_end_of_a_text():
+    index = ls.Index(ls.TEMPLATES)
+    for name, template in ls.TEMPLATES.items():
+        for seed in range(20):
+            text = cases.prose(seed + 1, 60) + " " + template
+            found = {x[0]: x for x in index.matches(text, ls.LEAST)}
+            assert name in found and found[name][1] == 1.0 and found[name][4] == len(plain_words(text)), (name, seed)
