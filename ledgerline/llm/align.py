@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -66,3 +67,44 @@ def local_alignment(a: np.ndarray, b: np.ndarray, low: int, high: int) -> Alignm
         else:
             c -= 1
     return Alignment(score, matched, a_start, a_end, b_start, b_end)
+
+
+def most_shared(a: np.ndarray) -> Callable[[np.ndarray], int]:
+    """A function of b: as many words as any alignment of a to b can match, by the words' counts alone."""
+    values, counts = np.unique(a, return_counts=True)
+
+    def bound(b: np.ndarray) -> int:
+        at = np.searchsorted(values, b)
+        at[at == len(values)] = 0
+        return int(np.minimum(np.bincount(at[values[at] == b], minlength=len(values)), counts).sum())
+
+    return bound
+
+
+def disjoint_alignments(a: np.ndarray, b: np.ndarray, longest: int, possible: Callable[[np.ndarray], bool], enough: Callable[[Alignment], bool]) -> list[Alignment]:
+    """The best alignments of a to b that are enough and do not overlap in b: the best, then those on either side of it.
+
+    What is not possible is not aligned. b is taken in blocks that overlap by `longest`, as long as an alignment gets in b,
+    so the work grows with the length of b; of what blocks find twice or cut, the best is kept.
+    """
+    found: set[Alignment] = set()
+    step = 4 * longest
+    for at in range(0, max(1, len(b) - longest), step):
+        pieces = [(at, min(len(b), at + step + longest))]
+        while pieces:
+            low, high = pieces.pop()
+            part = b[low:high]
+            if not possible(part):
+                continue
+            best = local_alignment(a, part, -len(a), len(part))
+            if not best.score:
+                continue
+            start, end = low + best.b_start, low + best.b_end
+            if enough(best):
+                found.add(best._replace(b_start=start, b_end=end))
+            pieces += [(low, start), (end, high)]
+    out: list[Alignment] = []
+    for x in sorted(found, key=lambda x: (-x.score, x.b_start)):
+        if all(x.b_end <= y.b_start or y.b_end <= x.b_start for y in out):
+            out.append(x)
+    return sorted(out, key=lambda x: x.b_start)

@@ -1,17 +1,20 @@
-"""License scans: winnowed fingerprints of templates pick candidates, banded alignment measures them.
+"""License scans: fingerprints of templates pick candidates, alignment measures them.
 
-A template's words give hashes of all runs of `GRAM` words; winnowing keeps the least of every `WINDOW` neighbouring ones.
-The kept hashes form an inverted index (hash -> template and place). All runs of a text are looked up in it, not only
-winnowed ones, so a text that holds a template whole always has a hit, and so has one that shares GRAM + WINDOW - 1 words
-in a row with it; hits of a template on neighbouring
-diagonals make a candidate, which a local alignment inside a band around those diagonals verifies. Reported are the
-matched words, their share of the template (coverage) and the spans on both sides, where coverage is `LEAST` or more.
+A template's words give hashes of all runs of `GRAM` words, which form an inverted index (hash -> template and place). All
+runs of a text are looked up in it. Neither side is winnowed: an edited copy may keep few runs, and each of them may be the
+one that tells. The words around every hit are a candidate, unless they hold too few of the template's words (by count) for
+any alignment to reach `LEAST`; local alignment verifies it. Reported are the matched words, their share of the template
+(coverage) and the spans on both sides, where coverage is `LEAST` or more.
+
+A copy is thus found if one run of GRAM words is left whole. Where words are replaced or removed, coverage of `LEAST`
+implies that for templates of 3, 6, 7 and 9 words or more; those of 4, 5 and 8 words, and copies with words put in
+between nearly all others, can lose every run and are then not found.
 
 The templates are a parameter. The default ones are short notices written here from the licences' public wording.
 
 Cases: null and empty texts match nothing; null ids are carried along; repeated rows are all reported; a template without
 words is ignored; an empty table gives an empty result; further columns are not read. A text that holds a template twice
-gives two rows, unless the copies stand within half the template's length of each other.
+gives two rows.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm.align import local_alignment, plain_words
+from ledgerline.llm.align import disjoint_alignments, most_shared, plain_words
 from ledgerline.llm.common import WordHashes, id_and_text, read_table, shingle_sequence, small_batches
 
 GRAM = 3
@@ -68,23 +71,22 @@ def _grams(words: list[bytes], hashes: WordHashes) -> np.ndarray:
 
 
 class Index:
-    """The inverted index of the templates' kept hashes."""
+    """The inverted index of the templates' hashes."""
 
     def __init__(self, templates: dict[str, str]) -> None:
         self.hashes = WordHashes()
-        self.names, self.words, self.kept = [], [], []
+        self.names, self.words, self.bounds = [], [], []
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for name, text in templates.items():
             words = plain_words(text)
             if not words:
                 continue
             grams = _grams(words, self.hashes)
-            at = winnowed(grams)
-            for i in at.tolist():
-                self.places[int(grams[i])].append((len(self.names), i))
+            for i, gram in enumerate(grams.tolist()):
+                self.places[gram].append((len(self.names), i))
             self.names.append(name)
             self.words.append(self.hashes.array(words).view(np.int64))
-            self.kept.append(len(at))
+            self.bounds.append(most_shared(self.words[-1]))
         self.sorted = np.array(sorted(self.places), np.uint64)
         self.table = np.zeros(1 << 16, bool)
         self.table[(self.sorted >> np.uint64(48)).astype(np.int64)] = True
@@ -102,31 +104,27 @@ class Index:
         kept = grams[at]
         place = np.searchsorted(self.sorted, kept)
         place[place == len(self.sorted)] = 0
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        hits: dict[int, list[int]] = defaultdict(list)
         for i in np.flatnonzero(self.sorted[place] == kept).tolist():
             for template, t in self.places[int(kept[i])]:
-                hits[template].append((int(at[i]) - t, int(at[i])))
+                hits[template].append(int(at[i]) - t)
         out = []
         for template, found in hits.items():
             query = self.words[template]
             slack = max(6, len(query) // 4)
-            found.sort()
-            groups: list[list[int]] = []
-            for diagonal, _ in found:
-                if groups and diagonal - groups[-1][1] <= slack:
-                    groups[-1][1] = diagonal
-                    groups[-1][2] += 1
+            ranges: list[list[int]] = []
+            for start in sorted(found):
+                low, high = max(0, start - slack), min(len(codes), start + len(query) + slack)
+                if ranges and low <= ranges[-1][1]:
+                    ranges[-1][1] = max(ranges[-1][1], high)
                 else:
-                    groups.append([diagonal, diagonal, 1])
-            for first, last, count in groups:
-                if count < least * self.kept[template] / 3:  # an alignment that covers enough leaves more hashes whole
-                    continue
-                low = max(0, first - slack)
-                part = codes[low : last + len(query) + slack].view(np.int64)
-                best = local_alignment(query, part, first - slack - low, last + slack - low)
-                coverage = best.matched / len(query)
-                if coverage >= least:
-                    out.append((self.names[template], coverage, best.matched, low + best.b_start, low + best.b_end, best.a_start, best.a_end))
+                    ranges.append([low, high])
+            bound = self.bounds[template]
+            possible = lambda part: bound(part) >= least * len(query)  # noqa: E731, B023
+            enough = lambda x: x.matched >= least * len(query)  # noqa: E731, B023
+            for low, high in ranges:
+                for x in disjoint_alignments(query, codes[low:high].view(np.int64), len(query) + 2 * slack, possible, enough):
+                    out.append((self.names[template], x.matched / len(query), x.matched, low + x.b_start, low + x.b_end, x.a_start, x.a_end))
         return sorted(out, key=lambda x: (x[3], x[0]))
 
 

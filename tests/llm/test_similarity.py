@@ -184,3 +184,25 @@ def test_every_template_at_the_end_of_a_text():
             text = cases.prose(seed + 1, 60) + " " + template
             found = {x[0]: x for x in index.matches(text, ls.LEAST)}
             assert name in found and found[name][1] == 1.0 and found[name][4] == len(plain_words(text)), (name, seed)
+
+
+def test_templates_with_every_fifth_or_fourth_word_replaced():
+    index = ls.Index(ls.TEMPLATES)
+    for name, template in ls.TEMPLATES.items():
+        for every in (4, 5):
+            words = plain_words(template)
+            if len(words) < 9:
+                continue
+            for i in range(every - 1, len(words), every):
+                words[i] = f"new{i}".encode()
+            text = cases.prose(3, 60) + " " + b" ".join(words).decode() + " " + cases.prose(4, 60)
+            want = sum(not w.startswith(b"new") for w in words)
+            assert any(x[0] == name and x[2] == want for x in index.matches(text, ls.LEAST)), (name, every)
+
+
+def test_copies_side_by_side_and_many():
+    index = ls.Index(ls.TEMPLATES)
+    for name, n in (("All rights reserved", 400), ("GPL-2.0-or-later notice", 60)):
+        found = [x for x in index.matches(f"{ls.TEMPLATES[name]} " * n, ls.LEAST) if x[0] == name]
+        size = len(plain_words(ls.TEMPLATES[name]))
+        assert [x[3:5] for x in found] == [(i * size, (i + 1) * size) for i in range(n)]
