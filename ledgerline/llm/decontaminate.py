@@ -1,10 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores the pairs.
-
-A seed is the shortest run of an item's words from some place, of 2 to `MAX_SEED` words, that chance alone would put into
-the corpus less than `CHANCE` times, given the corpus counts of its words (counted over all documents). Rarity is thus
-about the words, not about how often the passage was copied: a widely leaked item keeps its seeds. Where a document holds
-seeds of an item, a local alignment of the item's words to the words around the seeds scores the copy, edited or not:
-score = alignment score over the score of an exact copy. Pairs that score `LEAST` or more are reported.
+"""Benchmark decontamination: pairs of near words join passages to test items, Smith-Waterman scores the pairs.
+
+A seed is a pair of an item's words that are neighbours or have one word between them; it is hit where a text has the two
+words likewise. Between two matched words that follow each other in an alignment, a score of 2 a match is left whole
+(neighbours in both), loses 1 (one word between them on either side or both) or loses 2 or more. An alignment of score S
+thus has seeds worth S - 2 at least, of which each place of the item gives 2 or 1. The seeds of the words most common in
+the corpus are left out as far as they are worth less than that together; so an alignment of `LEAST` always hits one of
+the others, however the copy was edited and however large the corpus is. Corpus counts only say which seeds are cheap.
+Where a document hits a seed of an item, the seeds of all kinds around it are counted, and unless they are worth too
+little, a local alignment of the item's words to the words there scores the copy: score = alignment score over the score
+of an exact copy. Pairs that score `LEAST` or more are reported; of an item of two words, both must be there.
 
 Items go to the tasks in blocks of at most `BLOCK_BYTES` of text, one pass over the documents for each block, so what is
 sent does not grow with the benchmark. Nothing of the documents reaches the driver but the counts of the items' words.
@@ -16,8 +20,9 @@ as they are); further columns are not read, and kept by `drop_contaminated`.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -25,11 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.align import MATCH, local_alignment, plain_words
+from ledgerline.llm.align import MATCH, disjoint_alignments, most_shared, plain_words
 from ledgerline.llm.common import id_and_text, read_table, small_batches
 
-MAX_SEED = 10
-CHANCE = 1e-3
 LEAST = 0.4
 BLOCK_BYTES = 4_000_000
 
@@ -71,94 +74,112 @@ def word_counts(docs: DataFrame, wanted: set[bytes]) -> tuple[dict[bytes, int],
 class Seeds:
     """The seeds of one block of items, and their lookup in a text's words."""
 
-    def __init__(self, items: list[tuple[int | None, list[bytes]]], counts: dict[bytes, int], total: int) -> None:
-        self.items = items
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], counts: dict[bytes, int], total: int, least: float = LEAST) -> None:
+        self.items, self.least = items, least
         words = sorted({w for _, ws in items for w in ws})
         self.vocabulary = {w: i + 1 for i, w in enumerate(words)}
-        rate = {w: max(1, counts.get(w, 0)) / max(1, total) for w in words}
+        rate = np.array([1.0] + [max(1, counts.get(w, 0)) / max(1, total) for w in words])
         self.ids = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in items]
-        self.places: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)  # (length, hash) -> (item, place)
-        for k, (_, ws) in enumerate(items):
-            for i in range(len(ws)):
-                expected = total * rate[ws[i]]
-                for n in range(2, min(MAX_SEED, len(ws) - i) + 1):
-                    expected *= rate[ws[i + n - 1]]
-                    if expected <= CHANCE:
-                        self.places[n, self._hash(self.ids[k][i : i + n])].append((k, i))
-                        break
-            if 2 <= len(ws) and not any(k == x for found in self.places.values() for x, _ in found[-1:]):
-                n = min(len(ws), MAX_SEED)  # no rare run: the item's first words
-                self.places[n, self._hash(self.ids[k][:n])].append((k, 0))
-        self.by_length = {n: np.array(sorted(h for m, h in self.places if m == n), np.uint64) for n in {m for m, _ in self.places}}
-        self.tables = {}
-        for n, hashes in self.by_length.items():
-            table = self.tables[n] = np.zeros(1 << 16, bool)
-            table[(hashes >> np.uint64(48)).astype(np.int64)] = True
+        found: list[tuple[int, int, int]] = []  # pair of words, item, place
+        for k, ids in enumerate(self.ids):
+            seeds = sorted((-rate[ids[i]] * rate[ids[i + d]], i, d) for d in (1, 2) for i in range(len(ids) - d))
+            left_out, lost = set(), np.zeros(len(ids), np.int64)
+            for _, i, d in seeds:  # the most common first
+                more = max(0, 3 - d - lost[i])
+                if lost.sum() + more >= self.worth(len(ids)):
+                    break
+                lost[i] += more
+                left_out.add((i, d))
+            found += [(self._pair(ids[i], ids[i + d]), k, i) for _, i, d in seeds if (i, d) not in left_out]
+        rows = np.array(sorted(set(found)), np.int64).reshape(-1, 3)
+        self.pairs, self.first = np.unique(rows[:, 0], return_index=True)
+        self.first = np.append(self.first, len(rows))
+        self.item, self.place = rows[:, 1], rows[:, 2]
+        self.table = np.zeros(1 << 16, bool)
+        self.table[self._slot(self.pairs)] = True
+
+    def worth(self, words: int) -> float:
+        """The least worth of an alignment's seeds that scores enough."""
+        return 2 * self.least * words - 2 - 1e-9
+
+    def _pair(self, a, b):
+        return a * (len(self.vocabulary) + 1) + b
 
     @staticmethod
-    def _hash(ids: np.ndarray) -> int:
-        h = np.zeros(1, np.uint64)
-        for x in ids:
-            h = (h ^ np.uint64(x)) * _STEP
-            h ^= h >> np.uint64(31)
-        return int((h * _STEP)[0])
-
-    def hits(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """item -> (its place, the text's place) of every seed in the text."""
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        if not self.by_length or not len(ids):
+    def _slot(pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * _STEP) >> np.uint64(48)).astype(np.int64)
+
+    def hits(self, ids: np.ndarray) -> dict[int, list[int]]:
+        """item -> where it would start in the text, of every seed in the text."""
+        at, which = [], []
+        for d in (1, 2):
+            i = np.flatnonzero((ids[:-d] > 0) & (ids[d:] > 0))
+            pairs = self._pair(ids[i], ids[i + d])
+            some = self.table[self._slot(pairs)]
+            i, pairs = i[some], pairs[some]
+            k = np.searchsorted(self.pairs, pairs)
+            k[k == len(self.pairs)] = 0
+            same = self.pairs[k] == pairs if len(self.pairs) else np.zeros(len(k), bool)
+            at.append(i[same])
+            which.append(k[same])
+        at, which = np.concatenate(at), np.concatenate(which)
+        found: dict[int, list[int]] = defaultdict(list)
+        if not len(at):
             return found
-        known = ids > 0
-        h, all_known = np.zeros(len(ids), np.uint64), np.ones(len(ids), bool)
-        codes = ids.astype(np.uint64)
-        for n in range(1, max(self.by_length) + 1):
-            size = len(ids) - n + 1
-            if size <= 0:
-                break
-            h = (h[:size] ^ codes[n - 1 :]) * _STEP
-            h ^= h >> np.uint64(31)
-            all_known = all_known[:size] & known[n - 1 :]
-            if n in self.by_length:
-                final = h * _STEP
-                for at in np.flatnonzero(all_known & self.tables[n][(final >> np.uint64(48)).astype(np.int64)]).tolist():
-                    for item, place in self.places.get((n, int(final[at])), ()):
-                        found[item].append((place, at))
+        n = self.first[which + 1] - self.first[which]
+        row = np.repeat(self.first[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        for item, start in zip(self.item[row].tolist(), (np.repeat(at, n) - self.place[row]).tolist()):
+            found[item].append(start)
         return found
 
-    def alignments(self, text: str, least: float) -> list[tuple]:
+    def _possible(self, query: np.ndarray) -> Callable[[np.ndarray], bool]:
+        """Whether the seeds of all kinds in a part of a text are worth enough for the item."""
+        bound = most_shared(query)
+        near, wide = self._pair(query[:-1], query[1:]), self._pair(query[:-2], query[2:])
+
+        def possible(part: np.ndarray) -> bool:
+            if len(part) < 2 or bound(part) < max(2, self.least * len(query)):
+                return False
+            one, two = self._pair(part[:-1], part[1:]), self._pair(part[:-2], part[2:])
+            both = np.concatenate([one, two])
+            worth = np.isin(near, both).astype(np.int64)
+            worth[: len(wide)] |= np.isin(wide, both)
+            worth[np.isin(near, one)] = 2
+            return worth.sum() > 0 and worth.sum() >= self.worth(len(query))
+
+        return possible
+
+    def alignments(self, text: str) -> list[tuple]:
         """(item id, score, matched words, first and end word in the text, first and end word in the item)."""
         words = plain_words(text)
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
         out = []
-        for item, places in self.hits(ids).items():
+        for item, starts in self.hits(ids).items():
             query = self.ids[item]
-            slack = max(8, len(query) // 2)
-            starts = sorted(at - place for place, at in places)
-            groups: list[list[int]] = []
-            for s in starts:  # copies of one item at several places are aligned each
-                if groups and s - groups[-1][1] <= slack:
-                    groups[-1][1] = s
+            reach = max(8, math.ceil(2 * (1 - self.least) * len(query)))  # an alignment with more gaps scores too little
+            ranges: list[list[int]] = []
+            for start in sorted(starts):
+                low, high = max(0, start - reach), min(len(ids), start + len(query) + reach)
+                if ranges and low <= ranges[-1][1]:
+                    ranges[-1][1] = max(ranges[-1][1], high)
                 else:
-                    groups.append([s, s])
-            for first, last in groups:
-                low = max(0, first - slack)
-                part = ids[low : last + len(query) + slack]
-                found = local_alignment(query, part, -slack, last - first + 2 * slack)
-                score = found.score / (MATCH * len(query))
-                if score >= least:
-                    out.append((self.items[item][0], score, found.matched, low + found.b_start, low + found.b_end, found.a_start, found.a_end))
+                    ranges.append([low, high])
+            possible, full = self._possible(query), MATCH * len(query)
+            for low, high in ranges:
+                for x in disjoint_alignments(query, ids[low:high], len(query) + 2 * reach, possible, lambda x: x.matched > 1 and x.score >= self.least * full):  # noqa: B023
+                    out.append((self.items[item][0], x.score / full, x.matched, low + x.b_start, low + x.b_end, x.a_start, x.a_end))
         return out
 
 
 FOUND = "doc_id long, item_id long, score double, matched long, start_word long, end_word long, item_start long, item_end long"
 
 
-def _all_seeds(docs: DataFrame, benchmark: DataFrame) -> list[Seeds]:
+def _all_seeds(docs: DataFrame, benchmark: DataFrame, least: float) -> list[Seeds]:
     blocks = [b for b in item_blocks(benchmark) if b]
     out = []
     for block in blocks:
         counts, total = word_counts(docs, {w for _, ws in block for w in ws})
-        out.append(Seeds(block, counts, total))
+        out.append(Seeds(block, counts, total, least))
     return out
 
 
@@ -167,11 +188,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     rows = id_and_text(docs)
     small_batches(docs.sparkSession)
     out = docs.sparkSession.createDataFrame([], FOUND)
-    for k, seeds in enumerate(_all_seeds(rows, benchmark)):
+    for k, seeds in enumerate(_all_seeds(rows, benchmark, least)):
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [(doc, *x) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for x in seeds.alignments(text, least)]
+                found = [(doc, *x) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for x in seeds.alignments(text)]
                 cols = list(zip(*found)) if found else [[] for _ in range(8)]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [f.split()[0] for f in FOUND.split(", ")])
@@ -185,11 +206,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAS
     """The documents, all columns as they are, that hold no copy of an item."""
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
-    for seeds in _all_seeds(id_and_text(docs), benchmark):
+    for seeds in _all_seeds(id_and_text(docs), benchmark, least):
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not seeds.alignments(t or "", least) for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not seeds.alignments(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -206,3 +206,44 @@ def test_copies_side_by_side_and_many():
         found = [x for x in index.matches(f"{ls.TEMPLATES[name]} " * n, ls.LEAST) if x[0] == name]
         size = len(plain_words(ls.TEMPLATES[name]))
         assert [x[3:5] for x in found] == [(i * size, (i + 1) * size) for i in range(n)]
+
+
+def test_edited_copies_are_found_however_large_the_corpus(spark, monkeypatch):
+    plain, factor = dc.word_counts, 10**9
+
+    def of_a_large_corpus(docs, wanted):
+        counts, total = plain(docs, wanted)
+        return {w: n * factor for w, n in counts.items()}, total * factor
+
+    monkeypatch.setattr(dc, "word_counts", of_a_large_corpus)
+    items, docs = {}, {}
+    for i in range(30):
+        items[i] = cases.prose(2000 + i, 40)
+        words = items[i].split()
+        for j in range(2, 40, 3 + i % 2):
+            words[j] = f"new{i}x{j}"
+        docs[i] = cases.prose(i + 1, 80) + " " + " ".join(words) + " " + cases.prose(i + 500, 80)
+    table = cases.documents(spark, docs)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in dc.contaminated(table, bench).collect()}
+    assert set(found) == {(i, i) for i in docs} and min(r.score for r in found.values()) >= 0.45
+    assert dc.drop_contaminated(table, bench).count() == 0
+
+
+def test_every_alignment_that_scores_enough_has_a_seed():
+    rng, some = random.Random(12), 0
+    for _ in range(300):
+        words = [f"w{x}".encode() for x in range(rng.choice([6, 12, 40]))]
+        items = [(k, [rng.choice(words) for _ in range(rng.randrange(3, 14))]) for k in range(3)]
+        text = [rng.choice(words) for _ in range(rng.randrange(0, 40))]
+        for w in rng.choice(items)[1]:  # a copy with words put in, replaced and left out
+            text += rng.choice([[w], [w], [w, b"x"], [b"y"], []])
+        text += [rng.choice(words) for _ in range(rng.randrange(0, 10))]
+        seeds = dc.Seeds(items, {w: rng.randrange(1000) for w in words}, 10**6)
+        found = {x[0]: x[1] for x in sorted(seeds.alignments(b" ".join(text).decode()), key=lambda x: x[1])}
+        for k, ids in enumerate(seeds.ids):
+            b = np.array([seeds.vocabulary.get(w, 0) for w in text], np.int64)
+            best = local_alignment(ids, b, -len(ids), len(b)).score / (2 * len(ids))
+            assert found.get(k) == (best if best >= dc.LEAST else None)
+            some += best >= dc.LEAST
+    assert 100 < some < 890
