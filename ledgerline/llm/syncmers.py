@@ -1,13 +1,15 @@
 """Document fingerprints of closed syncmers, with DataFrame functions only.
 
-A text is a sequence of units: runs of non-blank characters, cut every `UNIT_CHARS` so that unspaced texts have units too.
+A text is a sequence of units: runs of non-blank characters. Runs of more than `UNIT_BYTES` bytes are cut after certain
+bytes (about one in eight), so unspaced texts have units too, and an edit in one changes only the units it touches.
 A k-mer of `K` units is kept where the least hash of its inner substrings (single units) lies at its first or last place.
 Whether a k-mer is kept depends on itself alone, so an edit elsewhere in the text leaves it in place: kept k-mers are
 anchors that two texts share wherever they share the words. A fingerprint lists each anchor's place and hash. Texts below
 `SHORT` units have too few such anchors and also list every pair of neighbouring units; texts below `LONG_FROM` only those.
 
-Two fingerprints are matched by place: an anchor counts as shared where its hash stands within about half a cell of
-`CELL` units in both. Likeness is shared over all anchors, taken on two grids of cells half a cell apart, the better one.
+Two fingerprints are matched by hash, wherever the anchors stand, so text put in or taken out shifts nothing away. An
+anchor of `K` units is not shared by chance, so no common offset is asked for. Likeness is shared over all distinct
+anchors. Where one text has no pairs because it has `SHORT` units or more, the other's pairs do not count either.
 
 Cases: null and empty texts have the empty fingerprint, and two empty ones are alike (1.0); an empty and another are not
 (0.0); a null doc_id counts as the least id, ties go by text, repeated rows are all kept; an only document is its own
@@ -21,25 +23,29 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import id_and_text, read_table, shuffle_width, with_range_bucket
 
-UNIT_CHARS = 24
+UNIT_BYTES = 24
 K = 12
 SHORT = 128
 LONG_FROM = 32
-CELL = 32
 
-_NO_ANCHORS = "cast(array() as array<struct<p:int,v:bigint>>)"
+_NO_ANCHORS = "cast(array() as array<struct<p:int,v:bigint,pair:boolean>>)"
+
+
+_CUTS = "".join(rf"\x{b:02X}" for b in range(0x21, 0xC0) if b % 8 == 5)
+_UNITS = rf"(?<!\S)\S{{1,{UNIT_BYTES}}}(?!\S)|[^\s{_CUTS}]*+[{_CUTS}]|[^\s{_CUTS}]++"
 
 
 def unit_hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"\S{{1,{UNIT_CHARS}}}"), F.lit(0)), lambda u: F.xxhash64(u))
+    as_bytes = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")  # one character for each byte
+    return F.transform(F.regexp_extract_all(as_bytes, F.lit(_UNITS), F.lit(0)), lambda u: F.xxhash64(u))
 
 
 def anchors_of(hashes: Column) -> Column:
-    """array<struct<p, v>>: the anchors' places (from 1) and hashes, given the units' hashes."""
+    """array<struct<p, v, pair>>: the anchors' places (from 1) and hashes, given the units' hashes; whether it is a pair of units."""
     n = F.size(hashes)
     kept = F.filter(F.sequence(F.lit(1), n - (K - 1)), lambda i: F.array_min(F.slice(hashes, i, K)) == F.least(F.get(hashes, i - 1), F.get(hashes, i + (K - 2))))
-    long_ = F.transform(kept, lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice(hashes, i, K)).alias("v")))
-    short = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("p"), F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i)).alias("v")))
+    long_ = F.transform(kept, lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice(hashes, i, K)).alias("v"), F.lit(False).alias("pair")))
+    short = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("p"), F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i)).alias("v"), F.lit(True).alias("pair")))
     none = F.expr(_NO_ANCHORS)
     return F.concat(F.when((n > 0) & (n < SHORT), short).otherwise(none), F.when(n >= LONG_FROM, long_).otherwise(none))
 
@@ -49,19 +55,12 @@ def fingerprint_text(anchors: Column) -> Column:
     return F.array_join(F.transform(anchors, lambda a: F.concat(a["p"].cast("string"), F.lit("."), F.hex(a["v"].bitwiseAND(F.lit(0xFFFFFFFF))))), " ")
 
 
-def _cells(anchors: Column, shift: int) -> Column:
-    return F.transform(anchors, lambda a: F.xxhash64(a["v"], F.floor((a["p"] + shift) / CELL)))
-
-
 def likeness(a: Column, b: Column) -> Column:
-    """Shared over all anchors, from 0 to 1."""
-
-    def on_grid(shift: int) -> Column:
-        x, y = _cells(a, shift), _cells(b, shift)
-        union = F.size(F.array_union(x, y))
-        return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / union)
-
-    return F.greatest(on_grid(0), on_grid(CELL // 2))
+    """Shared over all distinct anchors of the kinds that both have, from 0 to 1."""
+    pairs = F.exists(a, lambda x: x["pair"]) & F.exists(b, lambda x: x["pair"])
+    x, y = (F.transform(F.filter(z, lambda w: pairs | ~w["pair"]), lambda w: w["v"]) for z in (a, b))
+    none = (F.size(a) == 0) | (F.size(b) == 0)
+    return F.when(none, (F.size(a) == F.size(b)).cast("double")).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:

@@ -247,3 +247,20 @@ def test_every_alignment_that_scores_enough_has_a_seed():
             assert found.get(k) == (best if best >= dc.LEAST else None)
             some += best >= dc.LEAST
     assert 100 < some < 890
+
+
+def test_likeness_of_shifted_and_unspaced_texts(spark):
+    base, other = cases.prose(40, 600), cases.prose(41, 600)
+    solid, far = base.replace(" ", ""), other.replace(" ", "")
+    short = cases.prose(42, 130)
+    texts = [
+        (base, cases.prose(43, 40) + " " + base, 0.85, 1.0),  # forty words before it
+        (base, " ".join(base.split()[40:]), 0.85, 1.0),
+        (solid, "x" + solid, 0.9, 1.0),
+        (solid, solid[:2000] + "q" + solid[2000:], 0.8, 1.0),
+        (short, " ".join(short.split()[5:]), 0.6, 1.0),  # on either side of SHORT
+        (base, other, 0.0, 0.05), (solid, far, 0.0, 0.05), ("", "", 1.0, 1.0), ("", base, 0.0, 0.0), ("a b", base, 0.0, 0.0), ("", "a b", 0.0, 0.0),
+    ]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "i int, a string, b string, low double, high double")
+    df = sm.with_anchors(sm.with_anchors(df, "a", "x"), "b", "y").withColumn("like", sm.likeness(sm.F.col("x"), sm.F.col("y")))
+    assert not [(r.i, r.like) for r in df.collect() if not r.low <= r.like <= r.high]
