@@ -21,7 +21,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from ledgerline.llm.common import id_and_text, small_batches
+from ledgerline.llm.common import id_and_text, slices
 
 #: Characters from which a text is cut into pieces of about this length.
 LONG = 65_536
@@ -54,11 +54,10 @@ def encode_text(text: str, codec: tiktoken.Encoding) -> np.ndarray:
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every whole text."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoding(rank_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [encode_text(text, codec) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
@@ -73,7 +72,7 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoding(rank_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             data = [codec.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "ids")), pa.array(data, pa.binary())], ["doc_id", "n_tokens", "ids", "bytes"])
 

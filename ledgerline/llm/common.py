@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +33,12 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a local one only where none is set."""
+    """The folder that the session names in spark.checkpoint.dir. Where it names none, one of our own if all runs in one
+    process, and an error on a cluster, whose machines share no local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = _own_folder()
     return named.rstrip("/")
 
@@ -110,9 +115,11 @@ def signed(values: np.ndarray) -> np.ndarray:
 # ---- rows in order, rows in batches --------------------------------------------------------------
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches of so many rows, so that a batch of very long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, without copies. Spark bounds a batch by bytes, a slice bounds what is unpacked at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def with_range_bucket(df: DataFrame, key: str, buckets: int, name: str = "bucket") -> tuple[DataFrame, list[int]]:

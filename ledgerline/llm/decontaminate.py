@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.align import MATCH, disjoint_alignments, most_shared, plain_words
-from ledgerline.llm.common import id_and_text, read_table, small_batches
+from ledgerline.llm.common import id_and_text, read_table, slices
 
 LEAST = 0.4
 BLOCK_BYTES = 4_000_000
@@ -53,12 +53,11 @@ def item_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[list[tup
 
 def word_counts(docs: DataFrame, wanted: set[bytes]) -> tuple[dict[bytes, int], int]:
     """How often the wanted words stand in all texts, and how many words there are."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         total = 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 words = plain_words(text)
                 total += len(words)
@@ -186,12 +185,11 @@ def _all_seeds(docs: DataFrame, benchmark: DataFrame, least: float) -> list[Seed
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """One row per document and copy of an item in it."""
     rows = id_and_text(docs)
-    small_batches(docs.sparkSession)
     out = docs.sparkSession.createDataFrame([], FOUND)
     for k, seeds in enumerate(_all_seeds(rows, benchmark, least)):
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 found = [(doc, *x) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for x in seeds.alignments(text)]
                 cols = list(zip(*found)) if found else [[] for _ in range(8)]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 5]
@@ -204,12 +202,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents, all columns as they are, that hold no copy of an item."""
-    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for seeds in _all_seeds(id_and_text(docs), benchmark, least):
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not seeds.alignments(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -3,47 +3,56 @@
 1. Documents with equal sets are one set from here on (`set_id`, 64 bits of its hash; the least doc_id stands for it).
 2. Two linked sets share a shingle among the first n - ceil(0.8 n) + 1 of each, in any order that both use. The order
    here puts the shingles seen most often last, so that passages which many documents share rarely select anything; a
-   list of at most `OFTEN` of them goes to the tasks. The list only changes the order, so it may be incomplete.
-   Shingles shared by the same sets are one group; groups above `GROUP` sets are split in blocks and meet block by block.
-3. In a group, sets are the leaves of a signature tree. A node holds the OR of its sets' token bitmaps, the range of their
-   sizes and the most collisions of any of their bitmaps. Two nodes are traversed together and dropped when the bits that
-   they share plus those collisions are fewer than the overlap that their least sizes need, or when their sizes are too
-   far apart; the bound never drops a linked pair.
-4. First each set is verified against one partner of each group, by a few rankings; the links give first components. Then the trees are
-   traversed again, dropping nodes that lie in one component, and all pairs between components are verified. So no link
-   between components is lost, and a group of many near copies is never written out as pairs.
-5. Pairs are first tested by wider bitmaps, as wide as a set needs; then whole sets are compared, streamed by the pair's
-   first member. Only sets in a pair that is still possible are fetched from the texts.
+   list of at most `OFTEN` of them goes to the tasks. The list only changes the order, so it may be incomplete. The sets
+   that share such a shingle are tied to one of them (hot shingles in `SALTS` parts first), as many ties as sets. The
+   connected components of these ties are clusters: no link leaves a cluster.
+3. Whole sets of clusters are fetched once, and meet in cells of at most about `CELL_BYTES`. A small cluster is a cell. A
+   large one is cut in blocks: first each block meets `LEADERS` sets of the cluster, which gives first components; then
+   the blocks, dealt anew by component, meet pair by pair, but two blocks of one component do not.
+4. In a cell, shingles of only one of its sets count for nothing, and sets that are left with too few go. The others are
+   the leaves of a signature tree: a node holds the OR of its sets' token bitmaps (a bit of its own for each of the
+   cell's `TOKENS` most shared shingles, hashed bits for the rest), the range of their sizes and the most collisions among their
+   hashed bits. Two nodes are traversed together and dropped when the bits that they share plus the fewer collisions are
+   less than the overlap their least sizes need, when their sizes are too far apart, or when they lie in one component;
+   the bound never drops a linked pair. Pairs of leaves are verified on the spot by whole sets, and the cell gives only
+   the links that join two components: fewer than it has sets, however alike they are.
 
 Result: doc_id, n_shingles, component_id (the least doc_id reachable by links). The number of links of each document is
 not counted: inside a group of g near copies that would take all g * g / 2 pairs.
 
 Cases: null and empty texts, and texts without words, have no shingles and are linked with nothing; a text of fewer than
-five words has one; rows with a null id take part and their component is the least id that is not null, or null;
-repeated rows are kept; an empty table gives an empty result; further columns are not read.
+five words has one; rows with a null id take part and link others, their component is the least id that is not null, or
+null; repeated rows and repeated ids with other texts are each a row; an empty table gives an empty result; further
+columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import SIMILAR_PERCENT, WordHashes, id_and_text, read_table, shingle_set, shuffle_width, signed, small_batches, written
+from ledgerline.llm.common import SIMILAR_PERCENT, WordHashes, id_and_text, read_table, shingle_set, shuffle_width, signed, slices, written
 
 OFTEN = 200_000
 OFTEN_IN_CHUNK = 8
 CHUNK_SHINGLES = 2_000_000
-GROUP = 4096
-BITS = 2048
-RANKINGS = 8
-#: Up to so many wanted sets (16 bytes each) are broadcast to the texts; more are joined by a shuffle.
-FEW_SETS = 200_000
+SALTS = 64
+#: What a cell holds at most, about: eight bytes a shingle and SET_BYTES a set.
+CELL_BYTES = 16 << 20
+SET_BYTES = 2048
+LEADERS = 4
+TOKENS = 4096
+HASHED = 2048
+#: Up to so many rows of two numbers are broadcast; more are joined by a shuffle.
+FEW = 200_000
+#: A set of more documents than this is a hot key; the hottest MOST_HOT are joined apart.
+HOT_COPIES, MOST_HOT = 10_000, 1_000
 FAN = 8
 LEAF = 16
 
@@ -53,159 +62,147 @@ def needed_overlap(a: np.ndarray, b: np.ndarray, percent: int = SIMILAR_PERCENT)
     return -(-percent * (a + b) // (100 + percent))
 
 
-def bitmap(shingles: np.ndarray, bits: int = BITS) -> np.ndarray:
-    out = np.zeros(bits, bool)
-    out[(shingles % np.uint64(bits)).astype(np.int64)] = True
-    return np.packbits(out).view(np.uint64)
-
-
-def wide_bitmap(shingles: np.ndarray) -> bytes:
-    """The size, then a bitmap of at least two bits for each shingle."""
-    bits = min(1 << 20, max(BITS, 1 << (2 * len(shingles)).bit_length()))
-    return np.int64(len(shingles)).tobytes() + bitmap(shingles, bits).tobytes()
-
-
-def may_link(x: bytes, y: bytes, percent: int = SIMILAR_PERCENT) -> bool:
-    """Whether wide bitmaps leave a link possible. The wider one is folded; the bound is that of the tree."""
-    n, m = np.frombuffer(x, np.int64, 1)[0], np.frombuffer(y, np.int64, 1)[0]
-    a, b = np.frombuffer(x, np.uint64, offset=8), np.frombuffer(y, np.uint64, offset=8)
-    width = min(len(a), len(b))
-    a, b = (np.bitwise_or.reduce(v.reshape(-1, width)) if len(v) > width else v for v in (a, b))
-    ones = lambda v: int(np.bitwise_count(v).sum(dtype=np.int64))
-    return ones(a & b) + min(n - ones(a), m - ones(b)) >= needed_overlap(n, m, percent)
-
-
-def alike(x: bytes, y: bytes, percent: int = SIMILAR_PERCENT) -> bool:
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * shared >= percent * (len(a) + len(b) - shared)
-
-
 def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), seed=3) - 2**63
 
 
 # ---- passes over the texts ---------------------------------------------------------------------------
 
-SETS = "doc_id long, set_id long, n long, bits binary, wide binary, often array<long>"
+SETS = "doc_id long, text_key long, set_id long, n long, often array<long>"
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """A row per document (its set's id, size and bitmap), and rows without these that list shingles seen often."""
-    small_batches(docs.sparkSession)
+    """A row per document (a hash of its text, its set's id and size), and rows without these that list shingles seen often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         held: list[np.ndarray] = []
         size = 0
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
-        def often() -> list[int]:
-            values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0))
-            return signed(values[counts >= OFTEN_IN_CHUNK]).tolist()
+        def table(*columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "text_key", "set_id", "n", "often"])
 
-        def table(ids: list, keys: list, sizes: list, bits: list, wide: list, frequent: list) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, keys, sizes, bits, wide, frequent), kinds)], ["doc_id", "set_id", "n", "bits", "wide", "often"])
+        def often() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            return table([None], [None], [None], [None], [signed(values[counts >= OFTEN_IN_CHUNK]).tolist()])
 
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            keys, sizes, bits, wide = [], [], [], []
+        for batch in slices(batches):
+            keys, sizes = [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, hashes)
                 held.append(s)
                 size += len(s)
                 keys.append(set_id(s))
                 sizes.append(len(s))
-                bits.append(bitmap(s).tobytes())
-                wide.append(wide_bitmap(s))
-            if size >= CHUNK_SHINGLES:
-                yield table([None], [None], [None], [None], [None], [often()])
-                held, size = [], 0
-            yield table(ids, keys, sizes, bits, wide, [None] * len(ids))
+                if size >= CHUNK_SHINGLES:
+                    yield often()
+                    held, size = [], 0
+            yield table(batch.column("doc_id"), batch.column("text_key"), keys, sizes, [None] * len(keys))
         if held:
-            yield table([None], [None], [None], [None], [None], [often()])
+            yield often()
 
-    return docs.mapInArrow(run, SETS)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, SETS)
 
 
-def ordered_prefix(shingles: np.ndarray, often: np.ndarray, percent: int = SIMILAR_PERCENT) -> np.ndarray:
-    """The first shingles of a set, as many as a linked set cannot all miss: rare ones first, each kind by hash."""
+def ordered_prefix(shingles: np.ndarray, often: np.ndarray, percent: int = SIMILAR_PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set, as many as a linked set cannot all miss: rare ones first, each kind by hash; and which are often."""
     n = len(shingles)
     count = n - -(-percent * n // 100) + 1
+    common = np.zeros(n, bool)
     if len(often):
         at = np.searchsorted(often, shingles)
         at[at == len(often)] = 0
         common = often[at] == shingles
         shingles = np.concatenate([shingles[~common], shingles[common]])
-    return shingles[:count]
+        common = np.sort(common)
+    return shingles[:count], common[:count]
 
 
-PREFIX = "shingle long, set_id long, n int"
-MEMBERS = "members long, shingle long, set_id long, n int"
+PREFIX = "shingle long, salt int, n int, set_id long"
+TIES = "a long, b long, shingle long"
 
 
 def prefixes(docs: DataFrame, often: list[int]) -> DataFrame:
-    """shingle, set_id, n of all sets' prefixes; copies inside a task are left out."""
-    small_batches(docs.sparkSession)
+    """shingle, salt, n, set_id of all sets' prefixes; copies inside a task are left out. Only shingles seen often have salts."""
     frequent = np.sort(np.array(often, np.int64).view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         done: set[int] = set()
-        for batch in batches:
-            parts, keys, sizes = [], [], []
+        for batch in slices(batches):
+            parts, salts, keys, sizes = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, hashes)
                 key = set_id(s)
                 if len(s) and key not in done:
                     done.add(key)
-                    parts.append(ordered_prefix(s, frequent))
+                    first, hot = ordered_prefix(s, frequent)
+                    parts.append(first)
+                    salts.append(np.where(hot, key % SALTS + 1, 0).astype(np.int32))
                     keys.append(key)
                     sizes.append(len(s))
             if parts:
                 many = [len(p) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(parts))), pa.array(np.repeat(np.array(keys, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many))], ["shingle", "set_id", "n"])
+                columns = [signed(np.concatenate(parts)), np.concatenate(salts), np.repeat(np.array(sizes, np.int32), many), np.repeat(np.array(keys, np.int64), many)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "salt", "n", "set_id"])
 
-    return docs.mapInArrow(run, PREFIX)
+    return docs.select("text").mapInArrow(run, PREFIX)
 
 
-def shared_members(rows: DataFrame) -> DataFrame:
-    """Rows of shingles that two or more sets have, with a hash of who they are. Rows are dealt by shingle."""
+def ties(rows: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
+    """a, b: sets that share a shingle of their prefixes, each tied to the first of those whose sizes lead up to its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "set_id", "n")] for b in batches if b.num_rows]
-        if not got:
-            return
-        shingle, key, n = (np.concatenate(x) for x in zip(*got))
-        order = np.lexsort((key, shingle))
-        shingle, key, n = shingle[order], key[order], n[order]
-        new = np.ones(len(shingle), bool)
-        new[1:] = (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1])
-        shingle, key, n = shingle[new], key[new], n[new]
-        start = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
-        count = np.diff(np.append(start, len(shingle)))
-        mixed = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-        who = np.add.reduceat(mixed, start)
-        keep = np.repeat(count > 1, count)
-        who = np.repeat(who, count)[keep].view(np.int64)
-        shingle, key, n = shingle[keep], key[keep], n[keep]
-        for i in range(0, len(key), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (who, shingle, key, n)], ["members", "shingle", "set_id", "n"])
-
-    return rows.repartition(shuffle_width(rows.sparkSession), "shingle").mapInArrow(run, MEMBERS)
-
-
-def in_groups(members: DataFrame, group: int = GROUP) -> DataFrame:
-    """grp, left, right, block, set_id: one shingle for each distinct group; large groups as pairs of blocks."""
-    same = Window.partitionBy("members")
-    one = members.withColumns({"first": F.min("shingle").over(same)}).where("shingle = first")
-    blocks = F.ceil(F.count("*").over(same) / group).cast("int")
-    one = one.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    other = one.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.select(F.col("members").alias("grp"), F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "set_id")
+        last: list | None = None  # shingle, salt, n of the row before, and the set that rows like it are tied to
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shingle, salt, n, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "salt", "n", "set_id"))
+            before = [np.concatenate([[x[0] if last is None else last[i]], x[:-1]]) for i, x in enumerate((shingle, salt, n))]
+            new = (shingle != before[0]) | (salt != before[1])
+            new |= (salt == 0) & (100 * before[2].astype(np.int64) < percent * n.astype(np.int64))
+            if last is None:
+                new[0] = True
+            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            centre = np.where(at >= 0, key[np.maximum(at, 0)], 0 if last is None else last[3])
+            last = [shingle[-1], salt[-1], n[-1], centre[-1]]
+            tied = (at < 0) | ~new
+            tied &= centre != key
+            hot = new & (salt > 0)
+            a, b = np.concatenate([centre[tied], key[hot]]), np.concatenate([key[tied], key[hot]])
+            of = pa.array(np.concatenate([np.zeros(int(tied.sum()), np.int64), shingle[hot]]), mask=np.arange(len(a)) < tied.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), of], ["a", "b", "shingle"])
+
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), "shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "set_id")
+    found = written(dealt.mapInArrow(run, TIES).distinct(), "ties")
+    # the parts of a hot shingle, SALTS at most, are tied together
+    parts = found.where("shingle IS NOT NULL").groupBy("shingle").agg(F.collect_set("a").alias("sets"))
+    across = parts.select(F.array_min("sets").alias("a"), F.explode("sets").alias("b")).where("a != b").distinct()
+    return found.where("shingle IS NULL").select("a", "b").unionByName(across)
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """set_id, n and data (the sorted shingles) of the wanted sets (text_key of one text that has the set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        done: set[int] = set()
+        for batch in slices(batches, 256):
+            sets = []
+            for key, text in zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist()):
+                if key not in done:
+                    done.add(key)
+                    sets.append(shingle_set(text, hashes))
+            columns = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["set_id", "n", "data"])
+
+    keyed = docs.select(F.xxhash64("text").alias("text_key"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(8)).alias("salt"))
+    if wanted.count() <= FEW:
+        found = keyed.join(F.broadcast(wanted), "text_key", "left_semi")
+    else:
+        found = keyed.join(wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))).cast("long")), ["text_key", "salt"], "left_semi")
+    return found.select("text_key", "text").mapInArrow(run, "set_id long, n long, data binary").dropDuplicates(["set_id"])
 
 
 # ---- the tree ----------------------------------------------------------------------------------------
@@ -214,11 +211,10 @@ def in_groups(members: DataFrame, group: int = GROUP) -> DataFrame:
 class SignatureTree:
     """Levels of nodes over sets, leaves of LEAF sets first. A node: OR of bitmaps, size range, most collisions, component range."""
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray, component: np.ndarray) -> None:
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, collisions: np.ndarray, component: np.ndarray) -> None:
         band = np.floor(np.log(np.maximum(sizes, 1)) / np.log(1.25)).astype(np.int64)
         self.order = np.lexsort((bits[:, 0], component, band))
-        sizes, bits, component = sizes[self.order], bits[self.order], component[self.order]
-        collisions = sizes - np.bitwise_count(bits).sum(1, dtype=np.int64)
+        sizes, bits, collisions, component = sizes[self.order], bits[self.order], collisions[self.order], component[self.order]
         self.levels = [(bits, sizes, sizes, collisions, component, component)]
         while len(self.levels[-1][0]) > FAN:
             b, low, high, c, first, last = self.levels[-1]
@@ -226,173 +222,179 @@ class SignatureTree:
             self.levels.append((np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(c, at), np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)))
 
 
-def joined(one: SignatureTree, two: SignatureTree, same: bool, percent: int = SIMILAR_PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Dual traversal: places (in each tree's input) of all pairs of sets that the bound does not rule out, in batches.
-
-    Nodes that lie wholly in one component (not -1) are ruled out too. same: both trees are one, each pair comes once.
-    """
-    top = max(len(one.levels), len(two.levels)) - 1
-
-    def nodes(tree: SignatureTree, level: int) -> tuple:
-        return tree.levels[min(level, len(tree.levels) - 1)]
-
-    def children(tree: SignatureTree, level: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and end child of nodes of a level, one level down; a tree that is not so high stays where it is."""
-        if level >= len(tree.levels):
-            return at, at + 1
-        fan = LEAF if level == 1 else FAN
-        return at * fan, np.minimum((at + 1) * fan, len(tree.levels[level - 1][0]))
+def possible_pairs(tree: SignatureTree, percent: int = SIMILAR_PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Dual traversal of the tree with itself: places (in its input) of all pairs of sets, each once, that the bound does
+    not rule out and that do not lie in one component, in batches."""
 
     def possible(level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        (ba, la, ha, ca, fa, ta), (bb, lb, hb, cb, fb, tb) = nodes(one, level), nodes(two, level)
-        ok = (100 * ha[i] >= percent * lb[j]) & (100 * hb[j] >= percent * la[i])
-        ok &= ~((fa[i] >= 0) & (fa[i] == ta[i]) & (fb[j] == tb[j]) & (fa[i] == fb[j]))
+        bits, low, high, most, first, last = tree.levels[level]
+        ok = (100 * high[i] >= percent * low[j]) & (100 * high[j] >= percent * low[i])
+        ok &= ~((first[i] == last[i]) & (first[j] == last[j]) & (first[i] == first[j]))
         k = np.flatnonzero(ok)
-        for s in range(0, len(k), 100_000):
-            part = k[s : s + 100_000]
+        for s in range(0, len(k), 50_000):
+            part = k[s : s + 50_000]
             x, y = i[part], j[part]
-            most = np.bitwise_count(ba[x] & bb[y]).sum(1, dtype=np.int64) + np.minimum(ca[x], cb[y])
-            ok[part] = most >= needed_overlap(la[x], lb[y], percent)
+            shared = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64) + np.minimum(most[x], most[y])
+            ok[part] = shared >= needed_overlap(low[x], low[y], percent)
         return ok
 
-    n, m = len(nodes(one, top)[0]), len(nodes(two, top)[0])
-    i, j = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(m), indexing="ij"))
+    top = len(tree.levels) - 1
+    n = len(tree.levels[top][0])
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n), indexing="ij"))
     stack = [(top, i, j)]
     while stack:
         level, i, j = stack.pop()
-        if same:
-            i, j = i[i <= j], j[i <= j]
+        i, j = i[i <= j], j[i <= j]
+        if level == 0:
+            i, j = i[i < j], j[i < j]
         ok = possible(level, i, j)
         i, j = i[ok], j[ok]
         if not len(i):
             continue
         if level == 0:
-            if same:
-                i, j = i[i < j], j[i < j]
-            if len(i):
-                yield one.order[i], two.order[j]
+            yield tree.order[i], tree.order[j]
             continue
-        (a0, a1), (b0, b1) = children(one, level, i), children(two, level, j)
-        wide, tall = a1 - a0, b1 - b0
+        fan, below = (LEAF if level == 1 else FAN), len(tree.levels[level - 1][0])
+        wide, tall = np.minimum((i + 1) * fan, below) - i * fan, np.minimum((j + 1) * fan, below) - j * fan
         size = wide * tall
-        limit = 400_000
-        for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // limit)) + 1):
+        for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // 400_000)) + 1):
             if len(part):
-                w, t, s = wide[part], tall[part], size[part]
+                t, s = tall[part], size[part]
                 inner = np.arange(int(s.sum())) - np.repeat(np.cumsum(s) - s, s)
-                stack.append((level - 1, np.repeat(a0[part], s) + inner // np.repeat(t, s), np.repeat(b0[part], s) + inner % np.repeat(t, s)))
-
+                stack.append((level - 1, np.repeat(i[part] * fan, s) + inner // np.repeat(t, s), np.repeat(j[part] * fan, s) + inner % np.repeat(t, s)))
 
-PAIRS = "a long, b long"
 
+# ---- one cell ------------------------------------------------------------------------------------------
 
-def tree_pairs(groups: DataFrame, partners: bool) -> DataFrame:
-    """Pairs of sets that the trees leave possible; with `partners`, only one partner for each set and group.
 
-    groups: grp, left, right, block, set_id, n, bits, component.
-    """
+class Cell:
+    """Sets that meet in one task: `links` are those that join their components to fewer."""
 
-    def pairs_of(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        left, right, grp = rows[0][1], rows[0][2], rows[0][0]
-        sides = [[r for r in rows if r[3] == side] for side in dict.fromkeys((left, right))]
-        if any(not side for side in sides):
+    def __init__(self, sets: list[np.ndarray], component: list[int], percent: int = SIMILAR_PERCENT) -> None:
+        self.percent, self.count = percent, len(sets)
+        self.label = np.unique(np.array(component, np.int64), return_inverse=True)[1]
+        self.links: list[tuple[int, int]] = []
+        if self.count == 2:
+            if self.label[0] != self.label[1] and self._alike(len(sets[0]), len(sets[1]), len(np.intersect1d(sets[0], sets[1], assume_unique=True))):
+                self.links.append((0, 1))
             return
-        keys = [np.array([r[4] for r in side], np.int64) for side in sides]
-        trees = [SignatureTree(np.array([r[5] for r in side], np.int64), np.frombuffer(b"".join(r[6] for r in side), np.uint64).reshape(len(side), -1), np.array([r[7] for r in side], np.int64)) for side in sides]
-        one, two, a, b = trees[0], trees[-1], keys[0], keys[-1]
-        if not partners:
-            for i, j in joined(one, two, len(trees) == 1):
-                yield a[i], b[j]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        owner, flat = np.repeat(np.arange(self.count), sizes), np.concatenate(sets)
+        while True:  # shingles of one set only count for nothing; sets with too few others go, and so may others then
+            _, token, often = np.unique(flat, return_inverse=True, return_counts=True)
+            shared = often[token] > 1
+            flat, owner, token = flat[shared], owner[shared], token[shared]
+            left = np.bincount(owner, minlength=self.count)
+            stays = 100 * left >= percent * sizes
+            gone = ~stays[owner]
+            if not gone.any():
+                break
+            flat, owner = flat[~gone], owner[~gone]
+        self.at = np.flatnonzero(stays & (left > 0))
+        if len(self.at) < 2:
             return
-        # one of a few rankings for each group: a set has the same partners in most of its groups, so few pairs in all
-        seed = np.uint64((grp % RANKINGS + 1) * 0xD1B54A32D192ED03 % 2**64)
-        rank_a, rank_b = ((k.view(np.uint64) ^ seed) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1) for k in (a, b))
-        none = np.uint64(2**64 - 1)
-        best_a, who_a = np.full(len(a), none), np.zeros(len(a), np.int64)
-        best_b, who_b = (best_a, who_a) if len(trees) == 1 else (np.full(len(b), none), np.zeros(len(b), np.int64))
-        for i, j in joined(one, two, len(trees) == 1):  # the partner of least rank among all possible ones
-            for at, best, who, rank, key, other in ((i, best_a, who_a, rank_b, b, j), (j, best_b, who_b, rank_a, a, i)):
-                order = np.lexsort((rank[other], at))
-                at_, other_ = at[order], other[order]
-                first = np.flatnonzero(np.concatenate([[True], at_[1:] != at_[:-1]]))
-                at_, other_ = at_[first], other_[first]
-                better = rank[other_] < best[at_]
-                best[at_[better]] = rank[other_[better]]
-                who[at_[better]] = key[other_[better]]
-        for own, best, who in ((a, best_a, who_a), (b, best_b, who_b))[: len(trees)]:
-            yield own[best != none], who[best != none]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("grp", "left", "right", "block", "set_id", "n", "bits", "component")))
-
-        held, size = [], 0
-        for _, found in groupby(rows(), key=lambda r: r[:3]):
-            for x, y in pairs_of(list(found)):
-                held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-                size += len(x)
-            if size > 50_000:
-                yield _pair_batch(held)
-                held, size = [], 0
-        if held:
-            yield _pair_batch(held)
-
-    columns = ["grp", "left", "right", "block", "set_id", "n", "bits", "component"]
-    dealt = groups.select(*columns).repartition(shuffle_width(groups.sparkSession), "grp", "left", "right").sortWithinPartitions("grp", "left", "right")
-    return dealt.mapInArrow(run, PAIRS).distinct()
-
-
-def _pair_batch(held: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate(held), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-
-# ---- verification --------------------------------------------------------------------------------------
-
-
-def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set_id and data (the sorted shingles) of the wanted sets (set_id, doc_id of one document that has it)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        self.sizes = sizes[self.at]
+        owner = (np.cumsum(stays & (left > 0)) - 1)[owner]
+        self._signatures(owner, token, often)
+        self._leaders()
+        tree = SignatureTree(self.sizes, np.concatenate([self.exact, self.hashed], 1), self.collisions, self.label[self.at])
+        for i, j in possible_pairs(tree, percent):
+            self._verify(i, j)
+
+    def _alike(self, a: int, b: int, shared: int) -> bool:
+        return 100 * shared >= self.percent * (a + b - shared)
+
+    def _signatures(self, owner: np.ndarray, token: np.ndarray, often: np.ndarray) -> None:
+        """Bits of the sets that stay: the most shared tokens have their own, the rest hashed ones; and the rest as lists."""
+        n = len(self.at)
+        here = np.unique(token)
+        ranked = here[np.argsort(-often[here], kind="stable")]
+        place = np.full(len(often), -1, np.int64)
+        place[ranked] = np.arange(len(ranked))
+        place = place[token]
+        width = min(TOKENS, -(-len(ranked) // 64) * 64)
+        own = place < TOKENS
+        self.exact = self._bitmap(n, width, owner[own], place[own])
+        rest, of = place[~own], owner[~own]
+        self.rest = np.bincount(of, minlength=n)
+        self.hashed = self._bitmap(n, HASHED if len(rest) else 64, of, (rest * 2654435761 >> 7) % HASHED)
+        self.collisions = self.rest - np.bitwise_count(self.hashed).sum(1, dtype=np.int64)
+        order = np.lexsort((rest, of))
+        self.lists = np.split(rest[order], np.cumsum(self.rest)[:-1])
+
+    @staticmethod
+    def _bitmap(rows: int, width: int, row: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        out = np.zeros((rows, width // 64), np.uint64)
+        for s in range(0, rows, 1024):
+            mine = (row >= s) & (row < s + 1024)
+            dense = np.zeros((min(1024, rows - s), width), bool)
+            dense[row[mine] - s, bit[mine]] = True
+            out[s : s + 1024] = np.packbits(dense, axis=1).view(np.uint64)
+        return out
+
+    def _verify(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Links among pairs of places in self.at that lie in different components."""
+        apart = self.label[self.at[i]] != self.label[self.at[j]]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            return
+        shared = np.bitwise_count(self.exact[i] & self.exact[j]).sum(1, dtype=np.int64)
+        need = needed_overlap(self.sizes[i], self.sizes[j], self.percent)
+        near = shared + np.minimum(self.rest[i], self.rest[j]) >= need
+        for a, b, have, least in zip(i[near].tolist(), j[near].tolist(), shared[near].tolist(), need[near].tolist()):
+            x, y = self.at[a], self.at[b]
+            if self.label[x] == self.label[y]:
+                continue
+            if have < least:
+                have += len(np.intersect1d(self.lists[a], self.lists[b], assume_unique=True))
+            if have >= least:
+                self.links.append((int(x), int(y)))
+                self.label[self.label == self.label[y]] = self.label[x]
+
+    def _leaders(self, most: int = 16) -> None:
+        """A few sets are compared with all others first: where most are alike, the traversal then finds one component."""
+        everyone = np.arange(len(self.at))
+        tried = np.zeros(len(self.at), bool)
+        for _ in range(min(most, len(self.at) // LEAF)):
+            label, counts = np.unique(self.label[self.at], return_counts=True)
+            alone = ~tried & (counts[np.searchsorted(label, self.label[self.at])] == 1)
+            if not alone.any():
+                return
+            leader = int(np.flatnonzero(alone)[0])
+            tried[leader] = True
+            others = everyone[everyone != leader]
+            self._verify(np.full(len(others), leader), others)
+
+
+LINKS = "a long, b long"
+
+
+def cell_links(cells: DataFrame) -> DataFrame:
+    """a, b: links that join the components of each cell. cells: cell, part, set_id, component, data; a set may come twice."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            sets = [shingle_set(text, hashes).tobytes() for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(sets, pa.binary())], ["set_id", "data"])
-
-    few = wanted.count() <= FEW_SETS
-    return docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("set_id", "text").mapInArrow(run, "set_id long, data binary").dropDuplicates(["set_id"])
-
-
-def kept_pairs(pairs: DataFrame, data: DataFrame, keep: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """The pairs whose data (set_id, data) pass `keep`, streamed by first member and one of eight salts."""
-    width = shuffle_width(pairs.sparkSession)
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(8)).cast("int"))
-    seconds = pairs.join(data.withColumnRenamed("set_id", "b"), "b").select("a", "salt", F.col("b").alias("b"), "data")
-    firsts = pairs.select("a", "salt").distinct().join(data.withColumnRenamed("set_id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "data")
-    dealt = firsts.unionByName(seconds).repartition(width, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+            yield from zip(*(batch.column(c).to_pylist() for c in ("cell", "part", "set_id", "component", "data")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_key, own = None, b""
-        for batch in batches:
-            out = []
-            for a, b, value in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "data"))):
-                if b is None:
-                    own_key, own = a, value
-                elif a == own_key and keep(own, value):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+        out: list[tuple[int, int]] = []
+        for _, found in groupby(rows(batches), key=lambda r: r[:2]):
+            sets = {key: (component, np.frombuffer(data, np.uint64)) for _, _, key, component, data in found}
+            if len(sets) > 1:
+                keys = list(sets)
+                out += [(keys[i], keys[j]) for i, j in Cell([x[1] for x in sets.values()], [x[0] for x in sets.values()]).links]
+            if len(out) > 10_000:
+                yield _pairs(out)
+                out = []
+        if out:
+            yield _pairs(out)
 
-    return dealt.mapInArrow(run, PAIRS)
+    dealt = cells.select("cell", "part", "set_id", "component", "data").repartition(shuffle_width(cells.sparkSession), "cell", "part").sortWithinPartitions("cell", "part", "set_id")
+    return dealt.mapInArrow(run, LINKS)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that are links: wide bitmaps rule out most others, whole sets decide."""
-    near = written(kept_pairs(pairs, sets.select("set_id", F.col("wide").alias("data")), may_link), "near")
-    ids = near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    # a set all of whose documents have a null id cannot be fetched by id
-    wanted = written(sets.select("set_id", "doc_id").join(ids, "set_id").where("doc_id IS NOT NULL"), "wanted")
-    return kept_pairs(near, written(whole_sets(docs, wanted), "whole"), alike)
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -413,29 +415,80 @@ def components(links: DataFrame) -> DataFrame:
 # ---- operator --------------------------------------------------------------------------------------------
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast where it is proven small."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def first_cells(sets: DataFrame, large: DataFrame) -> DataFrame:
+    """Small clusters whole; blocks of large ones (cluster, blocks, leaders), each with the cluster's leaders."""
+    alone = F.col("set_id").alias("component")
+    near = sets.join(large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    plain = near.select(F.col("cluster").alias("cell"), F.pmod(F.xxhash64("set_id"), "blocks").alias("part"), "set_id", alone, "data")
+    leading = near.where("blocks > 1").where(F.array_contains("leaders", F.col("set_id")))
+    return plain.unionByName(leading.select(F.col("cluster").alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), "set_id", alone, "data"))
+
+
+def further_cells(sets: DataFrame, cell_bytes: int) -> DataFrame:
+    """Pairs of blocks of large clusters; sets have a component. A large component has blocks of its own, the others share some."""
+    half = cell_bytes // 2
+    weight = F.sum(F.col("n") * 8 + SET_BYTES).alias("weight")
+    sizes = sets.groupBy("cluster", "component").agg(weight)
+    apart = sizes.where(F.col("weight") > half).select("cluster", "component", F.ceil(F.col("weight") / half).alias("own_blocks"))
+    others = sizes.where(F.col("weight") <= half).groupBy("cluster").agg(F.ceil(F.sum("weight") / half).alias("shared_blocks"))
+    where = sets.join(_few(apart), ["cluster", "component"], "left").join(_few(others), "cluster", "left")
+    own = F.col("own_blocks").isNotNull()
+    block = F.when(own, F.xxhash64("component", F.pmod(F.xxhash64("set_id"), "own_blocks"))).otherwise(F.xxhash64(F.lit("shared"), F.pmod(F.xxhash64("component"), "shared_blocks")))
+    where = written(where.select("cluster", block.alias("block"), F.when(own, F.col("component")).alias("whole"), "set_id", "component", "data"), "blocks")
+    blocks = where.select("cluster", "block", "whole").distinct()
+    second = blocks.select("cluster", F.col("block").alias("block2"), F.col("whole").alias("whole2"))
+    pairs = blocks.join(second, "cluster").where("block <= block2 AND NOT coalesce(whole = whole2, false)")
+    meet = pairs.select("cluster", F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"), F.xxhash64("cluster", "block", "block2").alias("part"))
+    return where.join(meet, ["cluster", "block"]).select(F.col("cluster").alias("cell"), "part", "set_id", "component", "data")
+
+
+def set_links(docs: DataFrame, sets: DataFrame, often: list[int], cell_bytes: int = CELL_BYTES) -> DataFrame | None:
+    """Links (a, b) between sets, enough to connect all that any links connect. sets: set_id, text_key, n."""
+    found = ties(prefixes(docs, often))
+    if found.isEmpty():
+        return None
+    clusters = components(found).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
+    nodes = written(sets.join(clusters, "set_id"), "nodes")
+    ranked = [F.min(F.struct(F.xxhash64("set_id", F.lit(k)).alias("rank"), "set_id")).alias(f"leader{k}") for k in range(LEADERS)]
+    sizes = nodes.groupBy("cluster").agg(F.sum(F.col("n") * 8 + SET_BYTES).alias("weight"), *ranked).where(F.col("weight") > cell_bytes)
+    large = written(sizes.select("cluster", F.ceil(F.col("weight") / cell_bytes).alias("blocks"), F.array(*[F.col(f"leader{k}.set_id") for k in range(LEADERS)]).alias("leaders")), "large")
+    whole = whole_sets(docs, nodes.select("text_key"))
+    whole = written(whole.join(_few(nodes.select("set_id", "cluster")), "set_id"), "whole")
+    links = written(cell_links(first_cells(whole, _few(large))), "links")
+    if large.isEmpty():
+        return links
+    labels = components(links).select(F.col("node").alias("set_id"), "component")
+    again = whole.join(_few(large.select("cluster")), "cluster", "left_semi").join(labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    return links.unionByName(written(cell_links(further_cells(again, cell_bytes)), "links"))
+
+
+def jaccard_classes(docs: DataFrame, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     docs = id_and_text(docs)
     everything = written(described(docs), "sets")
-    own = everything.where("set_id IS NOT NULL")
+    own = everything.where("set_id IS NOT NULL").select("doc_id", "set_id", "n")
     often = [r.t for r in everything.where("often IS NOT NULL").select(F.explode("often").alias("t")).groupBy("t").count().orderBy(F.desc("count"), "t").limit(OFTEN).collect()]
-    groups = written(in_groups(written(shared_members(prefixes(docs.select("text"), often)), "members")), "groups")
-    sets = own.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
-    filled = written(groups.join(sets.select("set_id", "n", "bits"), "set_id"), "filled")
-    possible = written(tree_pairs(filled.withColumn("component", F.lit(-1).cast("long")), partners=True), "pairs")
-    first_links = written(_linked(possible, sets, docs), "links")
-    found = components(first_links).withColumnRenamed("node", "set_id")
-    # sets without a possible partner cannot gain a link; the others carry a number of their component, -1 where they have none
-    in_pairs = possible.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    again = filled.join(in_pairs, "set_id").join(found, "set_id", "left")
-    numbered = again.withColumn("component", F.coalesce(F.xxhash64("component").bitwiseAND(F.lit(2**63 - 1)), F.lit(-1).cast("long")))
-    more = tree_pairs(numbered, partners=False).join(possible, ["a", "b"], "left_anti")
-    links = first_links.unionByName(_linked(more, sets, docs))
-    least = sets.select("set_id", "doc_id").where("doc_id IS NOT NULL")
-    as_docs = links.join(least.select(F.col("set_id").alias("a"), F.col("doc_id").alias("da")), "a").join(least.select(F.col("set_id").alias("b"), F.col("doc_id").alias("db")), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
-    labels = components(as_docs).withColumnRenamed("node", "least_id")
-    classes = least.withColumnRenamed("doc_id", "least_id").join(labels, "least_id", "left").select("set_id", F.coalesce("component", "least_id").alias("class_id"))
-    return own.select("doc_id", "set_id", "n").join(classes, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    sets = written(everything.where("n > 0").groupBy("set_id").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "distinct")
+    links = set_links(docs, sets.select("set_id", "text_key", "n"), often, cell_bytes)
+    classes = sets.select("set_id", "class_id", "copies")
+    if links is not None:
+        labels = components(links).withColumnRenamed("node", "set_id")
+        named = written(classes.join(labels, "set_id"), "linked")
+        least = named.groupBy("component").agg(F.min("class_id").alias("least"))
+        linked = named.join(least, "component").select("set_id", F.col("least").alias("linked_id"))
+        classes = classes.join(linked, "set_id", "left").select("set_id", F.coalesce("linked_id", "class_id").alias("class_id"), "copies")
+    classes = written(classes, "classes")
+    # sets of very many documents, MOST_HOT rows at most, are broadcast, so that their rows stay where they are
+    hot = classes.where(F.col("copies") > HOT_COPIES).orderBy(F.desc("copies"), "set_id").limit(MOST_HOT).select("set_id", F.struct("class_id").alias("hot"))
+    rows = own.join(F.broadcast(hot), "set_id", "left")
+    told = rows.where("hot IS NOT NULL").select("doc_id", "n", F.col("hot.class_id").alias("class_id"))
+    told = told.unionByName(rows.where("hot IS NULL").join(classes.select("set_id", "class_id"), "set_id", "left").select("doc_id", "n", "class_id"))
+    return told.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

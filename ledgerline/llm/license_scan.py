@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm.align import disjoint_alignments, most_shared, plain_words
-from ledgerline.llm.common import WordHashes, id_and_text, read_table, shingle_sequence, small_batches
+from ledgerline.llm.common import WordHashes, id_and_text, read_table, shingle_sequence, slices
 
 GRAM = 3
 WINDOW = 3
@@ -134,11 +134,10 @@ FOUND = "doc_id long, template string, coverage double, matched long, start_word
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """One row per document and template found in it."""
     templates = TEMPLATES if templates is None else templates
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates)
-        for batch in batches:
+        for batch in slices(batches):
             found = [(doc, *x) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for x in index.matches(text, least)]
             cols = list(zip(*found)) if found else [[] for _ in range(8)]
             kinds = [pa.int64(), pa.string(), pa.float64(), *[pa.int64()] * 5]

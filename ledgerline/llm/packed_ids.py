@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerline.llm.common import id_and_text, new_path, shuffle_width, small_batches, with_range_bucket, written
+from ledgerline.llm.common import id_and_text, new_path, shuffle_width, slices, with_range_bucket, written
 
 #: (ids in a word, bits of each) by selector.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -224,7 +224,6 @@ READ = "file string, doc_id long, at long, local_start long, n_tokens long, ids_
 def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the ids of all texts, each followed by the end id, in ascending doc_id order; returns the list of files."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = id_and_text(docs, id_col, text_col)
     width = shuffle_width(spark)
     rows, _ = with_range_bucket(rows, "doc_id", width)
@@ -249,7 +248,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0
             sequence += 1
             return line
 
-        for batch in batches:
+        for batch in slices(batches):
             for b, doc, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "text"))):
                 if docs_ and (b != bucket or held >= FILE_IDS):
                     yield flush()

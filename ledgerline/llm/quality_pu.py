@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import id_and_text, read_table, small_batches
+from ledgerline.llm.common import id_and_text, read_table, slices
 
 SAMPLE = 8_000
 HIDDEN = 16
@@ -131,7 +131,7 @@ def _sampled_features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     """Features of the documents with these ids. ids: SAMPLE rows at most, so they are broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = [features(text).tolist() for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "x"])
 
@@ -158,10 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model
 
 def score(docs: DataFrame, model: Model | None, prior: float) -> DataFrame:
     """doc_id and the score of every row."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             x = np.array([features(text) for text in texts], np.float64).reshape(len(texts), FEATURES)
             got = model.scores(x) if model else np.full(len(texts), prior)
@@ -172,11 +171,10 @@ def score(docs: DataFrame, model: Model | None, prior: float) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model | None, prior: float, least: float = KEEP_FROM) -> DataFrame:
     """The rows of docs, all columns as they are, whose text scores `least` or more."""
-    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([features(text or "") for text in batch.column(at).to_pylist()], np.float64).reshape(batch.num_rows, FEATURES)
             got = model.scores(x) if model else np.full(batch.num_rows, prior)
             yield batch.filter(pa.array(got >= least))

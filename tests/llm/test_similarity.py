@@ -63,34 +63,72 @@ def test_classes_against_all_pairs(spark, monkeypatch):
     assert got == Counter(plain_classes(rows))
 
 
+def class_rows(docs, **options):
+    return Counter((r.doc_id, r.n_shingles, r.component_id) for r in jt.jaccard_classes(docs, **options).collect())
+
+
 def test_blocks_of_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr(jt, "GROUP", 7)
+    monkeypatch.setattr(jt, "OFTEN_IN_CHUNK", 3)
     rng = random.Random(5)
     base = cases.prose(1, 150).split()
     rows = [(i, edited(base, rng, 1 + i % 3)) for i in range(50)]
-    groups = jt.in_groups(spark.createDataFrame([(1, 5, i, 10) for i in range(50)], jt.MEMBERS), 7).collect()
-    meet = {frozenset((x.set_id, y.set_id)) for x in groups for y in groups if (x.left, x.right) == (y.left, y.right) and x.set_id != y.set_id}
-    assert len(meet) == 50 * 49 // 2
-    got = {(r.doc_id, r.component_id) for r in jt.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {(d, c) for d, _, c in plain_classes(rows)}
+    other = edited(base, rng, 9).split()
+    rows += [(100 + i, edited(other, rng, 1 + i % 4)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert class_rows(docs, cell_bytes=20_000) == class_rows(docs) == Counter(plain_classes(rows))
+
+
+def test_null_ids_and_repeated_ids_link_others(spark):
+    rng = random.Random(7)
+    first = cases.prose(1, 200).split()
+    bridge, last = edited(first, rng, 3).split(), None
+    last = edited(bridge, rng, 3)
+    rows = [(1, " ".join(first)), (2, last), (None, " ".join(bridge)), (5, cases.prose(50, 90)), (5, cases.prose(51, 90)), (9, edited(cases.prose(51, 90).split(), rng, 1)), (3, edited(cases.prose(50, 90).split(), rng, 1))]
+    want = plain_classes(rows)
+    assert Counter(want)[(2, want[1][1], 1)] == 1 and {c for d, _, c in want if d == 9} == {5}
+    assert class_rows(spark.createDataFrame(rows, "doc_id long, text string")) == Counter(want)
+
+
+def test_five_thousand_near_copies_make_few_links(spark):
+    rng = random.Random(8)
+    base = cases.prose(3, 60).split()
+    sets = list({s.tobytes(): s for s in (shingle_set(edited(base, rng, 1), WordHashes()) for _ in range(5000))}.values())
+    cell = jt.Cell(sets, list(range(len(sets))))
+    assert len(cell.links) == len(sets) - len(set(cell.label.tolist())) <= len(sets) - 1
+
+
+def linked_by_pairs(sets):
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for b in range(len(sets)):
+        for a in range(b):
+            if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])):
+                root[find(a)] = find(b)
+    return [find(i) for i in range(len(sets))]
 
 
-def test_tree_keeps_every_linked_pair():
+def test_cell_finds_every_component(monkeypatch):
     rng = random.Random(6)
     hashes, sets = WordHashes(), []
     for g in range(12):
-        base = cases.prose(g + 1, 20 + 30 * g).split()
-        sets += [shingle_set(edited(base, rng, k), hashes) for k in range(6)]
-    sizes = np.array([len(s) for s in sets])
-    bits = np.stack([jt.bitmap(s) for s in sets])
-    tree = jt.SignatureTree(sizes, bits, np.full(len(sets), -1))
-    left = {(min(a, b), max(a, b)) for i, j in jt.joined(tree, tree, True) for a, b in zip(i.tolist(), j.tolist())}
-    want = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
-    assert want <= left and len(left) < len(sets) * (len(sets) - 1) // 4
-    one = jt.SignatureTree(sizes[:30], bits[:30], np.full(30, -1))
-    two = jt.SignatureTree(sizes[30:], bits[30:], np.full(len(sets) - 30, -1))
-    across = {(a, b + 30) for i, j in jt.joined(one, two, False) for a, b in zip(i.tolist(), j.tolist())}
-    assert {p for p in want if p[0] < 30 <= p[1]} <= across
+        base = cases.prose(g // 2 + 1, 20 + 30 * g).split()
+        sets += [shingle_set(edited(base, rng, k), hashes) for k in range(9)]
+    want = linked_by_pairs(sets)
+    for tokens in (4096, 64):  # with bits of their own for all shared shingles, and hashed bits for most
+        monkeypatch.setattr(jt, "TOKENS", tokens)
+        cell = jt.Cell(sets, list(range(len(sets))))
+        same = lambda labels: {tuple(x == y for y in labels) for x in labels}
+        assert same(cell.label.tolist()) == same(want)
+        assert len(cell.links) == len(sets) - len(set(want))
+    tree = jt.SignatureTree(cell.sizes, np.concatenate([cell.exact, cell.hashed], 1), cell.collisions, np.arange(len(cell.at)))
+    left = {(min(a, b), max(a, b)) for i, j in jt.possible_pairs(tree) for a, b in zip(cell.at[i].tolist(), cell.at[j].tolist())}
+    linked = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert linked <= left and len(left) < len(sets) * (len(sets) - 1) // 4
 
 
 def test_one_of_each_and_empty(spark):
