@@ -2,8 +2,8 @@
 
 1. Documents with equal sets are one set from here on (`set_id`, 64 bits of its hash; the least doc_id stands for it).
 2. Two linked sets share a shingle among the first n - ceil(0.8 n) + 1 of each, in any order that both use. The order
-   here puts the shingles seen most often last, so that passages which many documents share rarely select anything; a
-   list of at most `OFTEN` of them goes to the tasks. The list only changes the order, so it may be incomplete. The sets
+   here starts with a part of all shingles, those that fewest sets have first, so a set with enough shingles of its own selects nothing; a
+   list of at most `OFTEN` shingles seen very often comes last (it only changes the order, so it may be incomplete). The sets
    that share such a shingle are tied to one of them (hot shingles in `SALTS` parts first), as many ties as sets. The
    connected components of these ties are clusters: no link leaves a cluster.
 3. Whole sets of clusters are fetched once, and meet in cells of at most about `CELL_BYTES`. A small cluster is a cell. A
@@ -34,7 +34,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import SIMILAR_PERCENT, WordHashes, id_and_text, read_table, shingle_set, shuffle_width, signed, slices, written
@@ -43,6 +43,8 @@ OFTEN = 200_000
 OFTEN_IN_CHUNK = 8
 CHUNK_SHINGLES = 2_000_000
 SALTS = 64
+#: Shingles below this hash, 7 of 20, are put in order by their counts.
+SLICE = (7 * 2**20 // 20) << 44
 #: What a cell holds at most, about: eight bytes a shingle and SET_BYTES a set.
 CELL_BYTES = 16 << 20
 SET_BYTES = 2048
@@ -105,51 +107,108 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, SETS)
 
 
-def ordered_prefix(shingles: np.ndarray, often: np.ndarray, percent: int = SIMILAR_PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of a set, as many as a linked set cannot all miss: rare ones first, each kind by hash; and which are often."""
+def prefix_candidates(shingles: np.ndarray, often: np.ndarray, percent: int = SIMILAR_PERCENT) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shingles that may be in a set's prefix, whether each is often seen, and the slack.
+
+    The order of all shingles: those not in `often` and in the first SLICE of all hashes, by how many sets have them; then
+    the others not in `often`, by hash; then `often`, by hash. The prefix is the first n - ceil(0.8 n) + 1 in this order, as many as two linked
+    sets cannot both have without one in common. Counts are not known yet, so all of the first kind are given; the last
+    `slack` of them are not in the prefix. Where it is negative, they all are, and so is what follows them.
+    """
     n = len(shingles)
     count = n - -(-percent * n // 100) + 1
-    common = np.zeros(n, bool)
+    hot = np.zeros(n, bool)
     if len(often):
         at = np.searchsorted(often, shingles)
         at[at == len(often)] = 0
-        common = often[at] == shingles
-        shingles = np.concatenate([shingles[~common], shingles[common]])
-        common = np.sort(common)
-    return shingles[:count], common[:count]
-
-
-PREFIX = "shingle long, salt int, n int, set_id long"
+        hot = often[at] == shingles
+    early = ~hot & (shingles < SLICE)
+    slack = int(early.sum()) - count
+    if slack >= 0:
+        return shingles[early], np.zeros(slack + count, bool), slack
+    late, last = shingles[~hot & ~early][:-slack], shingles[hot]
+    last = last[: max(0, -slack - len(late))]
+    return np.concatenate([shingles[early], late, last]), np.arange(slack + count + len(late) + len(last)) >= slack + count + len(late), slack
+
+
+PREFIX = "shingle long, salt int, n int, slack int, set_id long"
+SHARED = "shingle long, salt int, n int, slack int, set_id long, n_sets long"
 TIES = "a long, b long, shingle long"
 
 
-def prefixes(docs: DataFrame, often: list[int]) -> DataFrame:
-    """shingle, salt, n, set_id of all sets' prefixes; copies inside a task are left out. Only shingles seen often have salts."""
+def candidates(docs: DataFrame, often: list[int]) -> DataFrame:
+    """What `prefix_candidates` gives for all sets; copies inside a task are left out. Only shingles seen often have salts."""
     frequent = np.sort(np.array(often, np.int64).view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         done: set[int] = set()
         for batch in slices(batches):
-            parts, salts, keys, sizes = [], [], [], []
+            parts, salts, keys, sizes, slacks = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, hashes)
                 key = set_id(s)
                 if len(s) and key not in done:
                     done.add(key)
-                    first, hot = ordered_prefix(s, frequent)
+                    first, hot, slack = prefix_candidates(s, frequent)
                     parts.append(first)
                     salts.append(np.where(hot, key % SALTS + 1, 0).astype(np.int32))
                     keys.append(key)
                     sizes.append(len(s))
+                    slacks.append(slack)
             if parts:
                 many = [len(p) for p in parts]
-                columns = [signed(np.concatenate(parts)), np.concatenate(salts), np.repeat(np.array(sizes, np.int32), many), np.repeat(np.array(keys, np.int64), many)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "salt", "n", "set_id"])
+                spread = lambda x, kind: np.repeat(np.array(x, kind), many)  # noqa: E731, B023
+                columns = [signed(np.concatenate(parts)), np.concatenate(salts), spread(sizes, np.int32), spread(slacks, np.int32), spread(keys, np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in PREFIX.split(", ")])
 
     return docs.select("text").mapInArrow(run, PREFIX)
 
 
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows of shingles that two sets or more have, with their number; those with salts as they are."""
+    names = [f.split()[0] for f in PREFIX.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # the rows of the last shingle: of those without salts, no more than `often` allows
+
+        def table(shingle, salt, n, slack, key) -> pa.RecordBatch:
+            new = np.ones(len(shingle), bool)
+            new[1:] = (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1])
+            shingle, salt, n, slack, key = (x[new] for x in (shingle, salt, n, slack, key))
+            start = np.flatnonzero(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1])]))
+            count = np.diff(np.append(start, len(shingle)))
+            count = np.repeat(count, count)
+            keep = (count > 1) | (salt > 0)
+            columns = [x[keep] for x in (shingle, salt, n, slack, key)] + [np.where(salt > 0, 0, count)[keep]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in SHARED.split(", ")])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            got = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            if held is not None:
+                got = [np.concatenate([x, y]) for x, y in zip(held, got)]
+            end = int(np.searchsorted(got[0], got[0][-1])) if got[1][-1] == 0 else len(got[0])
+            held = [x[end:] for x in got]
+            if end:
+                yield table(*(x[:end] for x in got))
+        if held is not None and len(held[0]):
+            yield table(*held)
+
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), "shingle", "salt").sortWithinPartitions("shingle", "salt", "set_id")
+    return dealt.mapInArrow(run, SHARED)
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """shingle, salt, n, set_id: of the shared shingles, those in their set's prefix. A window holds one set's shingles."""
+    own = Window.partitionBy("set_id", "early")
+    place = F.row_number().over(own.orderBy("n_sets", "shingle"))
+    early = (F.col("salt") == 0) & (F.shiftrightunsigned("shingle", 44) < (SLICE >> 44))
+    ranked = rows.withColumn("early", early).withColumns({"place": place, "many": F.count("*").over(own)})
+    return ranked.where(~F.col("early") | (F.col("place") <= F.col("many") - F.col("slack"))).select("shingle", "salt", "n", "set_id")
+
+
 def ties(rows: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
     """a, b: sets that share a shingle of their prefixes, each tied to the first of those whose sizes lead up to its own."""
 
@@ -449,7 +508,7 @@ def further_cells(sets: DataFrame, cell_bytes: int) -> DataFrame:
 
 def set_links(docs: DataFrame, sets: DataFrame, often: list[int], cell_bytes: int = CELL_BYTES) -> DataFrame | None:
     """Links (a, b) between sets, enough to connect all that any links connect. sets: set_id, text_key, n."""
-    found = ties(prefixes(docs, often))
+    found = ties(prefixes(shared(candidates(docs, often))))
     if found.isEmpty():
         return None
     clusters = components(found).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
