@@ -142,7 +142,29 @@ def with_range_bucket(df: DataFrame, key: str, buckets: int, name: str = "bucket
 def _ends_below(key: Column, ends: list[int]) -> Column:
     """How many of the ascending ends are below the key: by groups of ends first, then inside one group."""
     group = max(1, int(len(ends) ** 0.5))
-    as_array = lambda xs: F.array(*[F.lit(int(x)) for x in xs])
+    as_array = lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs])
     below = lambda array: F.aggregate(array, F.lit(0), lambda n, x: n + (x < key).cast("int"))
     groups = F.greatest(below(as_array(ends[::group])), F.lit(1))  # groups whose first end is below; the last of them is looked into
     return (groups - 1) * group + below(F.slice(as_array(ends), (groups - 1) * group + 1, group))
+
+
+def with_ordered_part(df: DataFrame, key: str, tie: Column, parts: int, name: str = "part") -> DataFrame:
+    """A column that deals rows to `parts` numbered ranges of an integer key, as even as the key's own counts are known.
+
+    A key that fills several ranges by itself is split over them by `tie`, a hash. Null keys are the least.
+    """
+    least = F.coalesce(F.col(key), F.lit(-(2**63)))
+    ends: list[int] = []
+    if parts > 1:
+        ends = sorted(df.select(F.percentile_approx(least, [i / parts for i in range(1, parts)], 100 * parts).alias("ends")).first()["ends"] or [])
+    if not ends:
+        return df.withColumn(name, F.lit(0))
+    distinct = sorted(set(ends))
+    before = [0]
+    for end in distinct:
+        before.append(before[-1] + ends.count(end))
+    below = _ends_below(least, distinct)
+    firsts = F.array(*[F.lit(x) for x in [*before, before[-1] + 1]])
+    first, end = F.get(firsts, below), F.get(F.array(*[F.lit(x) for x in distinct]), below)
+    many = F.when(end == least, F.get(firsts, below + 1) - first).otherwise(1)
+    return df.withColumn(name, (first + F.pmod(tie, many)).cast("int"))

@@ -10,8 +10,8 @@ is null (u8), the ids per document (u64), the word offset of each block (u64), t
 range and sequence, so that the order of their names is ascending doc_id order. A task that runs again writes the same
 bytes under the same name.
 
-Cases: a null or empty text has only the end id; a null doc_id comes first; repeated ids keep all their rows, ordered by
-text; an empty table gives no files and an empty result; further columns of the input are not read.
+Cases: a null or empty text has only the end id; null ids come first; repeated ids keep all their rows, next to each
+other; an empty table gives no files and an empty result; further columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerline.llm.common import id_and_text, new_path, shuffle_width, slices, with_range_bucket, written
+from ledgerline.llm.common import id_and_text, new_path, shuffle_width, slices, with_ordered_part, written
 
 #: (ids in a word, bits of each) by selector.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -57,11 +57,19 @@ def _width(values: np.ndarray) -> np.ndarray:
     return np.maximum(out, 1)
 
 
-def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """The words of the ids, and the words before each block."""
+def pack(ids: np.ndarray, block: int = BLOCK, blocks: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the ids, and the words before each block. So many blocks are packed side by side."""
+    words, offsets, before = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], 0
+    for at in range(0, len(ids), block * blocks):
+        some, places = _pack(ids[at : at + block * blocks], block)
+        words.append(some)
+        offsets.append(places + np.uint64(before))
+        before += len(some)
+    return np.concatenate(words), np.concatenate(offsets)
+
+
+def _pack(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
-    if not n:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
     widest = {1: np.concatenate([_width(ids), np.zeros(60, np.uint8)])}  # the most bits of any id in the run that starts at each place
     for count, run, shift in _COVERS:
         most = widest[run].copy()
@@ -161,7 +169,7 @@ def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 #: any of these go to the library whole.
 _ODD = ["  ", "\n ", " \n", "\n\n", "\t", "\r", "\v", "\f", "\0", "\x1c", "\x1d", "\x1e", "\x1f"]
 _ODD_WIDE = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-_RUN_OF_MARKS = re.compile(r"[\W_][.,](?:[ \n]|\Z)")
+_RUN_OF_MARKS = re.compile(r"[.,](?<=[\W_][.,])(?:[ \n]|\Z)")
 
 
 class PieceEncoder:
@@ -169,15 +177,21 @@ class PieceEncoder:
 
     Byte-level pre-tokenization starts a new match at every space that follows a non-space, before and after a lone line
     feed between non-spaces, and where a letter or digit is followed by one full stop or comma and then a space or line
-    feed. So the pieces between such places encode alone as they do inside the text. Texts with other whitespace are
-    given to the library whole. The ids of the pieces seen last, twice `keep` at most, are remembered.
+    feed. So the pieces between such places encode alone as they do inside the text. New pieces that start with a space
+    go to the library as one text: only the first id of such a piece starts with a space. Texts with other whitespace or
+    with a special token of the tokenizer's are given to the library whole. The ids of the pieces seen last, twice
+    `keep` at most, are remembered.
     """
 
-    def __init__(self, path: str, keep: int = 600_000) -> None:
+    def __init__(self, path: str, keep: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4"
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = "<u2" if max(vocabulary.values(), default=0) < 65_536 else "<u4"
+        self.whole_for = [*_ODD, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0] if self.tokenizer.pre_tokenizer else " "
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
         self.keep = keep
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
@@ -186,10 +200,23 @@ class PieceEncoder:
         code = self.kind[1:] == "u2" and "H" or "I"  # little-endian machines, as Spark's executors are
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _new_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        spaced = [p for p in pieces if p[0] == " " and len(p) > 1]
+        out = {}
+        if len(spaced) > 1:
+            ids = np.frombuffer(self._library(["".join(spaced)])[0], self.kind)
+            first = np.flatnonzero(self.opens[ids])
+            if len(first) == len(spaced):
+                ends = np.append(first[1:], len(ids)) * ids.itemsize
+                data = ids.tobytes()
+                out = {p: data[a:b] for p, a, b in zip(spaced, (first * ids.itemsize).tolist(), ends.tolist())}
+        rest = [p for p in pieces if p not in out]
+        return out | dict(zip(rest, self._library(rest)))
+
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, self.kind)
-        if text[0] in " \n" or text[-1] == "\n" or any(x in text for x in _ODD) or not text.isascii() and any(x in text for x in _ODD_WIDE):
+        if text[0] in " \n" or text[-1] == "\n" or any(x in text for x in self.whole_for) or not text.isascii() and any(x in text for x in _ODD_WIDE):
             return np.frombuffer(self._library([text])[0], self.kind)
         if len(self.known) > self.keep:
             self.known, self.older = {"": b""}, self.known
@@ -202,8 +229,8 @@ class PieceEncoder:
             holes = [i for i, x in enumerate(found) if x is None]
             missing = {parts[i] for i in holes}
             back = {p: ids for p in missing if (ids := self.older.get(p)) is not None}
-            new = list(missing - back.keys())
-            back.update(zip(new, self._library(new)))
+            if len(back) < len(missing):
+                back |= self._new_pieces(list(missing - back.keys()))
             self.known.update(back)
             for i in holes:
                 found[i] = back[parts[i]]
@@ -226,8 +253,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0
     spark = docs.sparkSession
     rows = id_and_text(docs, id_col, text_col)
     width = shuffle_width(spark)
-    rows, _ = with_range_bucket(rows, "doc_id", width)
-    ordered = rows.repartition(width, "bucket").sortWithinPartitions("bucket", "doc_id", "text")
+    rows = with_ordered_part(rows, "doc_id", F.xxhash64("text"), width, "bucket")
+    ordered = rows.repartitionById(width, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = piece_encoder(tokenizer_path)
@@ -242,7 +269,12 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0
             temp = f"{root}/.{name}.{os.getpid()}.tmp"
             with fs.open_output_stream(temp) as out:
                 out.write(data)
-            fs.move(temp, f"{root}/{name}")
+            try:
+                fs.move(temp, f"{root}/{name}")
+            except OSError:  # a store whose rename does not replace; an earlier try of this task wrote the same bytes
+                if fs.get_file_info(f"{root}/{name}").size != len(data):
+                    raise
+                fs.delete_file(temp)
             line = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(docs_)], pa.int64()), pa.array([held], pa.int64())], ["file", "n_docs", "n_ids"])
             docs_, counts, chunks, held = [], [], [], 0
             sequence += 1
