@@ -17,9 +17,23 @@ def not_empty(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+#: What Python's str.strip takes away, beyond what a pattern's \\s has.
+_BLANK = r"[\s\x1c-\x1f]"
+
+
+def stripped(text: Column) -> Column:
+    """Without whitespace of any kind at either end; '' for NULL."""
+    return F.regexp_replace(or_empty(text), rf"(?U)^{_BLANK}+|{_BLANK}+\z", "")
+
+
+def lines(text: Column) -> Column:
+    """The lines of a text, at every kind of line break."""
+    return F.split(or_empty(text), r"\R|[\x1c-\x1e]")
+
+
 def normalize(text: Column) -> Column:
     """Lower case, one space for each run of whitespace, none at the ends; '' for NULL."""
-    return F.trim(F.regexp_replace(F.lower(or_empty(text)), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(or_empty(text)), rf"(?U){_BLANK}+", " "))
 
 
 def clean_cell(text: Column) -> Column:
@@ -33,7 +47,7 @@ def slug(name: Column, trim: bool = False, slashes: bool = False) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(or_empty(text), r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(or_empty(text), rf"(?U){_BLANK}+"), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
@@ -43,18 +57,18 @@ def word_count(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences of the lines that are neither blank nor headings; a listed abbreviation ends none."""
     no_abbreviation = "".join(rf"(?<!\b{a}\.)" for a in C.ABBREVIATIONS)
-    lines = F.filter(F.transform(F.split(or_empty(text), "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
-    return F.filter(F.flatten(F.transform(lines, lambda x: F.split(x, rf"(?U)(?<=[.!?]){no_abbreviation}\s+"))), lambda s: s != "")
+    kept = F.filter(F.transform(lines(text), stripped), lambda x: (x != "") & ~x.startswith("#"))
+    return F.filter(F.flatten(F.transform(kept, lambda x: F.split(x, rf"(?U)(?<=[.!?]){no_abbreviation}\s+"))), lambda s: s != "")
 
 
 def paragraphs(text: Column) -> Column:
     """Blocks between blank lines, without those that begin as a heading."""
-    return F.filter(F.transform(F.split(or_empty(text), "\n\n"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: (p != "") & ~p.startswith("#"))
+    return F.filter(F.transform(F.split(or_empty(text), "\n\n"), stripped), lambda p: (p != "") & ~p.startswith("#"))
 
 
 def snippet(text: Column, limit: int = C.SNIPPET_CHARS) -> Column:
-    clean = F.trim(text)
-    return F.when(F.char_length(clean) > limit, F.concat(F.rtrim(F.left(clean, F.lit(limit))), F.lit("..."))).otherwise(clean)
+    clean = F.when(text.isNotNull(), stripped(text))
+    return F.when(F.char_length(clean) > limit, F.concat(F.regexp_replace(F.left(clean, F.lit(limit)), rf"(?U){_BLANK}+\z", ""), F.lit("..."))).otherwise(clean)
 
 
 def context_snippet(document: Column, span: Column, radius: int = C.CONTEXT_RADIUS) -> Column:
@@ -78,10 +92,15 @@ def syllables(word: Column) -> Column:
 
 
 def reading_grade(text: Column) -> Column:
-    """Flesch-Kincaid grade; 0 without words or sentences. Words count in headings too, sentences do not."""
-    w = letter_words(text)
-    n, s = F.size(w), F.size(sentences(text))
-    syl = F.aggregate(w, F.lit(0), lambda total, x: total + syllables(x))
+    """Flesch-Kincaid grade; 0 without words or sentences. Words count in headings too, sentences do not.
+
+    Syllables of all words at once: vowel clusters, and one for each word without any, less the silent e of words with
+    two clusters or more.
+    """
+    many = lambda pattern: F.regexp_count(or_empty(text), F.lit(pattern))
+    n, s = many("[A-Za-z']+"), F.size(sentences(text))
+    no_vowel = "[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ']"
+    syl = many("[aeiouyAEIOUY]+") + many(rf"(?<![A-Za-z']){no_vowel}++(?![A-Za-z'])") - many(rf"(?<![A-Za-z']){no_vowel}*+[aeiouyAEIOUY]++{no_vowel}[A-Za-z']*+(?<=[eE])")
     return F.when((n == 0) | (s == 0), F.lit(0.0)).otherwise(F.lit(0.39) * (n / s) + F.lit(11.8) * (syl / n) - F.lit(15.59))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ledgerline.functions import constants as C
-from ledgerline.functions.text import not_empty
+from ledgerline.functions.text import not_empty, stripped
 
 
 def content_address(url: Column) -> Column:
@@ -49,6 +49,12 @@ def calendar_root(url: Column) -> Column:
     return F.when(url.rlike(r"(?i)legistar\.com"), F.concat(not_empty(F.regexp_extract(url, r"(?i)^(https?://[^/]*legistar\.com)", 1)), F.lit("/Calendar.aspx")))
 
 
+def calendar_root_in(text: Column) -> Column:
+    """The calendar page of the first legistar host that a text names, NULL where it names none."""
+    found = not_empty(F.lower(F.regexp_extract(text, r"(?i)https?://([a-z0-9-]+\.legistar\.com)", 1)))
+    return F.concat(F.lit("https://"), found, F.lit("/Calendar.aspx"))
+
+
 def platform(url: Column, html: Column) -> Column:
     """The first platform whose pattern stands in the URL or the first part of the page; NULL if none does."""
     seen = F.concat_ws("\n", url, F.substring(html, 1, C.HTML_SCAN_CHARS))
@@ -56,8 +62,8 @@ def platform(url: Column, html: Column) -> Column:
 
 
 def subdomain_slugs(name: Column) -> Column:
-    plain = F.lower(F.regexp_replace(name, r"[^A-Za-z0-9 -]", ""))
-    tight, dashed = F.replace(F.replace(plain, F.lit(" "), F.lit("")), F.lit("-"), F.lit("")), F.replace(plain, F.lit(" "), F.lit("-"))
+    plain = F.lower(stripped(name))
+    tight, dashed = F.replace(plain, F.lit(" "), F.lit("")), F.replace(plain, F.lit(" "), F.lit("-"))
     return F.array(tight, dashed, F.concat(tight, F.lit("ca")), F.concat(dashed, F.lit("-ca")))
 
 

@@ -37,11 +37,11 @@ def city_slug(name: Column) -> Column:
 
 
 def with_baseline(history: DataFrame) -> DataFrame:
-    """Every run beside the means over all earlier runs of its city (base_...), NULL for the first.
+    """Every run beside the means over all earlier runs of its city (base_...), NULL for the first. Runs of one time go by id.
 
     Missing rates count as 0; means of whole numbers are rounded half to even.
     """
-    earlier = Window.partitionBy(city_slug(F.col("jurisdiction"))).orderBy("generated_at").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(city_slug(F.col("jurisdiction"))).orderBy("generated_at", "run_id").rowsBetween(Window.unboundedPreceding, -1)
     means = {f"base_{c}": F.avg(F.coalesce(c, F.lit(0.0))).over(earlier) for c in FLOATS}
     means |= {f"base_{c}": F.bround(F.avg(c).over(earlier), 0).cast("long") for c in INTEGERS}
     return history.withColumns(means)

@@ -63,7 +63,7 @@ def match_amount(gold: dict, pred: dict, least: float = C.AMOUNT_TEXT) -> bool:
         return _alike(gold.get("raw_text"), pred.get("raw_text"), least)
     try:
         return abs(float(a) - float(b)) < C.AMOUNT_TOLERANCE
-    except ValueError:
+    except (TypeError, ValueError):
         return False
 
 

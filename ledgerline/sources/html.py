@@ -21,7 +21,7 @@ def _record(**fields: S.DataType) -> S.StructType:
 
 
 _STR = S.StringType()
-CELL = _record(text=_STR, href=_STR, onclick=_STR, label=_STR, header=S.BooleanType(), span=S.IntegerType(), css=_STR)
+CELL = _record(text=_STR, href=_STR, onclick=_STR, label=_STR, header=S.BooleanType(), span=S.IntegerType(), css=_STR, links=S.ArrayType(_record(text=_STR, href=_STR)))
 GRID = _record(id=_STR, rows=S.ArrayType(_record(css=_STR, cells=S.ArrayType(CELL))))
 LINK = _record(text=_STR, href=_STR, onclick=_STR)
 PAGE = _record(title=_STR, grids=S.ArrayType(GRID), links=S.ArrayType(LINK), spans=S.ArrayType(_record(id=_STR, text=_STR)), boxes=S.ArrayType(_record(id=_STR, value=_STR, label=_STR)))
@@ -50,8 +50,9 @@ class _Page(HTMLParser):
             self._grids[-1]["rows"].append({"css": a.get("class", ""), "cells": []})
         elif tag in ("td", "th") and self._grids and self._grids[-1]["rows"]:
             self._close_cell()
-            span = a.get("colspan", "1")
-            self._cells.append((len(self._grids), {"text": "", "href": None, "onclick": None, "label": None, "header": tag == "th", "span": int(span) if span.isdigit() and int(span) else 1, "css": a.get("class", "")}))
+            span = a.get("colspan", "1").strip()
+            span = min(int(span), 1000) if span.isascii() and span.isdigit() and len(span) < 20 else 1  # what HTML allows
+            self._cells.append((len(self._grids), {"text": "", "href": None, "onclick": None, "label": None, "header": tag == "th", "span": span or 1, "css": a.get("class", ""), "links": []}))
         elif tag == "input" and a.get("type") == "checkbox":
             self.inputs.append((a.get("id"), a.get("value")))
         elif tag == "label":
@@ -59,11 +60,13 @@ class _Page(HTMLParser):
         if tag == "a":
             self._link = {"text": "", "href": a.get("href"), "onclick": a.get("onclick")}
             self.links.append(self._link)
+            if self._cells and a.get("href") is not None:
+                self._cells[-1][1]["links"].append(self._link)
             if self._cells and self._cells[-1][1]["href"] is None and self._cells[-1][1]["onclick"] is None:
                 self._cells[-1][1].update(href=a.get("href"), onclick=a.get("onclick"))
         if tag == "strong" and a.get("aria-label") and self._cells:
             self._cells[-1][1]["label"] = a["aria-label"]
-        if a.get("id") and tag in ("span", "div", "td", "p"):
+        if a.get("id") and tag == "span":
             self._open.append([tag, 1, {"id": a["id"], "text": ""}])
             self.spans.append(self._open[-1][2])
         elif self._open and self._open[-1][0] == tag:
@@ -114,14 +117,18 @@ class _Page(HTMLParser):
             for row in grid["rows"]:
                 for cell in row["cells"]:
                     cell["text"] = tidy(cell["text"])
+                    cell["links"] = [{"text": tidy(x["text"]), "href": x["href"]} for x in cell["links"]]
         boxes = [{"id": i, "value": v, "label": tidy(self.labels[i])} for i, v in self.inputs if i in self.labels]
         return {"title": tidy(self.title), "grids": self.grids, "links": [{**x, "text": tidy(x["text"])} for x in self.links], "spans": [{**x, "text": tidy(x["text"])} for x in self.spans], "boxes": boxes}
 
 
 def parse_page(html: str | None) -> dict:
     page = _Page()
-    page.feed(html or "")
-    return page.finished()
+    try:
+        page.feed(html or "")
+        return page.finished()
+    except (AssertionError, ValueError, IndexError, RecursionError):  # markup that the parser gives up on; other pages go on
+        return {"title": "", "grids": [], "links": [], "spans": [], "boxes": []}
 
 
 def parsed_pages(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -208,7 +215,8 @@ def agenda_entries(parsed: DataFrame, base: Column, keys: tuple[str, ...] = ("pa
 
 
 def body_of_title(title: Column, fallback: Column) -> Column:
-    return F.coalesce(not_empty(F.trim(F.regexp_extract(title, r"(?i)\d{4}\s+(.+?)\s+Meeting", 1))), fallback)
+    """'Agenda for the May 6, 2025 City Council Meeting' is of 'City Council'; titles of another form take the fallback."""
+    return F.coalesce(not_empty(F.trim(F.regexp_extract(title, C.AGENDA_TITLE, 1))), fallback)
 
 
 def agenda_center_meetings(parsed: DataFrame, body: Column, base: Column, limit: int | None = None, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -216,13 +224,14 @@ def agenda_center_meetings(parsed: DataFrame, body: Column, base: Column, limit:
     keys = list(keys)
     rows = parsed.select(*keys, body.alias("_body"), base.alias("_base"), F.posexplode(F.flatten(F.transform("page.grids", lambda g: g["rows"]))).alias("pos", "row")).where(F.contains("row.css", F.lit(C.AGENDA_ROW_CLASS)))
     label = F.get(F.filter(F.transform("row.cells", lambda c: c["label"]), lambda x: x.isNotNull()), F.lit(0))
-    hrefs = F.filter(F.transform("row.cells", lambda c: c["href"]), lambda x: x.isNotNull())
-    agenda = F.get(F.filter(hrefs, lambda h: h.rlike(r"(?i)/AgendaCenter/ViewFile/Agenda/")), F.lit(0))
-    by_css = lambda css: F.get(F.filter(F.transform(F.filter("row.cells", lambda c: F.contains(c["css"], F.lit(css))), lambda c: c["href"]), lambda x: x.isNotNull()), F.lit(0))
-    url = absolute(F.col("_base"), agenda)
-    title = F.coalesce(F.get(F.filter(F.transform("row.cells", lambda c: c["text"]), lambda t: t.rlike("(?i)meeting")), F.lit(0)), F.lit(""))
+    linked = F.flatten(F.transform("row.cells", lambda c: c["links"]))
+    agenda = F.get(F.filter(linked, lambda x: x["href"].rlike(r"/AgendaCenter/ViewFile/Agenda/")), F.lit(0))
+    has_class = lambda c, css: F.array_contains(F.split(F.coalesce(c["css"], F.lit("")), r"\s+"), F.lit(css))
+    by_css = lambda css: F.get(F.flatten(F.transform(F.slice(F.filter("row.cells", lambda c: has_class(c, css)), 1, 1), lambda c: c["links"])), F.lit(0))["href"]
+    url = absolute(F.col("_base"), agenda["href"])
+    title = F.coalesce(agenda["text"], F.lit(""))
     out = rows.where(label.isNotNull()).select(
-        *keys, "pos", body_of_title(title, F.col("_body")).alias("body"), F.regexp_replace(label, "^Agenda for ", "").alias("date"), F.lit(None).cast("string").alias("time"), F.lit(None).cast("string").alias("location"),
+        *keys, "pos", body_of_title(title, F.col("_body")).alias("body"), F.trim(F.replace(label, F.lit("Agenda for "), F.lit(""))).alias("date"), F.lit(None).cast("string").alias("time"), F.lit(None).cast("string").alias("location"),
         url.alias("meeting_details_url"), url.alias("agenda_url"), absolute(F.col("_base"), by_css("minutes")).alias("minutes_url"), absolute(F.col("_base"), by_css("media")).alias("video_url"),
     )
     return first_rows(out, keys, "pos", limit)
@@ -245,7 +254,7 @@ def attachments(parsed: DataFrame, base: Column, keys: tuple[str, ...] = ("page_
 def legislation_details(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Status, text and recommendations of legislation pages; all NULL where a page has none of the labels."""
     s = F.col("page.spans")
-    return parsed.select(*keys, labelled_span(s, "lblStatus2").alias("status"), labelled_span(s, "lblText2", "lblDescription2", "lblSynopsis2").alias("text"), labelled_span(s, "lblRecommendation2", "lblRecommendations2").alias("recommendations"))
+    return parsed.select(*keys, labelled_span(s, *C.STATUS_LABELS).alias("status"), labelled_span(s, *C.TEXT_LABELS).alias("text"), labelled_span(s, *C.RECOMMENDATION_LABELS).alias("recommendations"))
 
 
 def categories(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:

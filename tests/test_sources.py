@@ -22,7 +22,7 @@ AGENDA = """<table id="a_gridMain_ctl00"><tr><th>File #</th><th>Ver.</th><th>Tit
 <span id="ctl_lblStatus2">Passed</span><span id="ctl_lblDescription2">Some text</span>
 <a href="View.ashx?M=F&ID=1">Memo</a><a href="View.ashx?M=F&ID=1">Memo again</a><a href="/Documents/2"></a><a href="/about">x</a>"""
 CENTER = """<input type="checkbox" id="c1" value="11"><label for="c1">City Council</label><input type="checkbox" id="c2" value="12">
-<table><tr class="catAgendaRow"><td><h3><strong aria-label="Agenda for May 6, 2025">May 6</strong></h3><p><a href="/AgendaCenter/ViewFile/Agenda/_05062025-1">2025 City Council Meeting</a></p></td>
+<table><tr class="catAgendaRow"><td><h3><strong aria-label="Agenda for May 6, 2025">May 6</strong></h3><p><a href="/AgendaCenter/ViewFile/Agenda/_05062025-1">Agenda for the May 6, 2025 City Council Meeting.</a></p></td>
 <td class="minutes"><a href="/AgendaCenter/ViewFile/Minutes/_05062025-1">m</a></td><td class="media"></td></tr><tr class="catAgendaRow"><td>no label</td></tr></table>"""
 
 
@@ -59,8 +59,20 @@ def test_agenda_center_and_categories(spark):
     found = H.categories(df)
     assert [(x.category, x.category_id) for x in found.collect()] == [("city council", "11")]
     assert H.resolved_category(found, F.lit("Council")).first().category_id == "11" and H.resolved_category(found, F.lit("Parks")).first().category_id == "11"
-    row = spark.range(1).select(H.body_of_title(F.lit("Agenda for the May 6, 2025 City Council Meeting."), F.lit("f")).alias("a"), H.body_of_title(F.lit("Packet.pdf"), F.lit("f")).alias("b")).first()
-    assert tuple(row) == ("City Council", "f")
+    titles = ["Agenda for the May 6, 2025 City Council Meeting.", "Agenda for May 6, 2025 Planning Commission Meeting.", "Agenda for the May 6, 2025 City Council Meeting", "Agenda for May 6, 2025 Planning Commission", "Packet.pdf", "2025 City Council Meeting", ""]
+    row = spark.range(1).select(*[H.body_of_title(F.lit(t), F.lit("f")).alias(f"t{i}") for i, t in enumerate(titles)]).first()
+    assert tuple(row) == ("City Council", "Planning Commission", "City Council", "Planning Commission", "f", "f", "f")
+
+
+def test_odd_markup(spark):
+    grid = '<table id="gridCalendar_ctl00"><tr><th colspan="{}">Meeting Date</th><th>Name</th></tr><tr><td>1/2/2026</td><td>x</td></tr></table>'
+    for span in ("\u00b2", "0", "-1", "x", "", "1", "9" * 30):
+        df = pages(spark, grid.format(span), "<p id=\"a_lblStatus2\">no</p><span id=\"b_lblStatus2\">Passed</span><span id=\"c_lblActionText2\">Adopt</span>")
+        rows = H.calendar_meetings(df, F.lit("b"), F.lit("https://x.org/")).collect()
+        assert [(r.date, r.body) for r in rows] == [("1/2/2026", "x")], span
+    assert len(spark.range(1).select(F.lit(1)).collect()) == 1 and pages(spark, grid.format(10**9)).first().page.grids[0].rows[0].cells[0].span == 1000
+    d = H.legislation_details(df).where("page_id = 1").first()
+    assert (d.status, d.recommendations) == ("Passed", "Adopt")
 
 
 def test_documents(spark, tmp_path):

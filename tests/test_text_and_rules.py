@@ -11,7 +11,7 @@ from ledgerline.functions import urls as U
 from ledgerline.operators import style
 from ledgerline.plans import fixtures
 
-TEXTS = ["", None, "Ordinance No. 31328 was read (Item 2.2). It passed! Did it? Yes.", "# Head\n\nOne line. Two  lines here.\n\n## Sub\nText below.", "Mr. Smith vs. Co. Inc. met St. John Ave. early. Done.", "tide", "a\n\n# x\ny\n\nb c"]
+TEXTS = ["", None, "Ordinance No. 31328 was read (Item 2.2). It passed! Did it? Yes.", "# Head\n\nOne line. Two  lines here.\n\n## Sub\nText below.", "Mr. Smith vs. Co. Inc. met St. John Ave. early. Done.", "tide", "a\n\n# x\ny\n\nb c", "One. Two!\r\n\t# Head\r\nThree.\x0bFour?\u2028 Five. \x1f\x85Six.\t"]
 
 
 def one(spark, value, *columns):
@@ -25,12 +25,24 @@ def test_against_plain_python(spark, text):
     plain = text or ""
     assert row.n == " ".join(plain.lower().split()) and row.w == len(plain.split())
     look = "".join(rf"(?<!\b{a}\.)" for a in C.ABBREVIATIONS)
-    lines = [x.strip() for x in plain.split("\n")]
+    lines = [x.strip() for x in plain.splitlines()]
     assert row.s == [s for x in lines if x and not x.startswith("#") for s in re.split(rf"(?<=[.!?]){look}\s+", x) if s]
     assert row.p == [p.strip() for p in plain.split("\n\n") if p.strip() and not p.strip().startswith("#")]
     assert row.h == re.findall(r"^##\s+(.+?)\s*$", plain, re.M)
 
 
+def test_snippet_and_grade_word_by_word(spark):
+    long = "\t\r\n " + "word\u3000" * 60 + "\x1f"
+    got = one(spark, long, T.snippet(F.col("t")))[0]
+    want = long.strip()
+    assert got == (want if len(want) <= 120 else want[:120].rstrip() + "...")
+    for text in [t for t in TEXTS if t] + ["e ee eve's 'e' aye queue eerie one-time TABLE Bee rhythm's x. Tse'e be."]:
+        t = F.col("t")
+        row = one(spark, text, T.reading_grade(t).alias("g"), F.transform(T.letter_words(t), T.syllables).alias("y"), F.size(T.sentences(t)).alias("s"))
+        n = len(row.y)
+        assert abs(row.g - (0.39 * n / row.s + 11.8 * sum(row.y) / n - 15.59 if n and row.s else 0.0)) < 1e-9, text
+
+
 def test_syllables_grade_and_citations(spark):
     row = one(spark, "x", *[T.syllables(F.lit(w)).alias(w) for w in ("the", "agreement", "rhythm", "pcs")])
     assert list(row) == [1, 3, 1, 1]
