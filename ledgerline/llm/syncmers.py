@@ -2,14 +2,15 @@
 
 A text is a sequence of units: runs of non-blank characters. Runs of more than `UNIT_BYTES` bytes are cut after certain
 bytes (about one in eight), so unspaced texts have units too, and an edit in one changes only the units it touches.
-A k-mer of `K` units is kept where the least hash of its inner substrings (single units) lies at its first or last place.
-Whether a k-mer is kept depends on itself alone, so an edit elsewhere in the text leaves it in place: kept k-mers are
-anchors that two texts share wherever they share the words. A fingerprint lists each anchor's place and hash. Texts below
-`SHORT` units have too few such anchors and also list every pair of neighbouring units; texts below `LONG_FROM` only those.
+Before the first unit and after the last stand `K` - 1 ends. A k-mer of `K` units or ends is kept where the least hash of
+its inner substrings (single units; an end is above all) lies at its first or last place: a third of them, and in any text
+that has a unit at least its first and its last. Whether a k-mer is kept depends on itself alone, so an edit elsewhere in
+the text leaves it in place: kept k-mers are anchors that two texts share wherever they share the words. The definition is
+the same for texts of all lengths. A fingerprint lists each anchor's place and 32 bits of its hash.
 
-Two fingerprints are matched by hash, wherever the anchors stand, so text put in or taken out shifts nothing away. An
-anchor of `K` units is not shared by chance, so no common offset is asked for. Likeness is shared over all distinct
-anchors. Where one text has no pairs because it has `SHORT` units or more, the other's pairs do not count either.
+Two fingerprints are matched by hash, wherever the anchors stand, so text put in or taken out shifts nothing away;
+`matched` gives the places on both sides. Likeness is shared over all distinct anchors of the two fingerprints. One word
+changed in every `K` leaves no anchor.
 
 Cases: null and empty texts have the empty fingerprint, and two empty ones are alike (1.0); an empty and another are not
 (0.0); a null doc_id counts as the least id, ties go by text, repeated rows are all kept; an only document is its own
@@ -24,11 +25,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import id_and_text, read_table, shuffle_width, with_range_bucket
 
 UNIT_BYTES = 24
-K = 12
-SHORT = 128
-LONG_FROM = 32
-
-_NO_ANCHORS = "cast(array() as array<struct<p:int,v:bigint,pair:boolean>>)"
+K = 6
 
 
 _CUTS = "".join(rf"\x{b:02X}" for b in range(0x21, 0xC0) if b % 8 == 5)
@@ -41,28 +38,32 @@ def unit_hashes(text: Column) -> Column:
 
 
 def anchors_of(hashes: Column) -> Column:
-    """array<struct<p, v, pair>>: the anchors' places (from 1) and hashes, given the units' hashes; whether it is a pair of units."""
-    n = F.size(hashes)
-    kept = F.filter(F.sequence(F.lit(1), n - (K - 1)), lambda i: F.array_min(F.slice(hashes, i, K)) == F.least(F.get(hashes, i - 1), F.get(hashes, i + (K - 2))))
-    long_ = F.transform(kept, lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice(hashes, i, K)).alias("v"), F.lit(False).alias("pair")))
-    short = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("p"), F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i)).alias("v"), F.lit(True).alias("pair")))
-    none = F.expr(_NO_ANCHORS)
-    return F.concat(F.when((n > 0) & (n < SHORT), short).otherwise(none), F.when(n >= LONG_FROM, long_).otherwise(none))
+    """array<struct<p, v>>: the anchors' places (of their first unit, from 1; below 1 in the ends before the text) and hashes, given the units' hashes."""
+    ends = F.array_repeat(F.lit(2**63 - 1), K - 1)
+    padded = F.concat(ends, hashes, ends)
+    kept = F.filter(F.sequence(F.lit(1), F.size(hashes) + (K - 1)), lambda i: F.array_min(F.slice(padded, i, K)) == F.least(F.get(padded, i - 1), F.get(padded, i + (K - 2))))
+    anchors = F.transform(kept, lambda i: F.struct((i - (K - 1)).alias("p"), F.xxhash64(F.slice(padded, i, K)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("v")))
+    return F.when(F.size(hashes) > 0, anchors).otherwise(F.expr("cast(array() as array<struct<p:int,v:bigint>>)"))
 
 
 def fingerprint_text(anchors: Column) -> Column:
-    """place.hash of every anchor: the place in decimal, 32 bits of the hash in hex."""
-    return F.array_join(F.transform(anchors, lambda a: F.concat(a["p"].cast("string"), F.lit("."), F.hex(a["v"].bitwiseAND(F.lit(0xFFFFFFFF))))), " ")
+    """place.hash of every anchor: the place in decimal, the hash in hex."""
+    return F.array_join(F.transform(anchors, lambda a: F.concat(a["p"].cast("string"), F.lit("."), F.hex(a["v"]))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared over all distinct anchors of the kinds that both have, from 0 to 1."""
-    pairs = F.exists(a, lambda x: x["pair"]) & F.exists(b, lambda x: x["pair"])
-    x, y = (F.transform(F.filter(z, lambda w: pairs | ~w["pair"]), lambda w: w["v"]) for z in (a, b))
+    """Shared over all distinct anchors, from 0 to 1."""
+    x, y = (F.transform(z, lambda w: w["v"]) for z in (a, b))
     none = (F.size(a) == 0) | (F.size(b) == 0)
     return F.when(none, (F.size(a) == F.size(b)).cast("double")).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
+def matched(a: Column, b: Column) -> Column:
+    """array<struct<v, a, b>>: the anchors of a that b has, with their places in a and their first place in b."""
+    there = F.transform(b, lambda w: w["v"])
+    return F.filter(F.transform(a, lambda x: F.struct(x["v"].alias("v"), x["p"].alias("a"), F.get(b, F.array_position(there, x["v"]).cast("int") - 1)["p"].alias("b"))), lambda m: m["b"].isNotNull())
+
+
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
     hashes = f"_{name}_hashes"
     return df.withColumn(hashes, unit_hashes(F.col(text))).withColumn(name, anchors_of(F.col(hashes))).drop(hashes)
