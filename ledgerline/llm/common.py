@@ -61,7 +61,7 @@ def shuffle_width(spark: SparkSession) -> int:
 # ---- words and shingles -------------------------------------------------------------------------
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 
 
 class WordHashes(dict):

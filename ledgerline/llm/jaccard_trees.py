@@ -49,6 +49,8 @@ SLICE = (7 * 2**20 // 20) << 44
 CELL_BYTES = 16 << 20
 SET_BYTES = 2048
 LEADERS = 4
+#: Pairs whose bitmaps are held side by side, under a kilobyte each.
+PAIRS_AT_ONCE = 10_000
 TOKENS = 4096
 HASHED = 2048
 #: Up to so many rows of two numbers are broadcast; more are joined by a shuffle.
@@ -290,8 +292,8 @@ def possible_pairs(tree: SignatureTree, percent: int = SIMILAR_PERCENT) -> Itera
         ok = (100 * high[i] >= percent * low[j]) & (100 * high[j] >= percent * low[i])
         ok &= ~((first[i] == last[i]) & (first[j] == last[j]) & (first[i] == first[j]))
         k = np.flatnonzero(ok)
-        for s in range(0, len(k), 50_000):
-            part = k[s : s + 50_000]
+        for s in range(0, len(k), PAIRS_AT_ONCE):
+            part = k[s : s + PAIRS_AT_ONCE]
             x, y = i[part], j[part]
             shared = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64) + np.minimum(most[x], most[y])
             ok[part] = shared >= needed_overlap(low[x], low[y], percent)
@@ -316,7 +318,7 @@ def possible_pairs(tree: SignatureTree, percent: int = SIMILAR_PERCENT) -> Itera
         fan, below = (LEAF if level == 1 else FAN), len(tree.levels[level - 1][0])
         wide, tall = np.minimum((i + 1) * fan, below) - i * fan, np.minimum((j + 1) * fan, below) - j * fan
         size = wide * tall
-        for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // 400_000)) + 1):
+        for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // 200_000)) + 1):
             if len(part):
                 t, s = tall[part], size[part]
                 inner = np.arange(int(s.sum())) - np.repeat(np.cumsum(s) - s, s)
@@ -358,7 +360,8 @@ class Cell:
         self._leaders()
         tree = SignatureTree(self.sizes, np.concatenate([self.exact, self.hashed], 1), self.collisions, self.label[self.at])
         for i, j in possible_pairs(tree, percent):
-            self._verify(i, j)
+            for s in range(0, len(i), PAIRS_AT_ONCE):  # what is linked by then is not compared again
+                self._verify(i[s : s + PAIRS_AT_ONCE], j[s : s + PAIRS_AT_ONCE])
 
     def _alike(self, a: int, b: int, shared: int) -> bool:
         return 100 * shared >= self.percent * (a + b - shared)

@@ -198,7 +198,7 @@ def test_no_jump_at_any_length(spark):
     df = spark.createDataFrame(rows, "n int, a string, b string")
     df = sm.with_anchors(sm.with_anchors(df, "a", "x"), "b", "y").select("n", sm.likeness(sm.F.col("x"), sm.F.col("y")).alias("like"), sm.matched(sm.F.col("x"), sm.F.col("y")).alias("m"))
     for r in df.collect():
-        assert r.like >= (1 - 12 / (r.n / 3 + 12) if r.n >= 20 else 0.05) and all(x.a == x.b for x in r.m), (r.n, r.like)
+        assert r.like >= (1 - 12 / (r.n / 3 + 12) if r.n >= 20 else 0.05) and sum(x.a != x.b for x in r.m) <= 2, (r.n, r.like)
 
 
 def test_alignment_against_the_full_table():
