@@ -79,7 +79,7 @@ def test_each_stage_against_a_plain_version(spark, tmp_path):
     masked = stages["secrets"](spark, clean, folder)
 
     def hidden(text):
-        cut = sorted((re.search(r"[:=]\\s*[\"']?", text[s:e]).end() + s if k == "assign" else s, e) for s, e, k in plain_base(text))
+        cut = sorted((re.search(r"[:=] *[\"']?", text[s:e]).end() + s if k == "assign" else s, e) for s, e, k in plain_base(text))
         for s, e in reversed(cut):
             text = text[:s] + "[SECRET]" + text[e:]
         return text
