@@ -37,13 +37,21 @@ def unit_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(as_bytes, F.lit(_UNITS), F.lit(0)), lambda u: F.xxhash64(u))
 
 
-def anchors_of(hashes: Column) -> Column:
-    """array<struct<p, v>>: the anchors' places (of their first unit, from 1; below 1 in the ends before the text) and hashes, given the units' hashes."""
+def padded_hashes(text: Column) -> Column:
+    """The units' hashes between K - 1 ends on each side."""
     ends = F.array_repeat(F.lit(2**63 - 1), K - 1)
-    padded = F.concat(ends, hashes, ends)
-    kept = F.filter(F.sequence(F.lit(1), F.size(hashes) + (K - 1)), lambda i: F.array_min(F.slice(padded, i, K)) == F.least(F.get(padded, i - 1), F.get(padded, i + (K - 2))))
+    return F.concat(ends, unit_hashes(text), ends)
+
+
+def anchors_of(padded: Column) -> Column:
+    """array<struct<p, v>>: the anchors' places (of their first unit, from 1; below 1 in the ends before the text) and hashes.
+
+    `padded` must be a column that an operator below has computed: an expression in a lambda is computed for every element.
+    """
+    units = F.size(padded) - 2 * (K - 1)
+    kept = F.filter(F.sequence(F.lit(1), units + (K - 1)), lambda i: F.array_min(F.slice(padded, i, K)) == F.least(F.get(padded, i - 1), F.get(padded, i + (K - 2))))
     anchors = F.transform(kept, lambda i: F.struct((i - (K - 1)).alias("p"), F.xxhash64(F.slice(padded, i, K)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("v")))
-    return F.when(F.size(hashes) > 0, anchors).otherwise(F.expr("cast(array() as array<struct<p:int,v:bigint>>)"))
+    return F.when(units > 0, anchors).otherwise(F.expr("cast(array() as array<struct<p:int,v:bigint>>)"))
 
 
 def fingerprint_text(anchors: Column) -> Column:
@@ -65,8 +73,8 @@ def matched(a: Column, b: Column) -> Column:
 
 
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
-    hashes = f"_{name}_hashes"
-    return df.withColumn(hashes, unit_hashes(F.col(text))).withColumn(name, anchors_of(F.col(hashes))).drop(hashes)
+    padded = f"_{name}_padded"
+    return df.withColumn(padded, padded_hashes(F.col(text))).withColumn(name, anchors_of(F.col(padded))).drop(padded)
 
 
 def with_next(docs: DataFrame, columns: list[str], prepare=lambda df: df) -> DataFrame:
