@@ -29,25 +29,31 @@ K = 6
 
 
 _CUTS = "".join(rf"\x{b:02X}" for b in range(0x21, 0xC0) if b % 8 == 5)
-_UNITS = rf"(?<!\S)\S{{1,{UNIT_BYTES}}}(?!\S)|[^\s{_CUTS}]*+[{_CUTS}]|[^\s{_CUTS}]++"
+_PIECES = rf"[^{_CUTS}]*+[{_CUTS}]|[^{_CUTS}]++"
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, where `use` reads it within lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def unit_hashes(text: Column) -> Column:
-    as_bytes = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")  # one character for each byte
-    return F.transform(F.regexp_extract_all(as_bytes, F.lit(_UNITS), F.lit(0)), lambda u: F.xxhash64(u))
+    """The units' hashes: of whole runs, and of the pieces of runs of more than `UNIT_BYTES` bytes."""
+    as_bytes = lambda run: F.decode(F.encode(run, "UTF-8"), "ISO-8859-1")  # one character for each byte
+    pieces = lambda run: F.transform(F.regexp_extract_all(as_bytes(run), F.lit(_PIECES), F.lit(0)), lambda u: F.xxhash64(F.encode(u, "ISO-8859-1")))
+    hashes = lambda run: F.when(F.octet_length(run) > UNIT_BYTES, pieces(run)).when(run == "", F.expr("cast(array() as array<bigint>)")).otherwise(F.array(F.xxhash64(run)))
+    for blank in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.flatten(F.transform(F.split(text, " "), hashes))  # a split at one character needs no regular expression
 
 
-def padded_hashes(text: Column) -> Column:
-    """The units' hashes between K - 1 ends on each side."""
+def anchors_of(text: Column) -> Column:
+    """array<struct<p, v>>: the anchors' places (of their first unit, from 1; below 1 in the ends before the text) and hashes."""
     ends = F.array_repeat(F.lit(2**63 - 1), K - 1)
-    return F.concat(ends, unit_hashes(text), ends)
-
+    return bound(F.concat(ends, unit_hashes(text), ends), _anchors)
 
-def anchors_of(padded: Column) -> Column:
-    """array<struct<p, v>>: the anchors' places (of their first unit, from 1; below 1 in the ends before the text) and hashes.
 
-    `padded` must be a column that an operator below has computed: an expression in a lambda is computed for every element.
-    """
+def _anchors(padded: Column) -> Column:
     units = F.size(padded) - 2 * (K - 1)
     kmer = lambda i: [F.get(padded, i + j) for j in range(K)]  # element by element: a slice of the array costs ten times as much
     closed = lambda u: F.least(u[0], u[-1]) <= F.least(*u[1:-1])
@@ -61,22 +67,24 @@ def fingerprint_text(anchors: Column) -> Column:
     return F.array_join(F.transform(anchors, lambda a: F.concat(a["p"].cast("string"), F.lit("."), F.hex(a["v"]))), " ")
 
 
+def hashes_of(anchors: Column) -> Column:
+    return F.transform(anchors, lambda w: w["v"])
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Shared over all distinct anchors, from 0 to 1."""
-    x, y = (F.transform(z, lambda w: w["v"]) for z in (a, b))
+    """Shared over all distinct hashes (`hashes_of`) of two fingerprints, from 0 to 1."""
     none = (F.size(a) == 0) | (F.size(b) == 0)
-    return F.when(none, (F.size(a) == F.size(b)).cast("double")).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    return F.when(none, (F.size(a) == F.size(b)).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
 def matched(a: Column, b: Column) -> Column:
     """array<struct<v, a, b>>: the anchors of a that b has, with their places in a and their first place in b."""
-    there = F.transform(b, lambda w: w["v"])
+    there = hashes_of(b)
     return F.filter(F.transform(a, lambda x: F.struct(x["v"].alias("v"), x["p"].alias("a"), F.get(b, F.array_position(there, x["v"]).cast("int") - 1)["p"].alias("b"))), lambda m: m["b"].isNotNull())
 
 
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
-    padded = f"_{name}_padded"
-    return df.withColumn(padded, padded_hashes(F.col(text))).withColumn(name, anchors_of(F.col(padded))).drop(padded)
+    return df.withColumn(name, anchors_of(F.col(text)))
 
 
 def with_next(docs: DataFrame, columns: list[str], prepare=lambda df: df) -> DataFrame:
@@ -110,14 +118,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's fingerprint, its edited text's, and how alike they and the next document's are."""
     docs = id_and_text(read_table(spark, sf_dir, "documents"))
-    rows = with_next(docs, ["text", "anchors"], lambda df: with_anchors(df, "text", "anchors"))
+    rows = with_next(docs, ["text", "hashes"], lambda df: with_anchors(df, "text", "anchors").withColumn("hashes", hashes_of(F.col("anchors"))))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third))
-    rows = rows.select("doc_id", "n_chars", "anchors", "next_anchors", edited.alias("edited"))
-    rows = with_anchors(rows, "edited", "edited_anchors")
+    rows = rows.select("doc_id", "n_chars", "anchors", "hashes", "next_hashes", edited.alias("edited"))
+    rows = with_anchors(rows, "edited", "edited_anchors").withColumn("edited_hashes", hashes_of(F.col("edited_anchors")))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint_text(F.col("anchors")).alias("fingerprint"), fingerprint_text(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"), likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
     )

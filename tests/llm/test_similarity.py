@@ -174,6 +174,14 @@ def test_syncmers_against_the_definition(spark):
             assert same.setdefault(tuple(padded[x.p + sm.K - 2 :][: sm.K]), x.v) == x.v
 
 
+def test_units_are_runs_between_any_blanks_and_their_pieces(spark):
+    solid = "\u00e9\u6f22\u5b57q" * 30
+    texts = [" a\t\nb\x0bc\x0cd \r e\u00a0f ", "a b c d e\u00a0f", solid, "x " + solid + "\n", "", " \n "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    a, b, c, d, e, f = (r.h for r in df.select(sm.unit_hashes(sm.F.col("t")).alias("h")).collect())
+    assert a == b and len(a) == 5 and len(c) > 5 and d[1:] == c and e == f == []
+
+
 def test_likeness_is_that_of_the_fingerprints(spark, tmp_path):
     """All near_... of the query against sets read from the fingerprints that it returns."""
     texts = {i: cases.prose(i % 17 + 1, 3 + 11 * i) for i in range(1, 40)} | cases.TEXTS
@@ -196,7 +204,7 @@ def test_no_jump_at_any_length(spark):
     base = cases.prose(44, 140).split()
     rows = [(n, " ".join(base[: n + 1]), " ".join(base[:n])) for n in range(1, 140)]
     df = spark.createDataFrame(rows, "n int, a string, b string")
-    df = sm.with_anchors(sm.with_anchors(df, "a", "x"), "b", "y").select("n", sm.likeness(sm.F.col("x"), sm.F.col("y")).alias("like"), sm.matched(sm.F.col("x"), sm.F.col("y")).alias("m"))
+    df = sm.with_anchors(sm.with_anchors(df, "a", "x"), "b", "y").select("n", sm.likeness(sm.hashes_of(sm.F.col("x")), sm.hashes_of(sm.F.col("y"))).alias("like"), sm.matched(sm.F.col("x"), sm.F.col("y")).alias("m"))
     for r in df.collect():
         assert r.like >= (1 - 12 / (r.n / 3 + 12) if r.n >= 20 else 0.05) and sum(x.a != x.b for x in r.m) <= 2, (r.n, r.like)
 
@@ -334,5 +342,5 @@ def test_likeness_of_shifted_and_unspaced_texts(spark):
         (base, other, 0.0, 0.05), (solid, far, 0.0, 0.05), ("", "", 1.0, 1.0), ("", base, 0.0, 0.0), ("a b", base, 0.0, 0.0), ("", "a b", 0.0, 0.0),
     ]
     df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "i int, a string, b string, low double, high double")
-    df = sm.with_anchors(sm.with_anchors(df, "a", "x"), "b", "y").withColumn("like", sm.likeness(sm.F.col("x"), sm.F.col("y")))
+    df = sm.with_anchors(sm.with_anchors(df, "a", "x"), "b", "y").withColumn("like", sm.likeness(sm.hashes_of(sm.F.col("x")), sm.hashes_of(sm.F.col("y"))))
     assert not [(r.i, r.like) for r in df.collect() if not r.low <= r.like <= r.high]
