@@ -168,3 +168,25 @@ def with_ordered_part(df: DataFrame, key: str, tie: Column, parts: int, name: st
     first, end = F.get(firsts, below), F.get(F.array(*[F.lit(x) for x in distinct]), below)
     many = F.when(end == least, F.get(firsts, below + 1) - first).otherwise(1)
     return df.withColumn(name, (first + F.pmod(tie, many)).cast("int"))
+
+
+_ROW_BITS = 33  # of monotonically_increasing_id: the row inside its partition; above them the partition
+
+
+def numbered(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """df with each row's place (0, 1, 2 ...) in this order.
+
+    Rows are dealt to ranges, sorted there and written with their place in their range; only the ranges' row counts, as
+    many as there are shuffle partitions, reach the driver. The order is sampled before rows are dealt, so df should be
+    cheap to read twice (a written table).
+    """
+    width = shuffle_width(df.sparkSession)
+    ranged = df.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = written(ranged, "ordered")
+    part = F.shiftright("_at", _ROW_BITS).cast("int")
+    counts = {r["part"]: r["n"] for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before = [0]
+    for i in range(max(counts, default=0)):
+        before.append(before[-1] + counts.get(i, 0))
+    starts = F.array(*[F.lit(x).cast("long") for x in before])
+    return ranged.withColumn(name, F.get(starts, part) + F.col("_at").bitwiseAND(F.lit(2**_ROW_BITS - 1))).drop("_at")

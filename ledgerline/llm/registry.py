@@ -5,13 +5,15 @@ from __future__ import annotations
 from ledgerline.llm.bpe_codec import op5_bpe_codec
 from ledgerline.llm.chat_windows import op2_chat_windows
 from ledgerline.llm.decontaminate import op7_decontaminate
+from ledgerline.llm.importance import op13_importance
 from ledgerline.llm.jaccard_trees import op3_jaccard_trees
 from ledgerline.llm.license_scan import op9_license_scan
+from ledgerline.llm.merkle_manifest import op12_merkle_manifest
 from ledgerline.llm.packed_ids import op1_packed_ids
 from ledgerline.llm.quality_pu import op8_quality_pu
 from ledgerline.llm.repeated_passages import op10_repeated_passages
 from ledgerline.llm.secrets_crf import op6_secrets_crf
-from ledgerline.llm.sql import JACCARD_CLASSES
+from ledgerline.llm.sql import JACCARD_CLASSES, MERKLE, RESAMPLED
 from ledgerline.llm.syncmers import op4_syncmers
 
 
@@ -27,8 +29,10 @@ def queries() -> dict:
         "op8_quality_pu": op8_quality_pu,
         "op9_license_scan": op9_license_scan,
         "op10_repeated_passages": op10_repeated_passages,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_importance": op13_importance,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_trees": JACCARD_CLASSES}
+    return {"op3_jaccard_trees": JACCARD_CLASSES, "op12_merkle_manifest": MERKLE, "op13_importance": RESAMPLED}
