@@ -5,6 +5,7 @@ from __future__ import annotations
 from ledgerline.llm.bpe_codec import op5_bpe_codec
 from ledgerline.llm.chat_windows import op2_chat_windows
 from ledgerline.llm.decontaminate import op7_decontaminate
+from ledgerline.llm.html_crf import op11_html_crf
 from ledgerline.llm.importance import op13_importance
 from ledgerline.llm.jaccard_trees import op3_jaccard_trees
 from ledgerline.llm.license_scan import op9_license_scan
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op8_quality_pu": op8_quality_pu,
         "op9_license_scan": op9_license_scan,
         "op10_repeated_passages": op10_repeated_passages,
+        "op11_html_crf": op11_html_crf,
         "op12_merkle_manifest": op12_merkle_manifest,
         "op13_importance": op13_importance,
     }
