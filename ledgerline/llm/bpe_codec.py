@@ -1,8 +1,13 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-`encode` gives each row's ids, `decode` the bytes that ids stand for. Texts above `LONG` characters are cut before a
-space between two ASCII letters: every match of a pattern of this family either starts at such a space or ends before
-it, so the pieces' ids in a row are the ids of the whole text.
+`encode` gives each row's ids, `decode` the bytes that ids stand for. Texts above `LONG` characters are cut where every
+match of a pattern of this family ends: before white space that follows something else, and between certain letters,
+digits and marks (but not from a mark to a letter, which may be a contraction). So the pieces' ids in a row are the ids of
+the whole text.
+
+A long run of white space is one match but for its last character, which belongs to what follows it; at the end of a text
+it is one match. The library's matcher keeps a place for each of its characters and overflows, so runs of `BLANKS` or more
+are not given to the matcher but encoded as the one piece that they are.
 
 Cases: a null or empty text has no ids and decodes to no bytes; null keys and repeated rows are kept as they are; an
 empty table gives an empty table; further columns of the input are not read.
@@ -25,7 +30,15 @@ from ledgerline.llm.common import id_and_text, slices
 
 #: Characters from which a text is cut into pieces of about this length.
 LONG = 65_536
-_SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: White space of so many characters is encoded without the matcher.
+BLANKS = 4096
+
+#: White space as Unicode has it, which is what the library's patterns call \\s; some letters and marks that all versions of Unicode call so.
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTER = r"A-Za-z\u0430-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_MARK = r"!-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
+_SAFE = re.compile(rf"(?<=[^{_WHITE}])(?=[{_WHITE}])|(?<=[{_LETTER}])(?=[0-9{_MARK}])|(?<=[0-9])(?=[{_LETTER}{_MARK}])")
+_BLANKS = re.compile(rf"[{_WHITE}]{{{BLANKS},}}")
 
 ENCODED = "doc_id long, n_tokens long, ids binary"
 DECODED = "doc_id long, n_tokens long, ids binary, bytes binary"
@@ -47,8 +60,22 @@ def pieces(text: str, length: int = LONG) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+def matched_pieces(text: str) -> Iterator[tuple[str, bool]]:
+    """(piece, whether it is one match by itself) in order."""
+    start = 0
+    if len(text) >= BLANKS:
+        for blanks in _BLANKS.finditer(text):
+            end = blanks.end() if blanks.end() == len(text) else blanks.end() - 1
+            if blanks.start() > start:
+                yield from ((piece, False) for piece in pieces(text[start : blanks.start()]))
+            yield text[blanks.start() : end], True
+            start = end
+    if start < len(text):
+        yield from ((piece, False) for piece in pieces(text[start:] if start else text))
+
+
 def encode_text(text: str, codec: tiktoken.Encoding) -> np.ndarray:
-    parts = [np.array(codec.encode_ordinary(piece), "<u4") for piece in pieces(text)] if text else []
+    parts = [np.array(codec._encode_single_piece(piece.encode()) if whole else codec.encode_ordinary(piece), "<u4") for piece, whole in matched_pieces(text)]
     return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.empty(0, "<u4")
 
 

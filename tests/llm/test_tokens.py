@@ -68,3 +68,42 @@ def test_codec_equals_tiktoken_and_round_trips(spark):
     assert hashlib.sha256(b"").hexdigest() == bpe_codec.sha256_hex(b"")
     long = cases.prose(3, 60_000)
     assert len(list(bpe_codec.pieces(long))) > 3 and "".join(bpe_codec.pieces(long)) == long
+
+
+def plain_codec():
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_cuts_fall_between_matches(monkeypatch):
+    """Every cut of texts of all classes in random order, with pieces and blank runs of a few characters."""
+    import regex
+
+    codec, rng, matches = plain_codec(), random.Random(4), regex.compile(P.PATTERN)
+    monkeypatch.setattr(bpe_codec, "_BLANKS", bpe_codec.re.compile(bpe_codec._BLANKS.pattern.replace(str(bpe_codec.BLANKS), "3")))
+    monkeypatch.setattr(bpe_codec, "BLANKS", 3)
+    parts = ["a", "Be", "'s", "'ll", "'", "'re", "1", "23", " ", "  ", "\n", "\t", "\xa0", "\u3000", "\x85", "\x1c", "\u200b", "!", ")(", "_", "-", "日本", "。", "か", "й", "é", "\u0301", "²", "Ⅷ", "한국", "\U0001f600", "、", "\u2003", "\u30fb"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 40)))
+        monkeypatch.setattr(bpe_codec, "LONG", 2)
+        monkeypatch.setattr(bpe_codec.pieces, "__defaults__", (rng.randrange(1, 6),))
+        assert bpe_codec.encode_text(text, codec).tolist() == codec.encode_ordinary(text), repr(text)
+        ends, at = set(), 0
+        for m in matches.finditer(text):
+            ends.add(m.end())
+        for piece, _ in bpe_codec.matched_pieces(text):
+            at += len(piece)
+            assert at in ends, (text, at)
+
+
+def test_very_long_runs_are_encoded():
+    codec, blanks = plain_codec(), 2_000_000
+    one = codec._encode_single_piece(b" " * (blanks - 1))
+    assert bpe_codec.encode_text("a" + " " * blanks + "b", codec).tolist() == [*codec.encode_ordinary("a"), *one, *codec.encode_ordinary(" b")]
+    assert bpe_codec.encode_text(" " * blanks, codec).tolist() == codec._encode_single_piece(b" " * blanks)
+    assert bpe_codec.encode_text("\n" * blanks + "b", codec).tolist() == codec._encode_single_piece(b"\n" * (blanks - 1)) + codec.encode_ordinary("\nb")
+    for text in ("日本語、" * 300_000, "x" * 1_000_000, "1a" * 500_000, "!" * 1_000_000):
+        ids = bpe_codec.encode_text(text, codec)
+        assert codec.decode_bytes(ids.tolist()) == text.encode()
+    assert max(map(len, bpe_codec.pieces("日本語、" * 300_000))) < bpe_codec.LONG + 10
