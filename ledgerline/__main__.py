@@ -2,7 +2,7 @@
 
 import sys
 
-from ledgerline.plans import catalogue, operator_queries  # noqa: F401
+from ledgerline.plans import catalogue, ingest_queries, operator_queries  # noqa: F401
 
 
 def main(args: list[str]) -> int:

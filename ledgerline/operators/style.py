@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import constants as C
 from ledgerline.functions import text as T
+from ledgerline.operators.scoring import with_prf
+from ledgerline.sources.snapshots import answered
 
 FINDINGS = ["text_id", "rule", "severity", "message", "excerpt"]
 DETERMINISTIC_RULES = [
@@ -111,6 +113,36 @@ def judged(texts: DataFrame, provider) -> DataFrame:
     return texts.select(F.col("text_id").cast("string").alias("text_id"), "text", "facts_block").mapInPandas(run, schema)
 
 
+def judged_by_store(texts: DataFrame, kept, provider, version: str, model: str) -> DataFrame:
+    """Findings of the model tier, each text asked for once: answers come from, and go to, a keyed store.
+
+    texts: text_id, text, facts_block. provider(request JSON) gives a JSON list of findings (rule, severity, message,
+    excerpt); findings of other rules than the judge's are left out, a text that the provider refuses has none.
+    """
+    asked = texts.select(F.col("text_id").cast("string").alias("text_id"), F.lit(version).alias("prompt_version"), F.lit(model).alias("model"), F.to_json(F.struct(F.col("text"), F.coalesce("facts_block", F.lit("")).alias("facts"))).alias("request"))
+    answers = answered(asked, kept, provider).select("text_id", F.from_json("response", "array<struct<rule:string,severity:string,message:string,excerpt:string>>").alias("found"))
+    return answers.select("text_id", F.explode("found").alias("f")).select("text_id", "f.*").where(F.col("rule").isin(C.JUDGE_RULES))
+
+
+def both_tiers(texts: DataFrame, kept, provider, version: str = "v1", model: str = "rules") -> DataFrame:
+    """Findings of both tiers with their `tier`. Only texts without a finding of high severity are put to the second."""
+    first = check_deterministic(texts).withColumn("text_id", F.col("text_id").cast("string"))
+    stopped = first.where("severity = 'high'").select("text_id").distinct()
+    passed = texts.withColumn("text_id", F.col("text_id").cast("string")).join(stopped, "text_id", "left_anti")
+    second = judged_by_store(passed, kept, provider, version, model)
+    return first.withColumn("tier", F.lit("rules")).unionByName(second.withColumn("tier", F.lit("judge")))
+
+
+def style_case_scores(cases: DataFrame, findings: DataFrame) -> DataFrame:
+    """Pooled scores per tier and rule. cases: text_id, expected (rule names); findings as of `both_tiers`."""
+    actual = findings.select("text_id", "rule").distinct()
+    wanted = cases.select(F.col("text_id").cast("string").alias("text_id"), F.explode(F.array_distinct("expected")).alias("rule"))
+    pairs = wanted.withColumn("wanted", F.lit(1)).join(actual.withColumn("found", F.lit(1)), ["text_id", "rule"], "full")
+    tier = F.when(F.col("rule").isin(C.JUDGE_RULES), "judge").otherwise("rules")
+    counts = [F.count_if(F.col("wanted").isNotNull() & F.col("found").isNotNull()).alias("tp"), F.count_if(F.col("wanted").isNull()).alias("fp"), F.count_if(F.col("found").isNull()).alias("fn")]
+    return with_prf(pairs.groupBy(tier.alias("tier"), "rule").agg(*counts))
+
+
 def passes(findings: DataFrame) -> bool:
     """Whether no finding is of high severity."""
     return findings.where("severity = 'high'").isEmpty()

@@ -17,6 +17,7 @@ from ledgerline.functions import text as T
 from ledgerline.functions import urls as U
 from ledgerline.functions.similarity import similarity
 from ledgerline.operators import facts as X
+from ledgerline.operators.containment import contained
 from ledgerline.operators import health, matching, review, scoring, style
 from ledgerline.plans import fixtures
 from ledgerline.sources import documents as D
@@ -55,26 +56,9 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source_text"))
 
 
-def contained_spans(docs: DataFrame, spans: DataFrame, word: int = 8) -> DataFrame:
-    """(doc_id, item_id) of spans that stand verbatim in documents, found by a shared word.
-
-    Every span names its longest whole word; only documents with that word are tested, so the join has a key and neither
-    side is broadcast. Spans without an inner word of some length are tested against all documents.
-    """
-    inner = F.filter(F.slice(F.split("source_text", r"[^\p{L}]+"), F.lit(2), F.greatest(F.size(F.split("source_text", r"[^\p{L}]+")) - 1, F.lit(0))), lambda w: F.char_length(w) >= word)
-    inner = F.when(F.size(F.split("source_text", r"[^\p{L}]+")) > 2, F.slice(inner, F.lit(1), F.greatest(F.size(inner) - 1, F.lit(0)))).otherwise(F.array())
-    keyed = spans.withColumn("anchor", F.get(F.sort_array(F.transform(inner, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"])
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.filter(F.split("text", r"[^\p{L}]+"), lambda w: F.char_length(w) >= word))).alias("anchor"))
-    wanted = keyed.where("anchor IS NOT NULL").select("anchor").distinct()
-    hits = words.select("doc_id", "anchor").join(wanted, "anchor", "left_semi")
-    by_word = hits.join(keyed, "anchor").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "source_text")).select("doc_id", "item_id")
-    rest = keyed.where("anchor IS NULL").join(docs.select("doc_id", "text"), F.contains("text", "source_text")).select("doc_id", "item_id")
-    return by_word.unionByName(rest)
-
-
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def provenance_verify(spark, sf_dir):
-    return contained_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), _spans(spark, sf_dir))
+    return contained(table(spark, sf_dir, "documents").select("doc_id", "text"), _spans(spark, sf_dir))
 
 
 @query("""SELECT count(*) AS claims, CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS hallucinated,
@@ -82,7 +66,7 @@ round(CAST(count(*) FILTER (WHERE NOT ok) AS DOUBLE) / count(*), 6) AS rate
 FROM (SELECT b.item_id, bool_or(coalesce(contains(d.text, b.text), false)) AS ok FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id)""")
 def hallucination_rate(spark, sf_dir):
     spans = _spans(spark, sf_dir)
-    found = contained_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), spans).select("item_id", F.lit(True).alias("ok")).distinct()
+    found = contained(table(spark, sf_dir, "documents").select("doc_id", "text"), spans).select("item_id", F.lit(True).alias("ok")).distinct()
     df = spans.join(found, "item_id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
     counts = df.agg(F.count("*").alias("claims"), F.count_if(~F.col("ok")).alias("hallucinated"))
     rate = scoring.hallucination_rate(df.withColumnRenamed("ok", "verified"))
@@ -94,7 +78,7 @@ def hallucination_rate(spark, sf_dir):
 FROM (SELECT doc_id, text FROM documents) d JOIN benchmark b ON contains(d.text, b.text), LATERAL (SELECT strpos(d.text, b.text) AS p) q""")
 def context_snippet(spark, sf_dir):
     docs, spans = table(spark, sf_dir, "documents").select("doc_id", "text"), _spans(spark, sf_dir)
-    pairs = contained_spans(docs, spans).join(docs, "doc_id").join(spans, "item_id")
+    pairs = contained(docs, spans).join(docs, "doc_id").join(spans, "item_id")
     return pairs.select("doc_id", "item_id", T.context_snippet(F.col("text"), F.col("source_text")).alias("context"))
 
 

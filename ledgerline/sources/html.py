@@ -215,8 +215,18 @@ def agenda_entries(parsed: DataFrame, base: Column, keys: tuple[str, ...] = ("pa
 
 
 def body_of_title(title: Column, fallback: Column) -> Column:
-    """'Agenda for the May 6, 2025 City Council Meeting' is of 'City Council'; titles of another form take the fallback."""
-    return F.coalesce(not_empty(F.trim(F.regexp_extract(title, C.AGENDA_TITLE, 1))), fallback)
+    """'Agenda for the May 6, 2025 City Council Meeting' is of 'City Council'; titles of another form take the fallback.
+
+    What follows "agenda for" and maybe "the": a month, a day with a comma, a year, then the body's words, maybe "Meeting".
+    """
+    at = F.locate("agenda for", F.lower(title))
+    words = F.filter(F.split(F.substr(title, at + len("agenda for")), r"\s+"), lambda w: w != "")
+    words = F.when(F.lower(F.get(words, F.lit(0))) == "the", F.slice(words, F.lit(2), F.size(words))).otherwise(words)
+    dated = F.get(words, F.lit(0)).rlike(r"^\w+$") & F.get(words, F.lit(1)).rlike(r"^\d+,$") & F.get(words, F.lit(2)).rlike(r"^\d+$")
+    named = F.slice(words, F.lit(4), F.size(words))
+    ended = F.lower(F.get(named, F.size(named) - 1)).isin("meeting", "meeting.") & (F.size(named) > 1)
+    named = F.slice(named, F.lit(1), F.size(named) - F.when(ended, 1).otherwise(0))
+    return F.coalesce(F.when((at > 0) & dated, not_empty(F.array_join(named, " "))), fallback)
 
 
 def agenda_center_meetings(parsed: DataFrame, body: Column, base: Column, limit: int | None = None, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -268,3 +278,20 @@ def resolved_category(found: DataFrame, wanted: Column, keys: tuple[str, ...] =
     name = F.lower(wanted)
     tier = F.when(F.col("category") == name, 1).when(F.contains("category", name) | F.contains(name, F.col("category")), 2).when(F.contains("category", F.lit("council")), 3)
     return found.groupBy(*keys).agg(F.min_by(F.when(tier.isNotNull(), F.struct("category", "category_id")), F.when(tier.isNotNull(), F.struct(tier.alias("t"), "pos"))).alias("best")).select(*keys, "best.category", "best.category_id")
+
+
+def cascaded_categories(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """source, category_id, category, tier and error of every request, by the first tier that fits.
+
+    wanted: source, name, cached_id (NULL: none). found: source, pos, category (lower case), category_id. Tiers: 1 the cached
+    id, even if the source no longer lists it; 2 an equal name; 3 one name inside the other; 4 any council. Within a tier the
+    first in the source's order. A request that nothing fits has its reason in `error`; with a cached id, no category is read.
+    """
+    ask = wanted.select("source", F.lower("name").alias("name"), not_empty(F.col("cached_id")).alias("cached_id"))
+    open_ones = ask.where("cached_id IS NULL").join(found, "source")
+    tier = F.when(F.col("category") == F.col("name"), 2).when(F.contains("category", "name") | F.contains("name", "category"), 3).when(F.contains("category", F.lit("council")), 4)
+    best = open_ones.withColumn("tier", tier).where("tier IS NOT NULL").groupBy("source", "name").agg(F.min(F.struct("tier", "pos", "category_id", "category")).alias("best"))
+    out = ask.join(best, ["source", "name"], "left")
+    chosen = F.coalesce("cached_id", "best.category_id")
+    error = F.when(chosen.isNull(), F.concat(F.lit("no category fits "), F.coalesce("name", F.lit("nothing"))))
+    return out.select("source", "name", chosen.alias("category_id"), F.col("best.category").alias("category"), F.when(F.col("cached_id").isNotNull(), 1).otherwise(F.col("best.tier")).alias("tier"), error.alias("error"))
