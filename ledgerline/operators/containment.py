@@ -58,8 +58,11 @@ def _by_runs(words: DataFrame, spans: DataFrame, size: int) -> DataFrame:
 def _pieces(text: Column) -> Column:
     """The pieces of a text of PIECE characters or more, or all its shorter ones."""
     chars = F.char_length(text)
-    starts = lambda n: F.sequence(F.lit(1), F.greatest(chars - n + 1, F.lit(1)))
-    return F.array_distinct(F.flatten(F.array(*[F.transform(starts(n), lambda i, n=n: F.substr(text, i, F.lit(n))) for n in range(1, PIECE + 1)])))
+
+    def of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(chars - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+
+    return F.array_distinct(F.flatten(F.array(*map(of, range(1, PIECE + 1)))))
 
 
 def _by_parts(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -94,5 +97,5 @@ def contained(docs: DataFrame, spans: DataFrame) -> DataFrame:
     if 0 not in sizes:
         return tested.distinct()
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-    empty = known.where("source_text = ''").select("item_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+    empty = known.where("source_text = ''").select("item_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     return tested.unionByName(docs.select("doc_id", salt.alias("salt")).join(empty, "salt").select("doc_id", "item_id")).distinct()

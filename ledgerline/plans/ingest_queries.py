@@ -102,7 +102,13 @@ def legistar_scan(spark, sf_dir):
 
 @query(f"SELECT * FROM ({_CALENDAR_SQL}) WHERE period = 'last month' AND contains(asked, 'e')")
 def legistar_pushdown(spark, sf_dir):
-    return _calendar(K.meetings(spark, "legistar", _landed(spark, sf_dir, "legistar"), period="last month", body="e"))
+    K.register(spark, push_filters=True)
+    return _calendar(spark.read.format("legistar").option("path", _landed(spark, sf_dir, "legistar")).option("push_filters", "true").load().where("period = 'last month' AND asked LIKE '%e%'"))
+
+
+@query(f"SELECT * FROM ({_CALENDAR_SQL}) WHERE period = 'last year' AND contains(asked, 'f') AND source = 'example.com'")
+def legistar_asked(spark, sf_dir):
+    return _calendar(K.meetings(spark, "legistar", _landed(spark, sf_dir, "legistar"), source="example.com", period="last year", body="f"))
 
 
 @query(f"""SELECT source, period, asked, page_id + 1 AS page_no, CASE WHEN {_decoded(_TIDY)} = '' THEN asked ELSE {_decoded(_TIDY)} END AS body, 'May ' || (i + 1) || ', 2025' AS date,

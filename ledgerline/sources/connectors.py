@@ -2,8 +2,10 @@
 
 A search (source, period, asked body) lands as pages in the order of its pager. `paged` numbers them by their "next" links,
 `land` writes them so that a search is a folder, and the data sources read them: one input partition for each run of
-`PAGES_PER_TASK` pages of a search. Filters on source, period and asked body are pushed: they choose folders, the way the
-live form chooses what a search returns, and pages of other searches are never opened.
+`PAGES_PER_TASK` pages of a search. Source, period and asked body choose folders, the way the live form chooses what a search
+returns, and pages of other searches are never opened: by the options `source`, `period` and `body`, which `meetings` sets,
+or by filters of the query, with the option `push_filters` and after `register(spark, push_filters=True)`. Spark 4.1 keeps
+what one query has pushed with the loaded DataFrame, for its later queries too; so with that option, load anew for each query.
 
 `grid_rows` gives a page's grids to SQL, by LATERAL.
 """
@@ -129,15 +131,8 @@ class Pages(InputPartition):
 
 
 class LandedReader(DataSourceReader):
-    def __init__(self, kind: str, path: str):
-        self.kind, self.path, self.filters = kind, path, []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, _PUSHED) and len(f.attribute) == 1 and f.attribute[0] in DIVIDED_BY[1:]:
-                self.filters.append(f)
-            else:
-                yield f
+    def __init__(self, kind: str, path: str, chosen: tuple[Filter, ...] = ()):
+        self.kind, self.path, self.filters = kind, path, list(chosen)
 
     def partitions(self) -> list[InputPartition]:
         store, root = _opened(self.path)
@@ -167,6 +162,17 @@ class LandedReader(DataSourceReader):
                 yield pa.RecordBatch.from_pylist(rows, _MEETINGS)
 
 
+class PushingReader(LandedReader):
+    """Takes filters on source, period and asked body from the plan."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, _PUSHED) and len(f.attribute) == 1 and f.attribute[0] in DIVIDED_BY[1:]:
+                self.filters.append(f)
+            else:
+                yield f
+
+
 class _Landed(DataSource):
     kind = ""
 
@@ -178,7 +184,10 @@ class _Landed(DataSource):
         return MEETINGS
 
     def reader(self, schema) -> DataSourceReader:
-        return LandedReader(self.kind, self.options["path"])
+        equal = [EqualTo((name,), self.options[name]) for name in ("source", "period") if name in self.options]
+        holds = [StringContains(("asked",), self.options["body"])] if "body" in self.options else []
+        of = PushingReader if self.options.get("push_filters") == "true" else LandedReader
+        return of(self.kind, self.options["path"], (*equal, *holds))
 
 
 class Legistar(_Landed):
@@ -189,9 +198,10 @@ class CivicPlus(_Landed):
     kind = "civicplus"
 
 
-def register(spark: SparkSession) -> SparkSession:
-    """Makes the formats and `grid_rows` known to the session, and lets filters be pushed into Python sources."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def register(spark: SparkSession, push_filters: bool = False) -> SparkSession:
+    """Makes the formats and `grid_rows` known to the session; see the module for `push_filters`."""
+    if push_filters:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (Legistar, CivicPlus):
         spark.dataSource.register(source)
     spark.udtf.register("grid_rows", grid_rows)
@@ -200,12 +210,10 @@ def register(spark: SparkSession) -> SparkSession:
 
 def meetings(spark: SparkSession, kind: str, path: str, source: str | None = None, period: str | None = None, body: str | None = None, limit: int | None = None) -> DataFrame:
     """Meetings of the searches that are asked for; the first `limit` of each in the order of its pages."""
-    df = register(spark).read.format(kind).option("path", path).load()
-    for name, value in (("source", source), ("period", period)):
-        if value is not None:
-            df = df.where(F.col(name) == value)
-    if body is not None:  # the form takes a body whose name holds what is asked for
-        df = df.where(F.contains("asked", F.lit(body)))
+    reader = register(spark).read.format(kind).option("path", path)
+    for name, value in (("source", source), ("period", period), ("body", body)):  # the form takes a body whose name holds what is asked for
+        reader = reader if value is None else reader.option(name, value)
+    df = reader.load()
     return first_rows(df.withColumn("_at", F.struct("page_no", "pos")), DIVIDED_BY[1:], "_at", limit).drop("_at")
 
 
