@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -26,47 +27,70 @@ class Alignment(NamedTuple):
     a_end: int
     b_start: int
     b_end: int
+    #: Places in a of the matched words, ascending.
+    at: tuple[int, ...] = ()
 
 
 def local_alignment(a: np.ndarray, b: np.ndarray, low: int, high: int) -> Alignment:
-    """The best local alignment (Smith-Waterman, linear gaps) whose pairs i, j have low <= j - i <= high."""
+    """The best local alignment (Smith-Waterman, linear gaps) whose pairs i, j have low <= j - i <= high.
+
+    Only every so many rows of the table are kept; the way back computes the rows between two of them anew. So the memory
+    is that of about 2 * sqrt(len(a)) rows, not of all.
+    """
     m, n, width = len(a), len(b), high - low + 1
-    pad = np.full(m + len(b) + 2 * width + abs(low) + 2, -1, np.int64)
     shift = max(0, -low) + width
-    if len(pad) < shift + n + width:
-        pad = np.full(shift + n + width, -1, np.int64)
+    pad = np.full(max(m + n + 2 * width + abs(low) + 2, shift + n + width), -1, np.int64)
     pad[shift : shift + n] = b
-    rows = np.zeros((m + 1, width + 1), np.int32)
     slope = np.arange(width, dtype=np.int32) * GAP
-    for i in range(m):
-        at = i + low + shift
-        here = pad[at : at + width]
+
+    def after(i: int, above: np.ndarray) -> np.ndarray:
+        here = pad[i + low + shift : i + low + shift + width]
         if len(here) < width:
             here = np.concatenate([here, np.full(width - len(here), -1, np.int64)])
-        row = rows[i, :width] + np.where(here == a[i], MATCH, MISMATCH)
-        np.maximum(row, rows[i, 1:] - GAP, out=row)
+        row = above[:width] + np.where(here == a[i], MATCH, MISMATCH).astype(np.int32)
+        np.maximum(row, above[1:] - GAP, out=row)
         np.maximum(row, 0, out=row)
-        rows[i + 1, :width] = np.maximum(np.maximum.accumulate(row + slope) - slope, 0)
-    best = int(rows.argmax())
-    i, c = divmod(best, width + 1)
-    score = int(rows[i, c])
+        out = np.zeros(width + 1, np.int32)
+        out[:width] = np.maximum(np.maximum.accumulate(row + slope) - slope, 0)
+        return out
+
+    every = max(32, int(m**0.5))
+    row = np.zeros(width + 1, np.int32)
+    kept, score, i, c = [row], 0, 0, 0
+    for k in range(m):
+        row = after(k, row)
+        if (k + 1) % every == 0:
+            kept.append(row)
+        top = int(row.argmax())
+        if row[top] > score:
+            score, i, c = int(row[top]), k + 1, top
     if not score:
         return Alignment(0, 0, 0, 0, 0, 0)
-    a_end, b_end, matched = i, i - 1 + low + c + 1, 0
+    a_end, b_end, at = i, i - 1 + low + c + 1, []
     a_start, b_start = a_end, b_end
-    while i > 0 and rows[i, c] > 0:  # back along the path that gave each value
+    rows, first = [], -1  # rows[k] is row first + k
+
+    while i > 0:  # back along the path that gave each value
+        if first < 0 or i - 1 < first:
+            first = (i - 1) // every * every
+            rows = [kept[first // every]]
+            for k in range(first, min(first + every, m)):
+                rows.append(after(k, rows[-1]))
+        value, above = rows[i - first][c], rows[i - 1 - first]
+        if value <= 0:
+            break
         j = i - 1 + low + c
-        value = rows[i, c]
         same = 0 <= j < n and a[i - 1] == b[j]
-        if value == max(0, rows[i - 1, c]) + (MATCH if same else MISMATCH):
-            matched += same
+        if value == max(0, above[c]) + (MATCH if same else MISMATCH):
+            if same:
+                at.append(i - 1)
             i -= 1
             a_start, b_start = i, j
-        elif value == rows[i - 1, c + 1] - GAP:
+        elif value == above[c + 1] - GAP:
             i, c = i - 1, c + 1
         else:
             c -= 1
-    return Alignment(score, matched, a_start, a_end, b_start, b_end)
+    return Alignment(score, len(at), a_start, a_end, b_start, b_end, tuple(reversed(at)))
 
 
 def most_shared(a: np.ndarray) -> Callable[[np.ndarray], int]:
@@ -103,8 +127,16 @@ def disjoint_alignments(a: np.ndarray, b: np.ndarray, longest: int, possible: Ca
             if enough(best):
                 found.add(best._replace(b_start=start, b_end=end))
             pieces += [(low, start), (end, high)]
+    return disjoint(sorted(found, key=lambda x: (-x.score, x.b_start)))
+
+
+def disjoint(found: list[Alignment]) -> list[Alignment]:
+    """Those of the alignments, the first ones first, that overlap none before them in b; in the order of b."""
+    starts: list[int] = []
     out: list[Alignment] = []
-    for x in sorted(found, key=lambda x: (-x.score, x.b_start)):
-        if all(x.b_end <= y.b_start or y.b_end <= x.b_start for y in out):
-            out.append(x)
-    return sorted(out, key=lambda x: x.b_start)
+    for x in found:
+        i = bisect_left(starts, x.b_start)  # what is there is disjoint and in order, so two neighbours tell
+        if (i == 0 or out[i - 1].b_end <= x.b_start) and (i == len(out) or x.b_end <= out[i].b_start):
+            starts.insert(i, x.b_start)
+            out.insert(i, x)
+    return out

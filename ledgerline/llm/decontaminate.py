@@ -8,7 +8,10 @@ the corpus are left out as far as they are worth less than that together; so an
 the others, however the copy was edited and however large the corpus is. Corpus counts only say which seeds are cheap.
 Where a document hits a seed of an item, the seeds of all kinds around it are counted, and unless they are worth too
 little, a local alignment of the item's words to the words there scores the copy: score = alignment score over the score
-of an exact copy. Pairs that score `LEAST` or more are reported; of an item of two words, both must be there.
+of an exact copy. Pairs that score `LEAST` or more are reported. Of an item below `SHORT` words that is not enough, as a few
+common words in a row score as much by chance: four of its words (all, if it has fewer) must match, and they must carry
+`TELLING` of its information, the sum of its words' -log2(rate in the corpus). Rates are shares, so the rule does not depend
+on how large the corpus is.
 
 Items go to the tasks in blocks of at most `BLOCK_BYTES` of text, one pass over the documents for each block, so what is
 sent does not grow with the benchmark. Nothing of the documents reaches the driver but the counts of the items' words.
@@ -30,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.align import MATCH, disjoint_alignments, most_shared, plain_words
+from ledgerline.llm.align import MATCH, Alignment, disjoint_alignments, most_shared, plain_words
 from ledgerline.llm.common import id_and_text, read_table, slices
 
 LEAST = 0.4
 BLOCK_BYTES = 4_000_000
+#: Items of fewer words need so many matched words, which hold so much of the item's information.
+SHORT, SHORT_MATCHED, TELLING = 12, 4, 0.6
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,6 +84,7 @@ class Seeds:
         self.vocabulary = {w: i + 1 for i, w in enumerate(words)}
         rate = np.array([1.0] + [max(1, counts.get(w, 0)) / max(1, total) for w in words])
         self.ids = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in items]
+        self.bits = -np.log2(np.minimum(rate, 0.999))
         found: list[tuple[int, int, int]] = []  # pair of words, item, place
         for k, ids in enumerate(self.ids):
             seeds = sorted((-rate[ids[i]] * rate[ids[i + d]], i, d) for d in (1, 2) for i in range(len(ids) - d))
@@ -148,7 +154,19 @@ class Seeds:
 
         return possible
 
-    def alignments(self, text: str) -> list[tuple]:
+    def tells(self, item: int, x: Alignment) -> bool:
+        """Whether an alignment that scores enough is a copy: always for long items, for short ones by the matched words."""
+        query = self.ids[item]
+        if len(query) >= SHORT:
+            return True
+        bits = self.bits[query]
+        return x.matched >= min(len(query), SHORT_MATCHED) and bits[list(x.at)].sum() >= TELLING * bits.sum()
+
+    def copies(self, text: str) -> list[tuple]:
+        """The alignments that tell."""
+        return self.alignments(text, self.tells)
+
+    def alignments(self, text: str, tells: Callable[[int, Alignment], bool] = lambda item, x: True) -> list[tuple]:
         """(item id, score, matched words, first and end word in the text, first and end word in the item)."""
         words = plain_words(text)
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
@@ -165,7 +183,7 @@ class Seeds:
                     ranges.append([low, high])
             possible, full = self._possible(query), MATCH * len(query)
             for low, high in ranges:
-                for x in disjoint_alignments(query, ids[low:high], len(query) + 2 * reach, possible, lambda x: x.matched > 1 and x.score >= self.least * full):  # noqa: B023
+                for x in disjoint_alignments(query, ids[low:high], len(query) + 2 * reach, possible, lambda x: x.matched > 1 and x.score >= self.least * full and tells(item, x)):  # noqa: B023
                     out.append((self.items[item][0], x.score / full, x.matched, low + x.b_start, low + x.b_end, x.a_start, x.a_end))
         return out
 
@@ -190,7 +208,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                found = [(doc, *x) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for x in seeds.alignments(text)]
+                found = [(doc, *x) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for x in seeds.copies(text)]
                 cols = list(zip(*found)) if found else [[] for _ in range(8)]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [f.split()[0] for f in FOUND.split(", ")])
@@ -207,7 +225,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAS
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                yield batch.filter(pa.array([not seeds.alignments(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not seeds.copies(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 from collections import Counter
 
@@ -262,7 +263,7 @@ def test_every_template_at_the_end_of_a_text():
     for name, template in ls.TEMPLATES.items():
         for seed in range(20):
             text = cases.prose(seed + 1, 60) + " " + template
-            found = {x[0]: x for x in index.matches(text, ls.LEAST)}
+            found = {x[0]: x for x in index.matches(text)}
             assert name in found and found[name][1] == 1.0 and found[name][4] == len(plain_words(text)), (name, seed)
 
 
@@ -277,13 +278,13 @@ def test_templates_with_every_fifth_or_fourth_word_replaced():
                 words[i] = f"new{i}".encode()
             text = cases.prose(3, 60) + " " + b" ".join(words).decode() + " " + cases.prose(4, 60)
             want = sum(not w.startswith(b"new") for w in words)
-            assert any(x[0] == name and x[2] == want for x in index.matches(text, ls.LEAST)), (name, every)
+            assert any(x[0] == name and x[2] == want for x in index.matches(text)), (name, every)
 
 
 def test_copies_side_by_side_and_many():
     index = ls.Index(ls.TEMPLATES)
     for name, n in (("All rights reserved", 400), ("GPL-2.0-or-later notice", 60)):
-        found = [x for x in index.matches(f"{ls.TEMPLATES[name]} " * n, ls.LEAST) if x[0] == name]
+        found = [x for x in index.matches(f"{ls.TEMPLATES[name]} " * n) if x[0] == name]
         size = len(plain_words(ls.TEMPLATES[name]))
         assert [x[3:5] for x in found] == [(i * size, (i + 1) * size) for i in range(n)]
 
@@ -344,3 +345,108 @@ def test_likeness_of_shifted_and_unspaced_texts(spark):
     df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "i int, a string, b string, low double, high double")
     df = sm.with_anchors(sm.with_anchors(df, "a", "x"), "b", "y").withColumn("like", sm.likeness(sm.hashes_of(sm.F.col("x")), sm.hashes_of(sm.F.col("y"))))
     assert not [(r.i, r.like) for r in df.collect() if not r.low <= r.like <= r.high]
+
+
+def test_short_items_need_telling_words(spark):
+    common = {w: 50_000 for w in b"what is the of it in a to and for we this that with on was".split()} | {b"capital": 40, b"city": 90, b"france": 60, b"invented": 30, b"telephone": 20, b"who": 9_000, b"boiling": 25, b"point": 300, b"water": 800}
+    items = ["What is the capital city", "What is the capital of France", "Who invented the telephone", "the boiling point of water", "is it the", "what is the best of the best in the city"]
+    seeds = dc.Seeds([(i, plain_words(t)) for i, t in enumerate(items)], common, 1_000_000)
+    clean = [
+        "what is this thing we saw in the garden", "it is the best of water sports", "so what is the name of the man who was here", "the point is that it is the water", "who was the one that is the telephone man", "is the water in the city what we want",
+        "this is what it is in the end and that was the point of it", "what is the plan for this city of ours",
+    ]
+    for text in clean:
+        assert [x for x in seeds.copies(text) if x[0] != 4] == [], text
+    assert seeds.alignments(clean[0]) and seeds.alignments(clean[1])  # they score enough, but do not tell
+    for i, item in enumerate(items[:4]):
+        assert [x[:2] for x in seeds.copies(f"they asked: {item}? and so on") if x[0] == i] == [(i, 1.0)]
+    assert {x[0] for x in seeds.copies("tell me what is the big capital of France now")} >= {1}
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    docs = cases.documents(spark, {i: t + " " + cases.prose(i, 100) for i, t in enumerate(clean)})
+    kept = dc.drop_contaminated(docs, bench.where("item_id = 0"))
+    assert kept.count() == len(clean)
+
+
+def test_alignment_of_long_items_keeps_few_rows():
+    import tracemalloc
+
+    rng = random.Random(3)
+    a = np.array([rng.randrange(5000) for _ in range(6000)])
+    b = np.concatenate([np.array([rng.randrange(5000) for _ in range(200)]), np.delete(a, range(0, 6000, 9)), np.array([7] * 50)])
+    tracemalloc.start()
+    got = local_alignment(a, b, -1000, 1500)
+    assert tracemalloc.get_traced_memory()[1] < 12e6
+    tracemalloc.stop()
+    assert got.matched == 6000 - len(range(0, 6000, 9)) and list(got.at) == sorted(set(got.at)) and len(got.at) == got.matched
+
+
+def test_windows_prove_a_hit():
+    index = ls.Index(ls.TEMPLATES)
+    rng = random.Random(6)
+    windowed = 0
+    for name, template in ls.TEMPLATES.items():
+        words = plain_words(template)
+        codes = index.hashes.array(words)
+        lost = 0 if len(words) < ls.SHORT else len(words) - int(np.ceil(ls.LEAST * len(words)))
+        size, kept, at = ls.fingerprints(codes, lost)
+        windowed += len(at) < len(words) - size + 1
+        assert ls.apart(at, size) > lost
+        for _ in range(200):  # the words to lose, anywhere
+            gone = set(rng.sample(range(len(words)), lost))
+            assert any(not gone & set(range(p, p + size)) for p in at.tolist()), name
+    assert windowed >= 8
+    for n in (8, 9, 11, 14, 30):  # every place of the fewest edits for small ones
+        codes = np.array([rng.randrange(2**60) for _ in range(n)], np.uint64)
+        lost = n - int(np.ceil(ls.LEAST * n))
+        size, _, at = ls.fingerprints(codes, lost)
+        for gone in itertools.combinations(range(n), lost) if n <= 14 else []:
+            assert any(not set(gone) & set(range(p, p + size)) for p in at.tolist())
+
+
+def plain_licences(index, text):
+    """Full alignment of every template to the whole text, best first, then what is left on both sides."""
+    codes, out = index.hashes.array(plain_words(text)).view(np.int64), []
+    for name, query in zip(index.names, index.words):
+        pieces = [(0, len(codes))]
+        while pieces:
+            low, high = pieces.pop()
+            x = local_alignment(query, codes[low:high], -len(query), high - low)
+            whole = x.matched == len(query) == x.b_end - x.b_start if len(query) < ls.SHORT else x.matched >= ls.LEAST * len(query)
+            if x.score and whole:
+                out.append((name, x.matched, low + x.b_start, low + x.b_end))
+                pieces += [(low, low + x.b_start), (low + x.b_end, high)]
+    return out
+
+
+def test_licences_against_full_alignments():
+    index, rng, seen, missed, extra = ls.Index(ls.TEMPLATES), random.Random(11), 0, 0, 0
+    for k in range(60):
+        name = rng.choice(sorted(ls.TEMPLATES))
+        words, kind = ls.TEMPLATES[name].split(), k % 3
+        if len(plain_words(ls.TEMPLATES[name])) >= ls.SHORT:
+            for i in rng.sample(range(len(words)), len(words) // 8):
+                words[i] = {0: f"new{i}", 1: "", 2: f"{words[i]} put in"}[kind]
+        text = f"{cases.prose(k + 1, 40)} {' '.join(words)} {cases.prose(k + 2, 40)}"
+        want, got = plain_licences(index, text), {(x[0], x[2]) for x in index.matches(text)}
+        seen += len(want)
+        missed += sum(x[:2] not in got for x in want)
+        extra += len(got) - len(want)
+        best = index.best(text)
+        assert best and best[0][2] == max(x[1] for x in want)  # the template with the most matched words stands for its place
+    assert seen > 60 and missed <= 0.02 * seen and extra <= 0.02 * seen
+
+
+def test_one_template_for_a_place():
+    index = ls.Index(ls.TEMPLATES)
+    names = lambda text: [x[0] for x in index.best(text)]
+    assert names("x Licensed under CC BY-NC 4.0 y") == ["CC-BY-NC line"] and names("Licensed under CC BY 4.0") == ["CC-BY line"]
+    assert names("we license this under the GNU General license agreement") == [] and names("licensed under CC and by 4 0 percent") == []
+    assert names(ls.TEMPLATES["Apache-2.0 notice"] + " and All rights reserved.") == ["Apache-2.0 notice", "All rights reserved"]
+    assert names(ls.TEMPLATES["MIT"]) == ["MIT"] and names(ls.TEMPLATES["BSD-2-Clause"]) == ["BSD-2-Clause"] and names(ls.TEMPLATES["ISC"]) == ["ISC"]
+    assert names(ls.TEMPLATES["GPL-2.0-or-later notice"]) == ["GPL-2.0-or-later notice"]
+    assert names(ls.TEMPLATES["MIT grant"]) == ["MIT grant"] and names("one word") == []
+    assert [x[0] for x in ls.Index({"w": "copyleft"}).best("all of it is Copyleft, as copyleft goes")] == ["w", "w"]
+    import time
+
+    began = time.time()
+    assert len(index.best("All rights reserved. " * 20_000)) == 20_000 and time.time() - began < 10
