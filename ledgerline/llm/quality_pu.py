@@ -2,11 +2,17 @@
 
 The model sees trusted positives, unlabelled web text and a class prior; it never sees a labelled negative. It minimises
 the non-negative unbiased risk  prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)])  with the logistic loss, so
-that the logistic function of f estimates the chance of label 1. The prior is the share of label 1 among the labelled
-rows outside the held-out fold. f is a network with one hidden layer over features of the text alone.
+that the logistic function of f estimates the chance of label 1. f is a network with one hidden layer over features of the
+text alone.
+
+The prior is estimated from positives and unlabelled texts alone (`class_prior`): above any score, unlabelled texts hold at
+least prior times the share of positives that score so, and nearly no more where only positives score so high. So a first
+network is fitted on one half of both, and on the other halves the ratio of the two shares is taken at the score where its
+upper bound is least. That is an upper estimate, so of several splits the least one counts.
 
 At most `SAMPLE` trusted positives and `SAMPLE` unlabelled texts fit the model, those with the least hashes of their
-ids; every text is scored. Without a trusted positive, all scores are the prior (0.5 where nothing is labelled).
+ids (of an id with several rows one counts); every text is scored. With fewer than `FEWEST` of either the prior is 0.5;
+without a trusted positive, all scores are the prior.
 
 Cases: null and empty texts are scored from their features, all zero; rows with a null id are scored and not held out;
 repeated rows are scored each; an empty table gives an empty table; further columns are not read. An id with several
@@ -29,6 +35,8 @@ from ledgerline.llm.common import id_and_text, read_table, slices
 SAMPLE = 8_000
 HIDDEN = 16
 ROUNDS = 400
+#: Splits that the prior is estimated on, rounds of a split's network, and rows of a side below which there is no estimate.
+SPLITS, SPLIT_ROUNDS, FEWEST = 6, 200, 20
 FOLDS = 5
 KEEP_FROM = 0.3
 
@@ -122,6 +130,23 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: in
     return model
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, splits: int = SPLITS, chance: float = 0.1) -> float:
+    """The share of positives among the unlabelled rows, at most; see the module."""
+    if min(len(positive), len(unlabelled)) < FEWEST:
+        return 0.5
+    found = []
+    for seed in range(splits):
+        rng = np.random.default_rng(seed)
+        p, u = positive[rng.permutation(len(positive))], unlabelled[rng.permutation(len(unlabelled))]
+        model = train(p[: len(p) // 2], u[: len(u) // 2], 0.5, SPLIT_ROUNDS)
+        sp, su = np.sort(model.scores(p[len(p) // 2 :])), np.sort(model.scores(u[len(u) // 2 :]))
+        of_p, of_u = 1 - np.searchsorted(sp, sp) / len(sp), 1 - np.searchsorted(su, sp) / len(su)  # that score as high as each positive
+        slack = sum(np.sqrt(np.log(4 / chance) / (2 * len(s))) for s in (sp, su))
+        best = int(((of_u + slack) / of_p).argmin())
+        found.append(of_u[best] / of_p[best])
+    return float(min(0.98, max(0.02, min(found))))
+
+
 def fold_of(key: str) -> F.Column:
     """crc32 of the id as text, modulo FOLDS; null for a null id."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS
@@ -135,7 +160,8 @@ def _sampled_features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
             x = [features(text).tolist() for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "x"])
 
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, x array<float>").collect()
+    every = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, x array<float>")
+    rows = every.groupBy("doc_id").agg(F.min("x").alias("x")).collect()  # as many as there are ids, however often one repeats
     rows.sort(key=lambda r: (r.doc_id, r.x))
     return np.array([r.x for r in rows], np.float64).reshape(len(rows), FEATURES)
 
@@ -143,14 +169,12 @@ def _sampled_features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model | None, float]:
     """The model and the class prior, from rows outside the held-out fold."""
     docs = id_and_text(docs)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality IS NOT NULL").where(fold_of("doc_id") != 0)
-    counts = known.agg(F.count("*").alias("n"), F.sum("quality").alias("ones")).first()
-    prior = counts["ones"] / counts["n"] if counts["n"] else 0.5
-    prior = min(0.98, max(0.02, prior))
+    trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where(fold_of("doc_id") != 0)
     least = F.xxhash64("doc_id")
-    positive = known.where("quality = 1").join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id").distinct().orderBy(least, "doc_id").limit(sample)
+    positive = trusted.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id").distinct().orderBy(least, "doc_id").limit(sample)
     unlabelled = docs.select("doc_id").where(fold_of("doc_id") != 0).distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(sample)
     p, u = _sampled_features(docs, positive), _sampled_features(docs, unlabelled)
+    prior = class_prior(p, u)
     if not len(p) or not len(u):
         return None, prior
     return train(p, u, prior), prior

@@ -49,3 +49,41 @@ def test_awkward_cases(spark):
     assert qp.score(cases.empty(spark), model, prior).count() == 0
     none, half = qp.fit(cases.empty(spark), labels.limit(0))
     assert none is None and half == 0.5 and qp.score(awkward, none, half).first().score == 0.5
+
+
+def test_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(2)
+    draw = lambda n, good: np.where(good, 1.0, -1.0)[:, None] * 1.5 + rng.normal(size=(n, 6))
+    for true in (0.2, 0.5, 0.8):
+        u = draw(3000, rng.random(3000) < true)
+        assert abs(qp.class_prior(draw(1500, np.ones(1500, bool)), u) - true) < 0.06, true
+    assert qp.class_prior(draw(5, np.ones(5, bool)), draw(500, np.ones(500, bool))) == 0.5
+
+
+def test_labelled_zeros_are_never_read_and_repeated_ids_count_once(spark):
+    docs, labels = table(spark)
+    a, p = qp.fit(docs, labels)
+    b, q = qp.fit(docs, labels.where("quality = 1"))
+    x = np.array([qp.features(cases.prose(i, 80)) for i in range(5)])
+    assert p == q and (a.scores(x) == b.scores(x)).all() and abs(p - 5 / 6) < 0.08
+    one = docs.where("doc_id = 7").crossJoin(spark.range(300).select()).select("doc_id", "text")
+    c, r = qp.fit(docs.unionByName(one), labels)
+    assert r == p and (c.scores(x) == a.scores(x)).all()
+
+
+def test_scores_of_the_query_against_a_plain_version(spark):
+    """Every row of the query from the model's own arithmetic, text by text; folds and predictions from their definitions."""
+    import os
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        return
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model, _ = qp.fit(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = qp.op8_quality_pu(spark, folder).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        z = np.clip((qp.features(texts[r.doc_id]) - model.mean) / model.scale, -8, 8)
+        f = float(np.tanh(z @ model.p[0] + model.p[1]) @ model.p[2] + model.p[3][0])
+        assert abs(r.score - 1 / (1 + np.exp(-f))) < 1e-9 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3)
