@@ -2,7 +2,7 @@
 
 The tables stand in for the engine's inputs: documents for fetched documents, benchmark for claimed spans, pages for
 landed HTML, labels for annotations, events for run telemetry, orders for amounts. Rules that find nothing in this corpus
-run on the inline texts of `plans.fixtures` instead, so that no agreement is about empty results.
+run on texts laid out by the query itself (`plans.fixtures` serves the tests), so that no agreement is about empty results.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from ledgerline.functions.similarity import similarity
 from ledgerline.operators import facts as X
 from ledgerline.operators.containment import contained
 from ledgerline.operators import health, matching, review, scoring, style
-from ledgerline.plans import fixtures
 from ledgerline.sources import documents as D
 from ledgerline.sources import html as H
 
@@ -125,11 +124,17 @@ def html_links(spark, sf_dir):
     return df.select("page_id", F.size(F.filter("page.links", lambda x: x["href"].isNotNull())).cast("long").alias("links"))
 
 
-@query("""SELECT url, CASE WHEN regexp_matches(url, '(?i)legistar\\.com') THEN 'legistar' WHEN regexp_matches(url, '(?i)granicus\\.com') THEN 'granicus' WHEN regexp_matches(url, '(?i)civicplus') THEN 'civicplus'
-WHEN regexp_matches(url, '(?i)iqm2\\.com') THEN 'iqm2' END AS platform FROM (VALUES ('https://a.legistar.com/Calendar.aspx'), ('https://B.Granicus.com/x'), ('https://www.civicplusmedia.com/'), ('http://c.iqm2.com'), ('https://example.org/none')) t(url)""")
+_HOSTS = ["a.legistar.com", "B.Granicus.com", "www.civicplusmedia.com", "c.iqm2.com", "example.org", "x.primegov.com", "boarddocs.com.example.org"]
+
+
+@query(f"""SELECT page_id, CASE WHEN regexp_matches(u, '(?i)legistar\\.com') THEN 'legistar' WHEN regexp_matches(u, '(?i)granicus\\.com') THEN 'granicus' WHEN regexp_matches(u, '(?i)civicplus') THEN 'civicplus'
+WHEN regexp_matches(u, '(?i)primegov\\.com') THEN 'primegov' WHEN regexp_matches(u, '(?i)boarddocs\\.com') THEN 'boarddocs' WHEN regexp_matches(u, '(?i)iqm2\\.com') THEN 'iqm2' END AS platform
+FROM (SELECT page_id, regexp_replace(url, '^(https?://)[^/]+', '\\1' || list_extract([{', '.join(f"'{h}'" for h in _HOSTS)}], CAST(page_id % 7 + 1 AS INTEGER))) AS u FROM pages)""")
 def platform_detect(spark, sf_dir):
-    urls = spark.createDataFrame([(u,) for u in fixtures.URLS], "url string")
-    return urls.select("url", U.platform(F.col("url"), F.lit(None).cast("string")).alias("platform"))
+    """Pages' addresses with hosts of the platforms."""
+    host = F.element_at(F.array(*map(F.lit, _HOSTS)), (F.col("page_id") % 7 + 1).cast("int"))
+    url = F.concat(F.regexp_extract("url", "^https?://", 0), host, F.regexp_replace("url", "^https?://[^/]+", ""))
+    return table(spark, sf_dir, "pages").select("page_id", U.platform(url, F.lit(None).cast("string")).alias("platform"))
 
 
 @query("SELECT doc_id, length(trim(text, ' \n\t\r')) / 1.0 < 20 AS ocr_required FROM documents")
@@ -195,17 +200,19 @@ def month_ranges(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", first.alias("first"), last.alias("last"))
 
 
-def _digests(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(fixtures.DIGESTS, fixtures.DIGEST_SCHEMA)
-
+_LAYOUTS = ["# T\n\n## Overview\n\n", "## Reports\n\n", "# T\n\n## Reports\n\nOne.\n\n## Overview\n\n", "# T\n\n## Overview\n\nTwo.\n\n## Extra\n\n"]
 
-def _rules(rows: list[tuple]) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{r}', '{s}', CAST({n} AS BIGINT))" for i, r, s, n in rows) + ") t(text_id, rule, severity, n)"
 
-
-@query(_rules(fixtures.EXPECTED_FINDINGS))
+@query("""SELECT CAST(doc_id AS VARCHAR) AS text_id, rule, severity, CAST(1 AS BIGINT) AS n FROM documents, (VALUES ('missing_header', 'high', 1), ('missing_overview', 'high', 1), ('section_order', 'medium', 2), ('unexpected_section', 'low', 3), ('banned_construction', 'low', -1)) r(rule, severity, k)
+WHERE doc_id % 4 = k OR (k = -1 AND contains(text, '!'))""")
 def style_findings(spark, sf_dir):
-    return style.check_deterministic(_digests(spark)).groupBy("text_id", "rule", "severity").agg(F.count("*").alias("n"))
+    """Documents' texts in four layouts of a digest; findings of the rules of structure, and of exclamation marks."""
+    layout = F.element_at(F.array(*map(F.lit, _LAYOUTS)), (F.col("doc_id") % 4 + 1).cast("int"))
+    texts = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("text_id"), F.concat(layout, F.translate("text", "#\r\n", " ")).alias("text"), F.array().cast("array<string>").alias("known_item_numbers"),
+        F.expr("cast(array() as array<struct<raw_name:string,role:string>>)").alias("people"))
+    found = style.check_deterministic(texts).where("rule IN ('missing_header', 'missing_overview', 'section_order', 'unexpected_section') OR rule = 'banned_construction' AND severity = 'low'")
+    return found.groupBy("text_id", "rule", "severity").agg(F.count("*").alias("n"))
 
 
 _PHRASES = " UNION ALL ".join("SELECT '" + p.replace("'", "''") + "' AS p" for p in C.BANNED_PHRASES)
@@ -375,12 +382,21 @@ def regression_gate(spark, sf_dir):
     return got.select("lang", F.round("delta", 5).alias("delta"))
 
 
-# ---- inline cases of matching and rules -----------------------------------------------------------------------------
+# ---- matching and rules -------------------------------------------------------------------------------------------
+
+
+_SETS = """(SELECT d.doc_id, rule, max(CASE WHEN s = 'e' THEN 1 ELSE 0 END) AS e, max(CASE WHEN s = 'a' THEN 1 ELSE 0 END) AS a FROM (
+SELECT doc_id, 'e' AS s, lang AS rule FROM documents UNION ALL SELECT doc_id, 'e', source FROM documents UNION ALL SELECT doc_id, 'a', source FROM documents UNION ALL SELECT doc_id - 1, 'a', lang FROM documents) d
+WHERE d.doc_id IN (SELECT doc_id FROM documents) GROUP BY ALL)"""
 
 
-@query(_prf_sql("SELECT rule, tp, fp, fn FROM (VALUES " + ", ".join(f"('{r}', {a}, {b}, {c})" for r, a, b, c in fixtures.RULE_COUNTS) + ") t(rule, tp, fp, fn)", "rule,").replace("tp, fp, fn, round", "CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round"))
+@query(_prf_sql(f"SELECT rule, count(*) FILTER (e = 1 AND a = 1) AS tp, count(*) FILTER (e = 0) AS fp, count(*) FILTER (a = 0) AS fn FROM {_SETS} GROUP BY rule", "rule,").replace("tp, fp, fn, round", "CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round"))
 def rule_set_scores(spark, sf_dir):
-    return _rounded(scoring.rule_scores(spark.createDataFrame(fixtures.RULE_CASES, "expected array<string>, actual array<string>")), "rule")
+    """Languages and sources stand in for rules: a document's own are expected, its source and the next one's language found."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    ahead = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("next_lang"))
+    cases = d.join(ahead, "doc_id", "left").select(F.array_distinct(F.array("lang", "source")).alias("expected"), F.array_distinct(F.array_compact(F.array("next_lang", "source"))).alias("actual"))
+    return _rounded(scoring.rule_scores(cases), "rule")
 
 
 @query("""SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey WHERE abs(a.o_totalprice - b.o_totalprice) < 500""")
@@ -392,21 +408,22 @@ def amount_band(spark, sf_dir):
     return a.join(b, near).select(F.col("a.o_orderkey").alias("a"), F.col("b.o_orderkey").alias("b"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {str(x).lower()})" for a, b, x in fixtures.AMOUNTS) + ") t(a, b, equal)")
+@query("SELECT o_orderkey, o_orderkey % 4 = 0 OR o_orderkey % 4 = 3 AS equal FROM orders")
 def amount_match(spark, sf_dir):
-    df = spark.createDataFrame([(a, b) for a, b, _ in fixtures.AMOUNTS], "a string, b string")
-    return df.select("a", "b", matching.amounts_equal(F.col("a"), F.col("b")).alias("equal"))
+    """Totals against themselves off by less than the tolerance, by more, in words, and in another notation."""
+    k, total = F.col("o_orderkey") % 4, F.col("o_totalprice")
+    other = F.when(k == 0, (total + 0.004).cast("string")).when(k == 1, (total + 0.02).cast("string")).when(k == 2, "one million").otherwise(F.format_string("%.6e", total))
+    return table(spark, sf_dir, "orders").select("o_orderkey", matching.amounts_equal(F.when(k == 3, F.format_string("%.6e", total)).otherwise(total.cast("string")), other).alias("equal"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in fixtures.NAMES) + ") t(name, plain)")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN lower(c_name) || ' ' || lower(c_mktsegment) WHEN c_custkey % 3 = 1 THEN 'vice mayor ' || lower(c_name) ELSE 'chairman ' || lower(c_name) END AS plain FROM customer")
 def person_title_strip(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in fixtures.NAMES], "name string").select("name", matching.strip_title(F.col("name")).alias("plain"))
-
-
-@query()
-def greedy_match(spark, sf_dir):
-    gold, pred = (spark.createDataFrame(rows, "case_id string, field_type string, idx int, value string") for rows in (fixtures.GOLD, fixtures.PREDICTED))
-    return matching.greedy_match(gold, pred)
+    """Customers with a title of each kind, with two of them, and with one that is none."""
+    titles = F.array(*map(F.lit, C.PERSON_TITLES))
+    title = F.initcap(F.element_at(titles, (F.col("c_custkey") % len(C.PERSON_TITLES) + 1).cast("int")))
+    k = F.col("c_custkey") % 3
+    name = F.when(k == 0, F.concat(title, F.lit("  "), "c_name", F.lit(" "), "c_mktsegment")).when(k == 1, F.concat(title, F.lit(" Vice  Mayor "), "c_name")).otherwise(F.concat(F.lit("Chairman "), "c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", matching.strip_title(name).alias("plain"))
 
 
 @query()
@@ -416,12 +433,6 @@ def text_similarity(spark, sf_dir):
     return b.join(other, "item_id").select("item_id", F.round(similarity(F.col("text"), F.col("other")), 6).alias("similarity"))
 
 
-@query("SELECT category_name AS wanted, category_id FROM (VALUES " + ", ".join(f"('{w}', {'NULL' if i is None else repr(i)})" for w, i in fixtures.CATEGORY_ANSWERS) + ") t(category_name, category_id)")
-def category_cascade(spark, sf_dir):
-    found = spark.createDataFrame(fixtures.CATEGORIES, "wanted string, category string, category_id string, pos int")
-    return H.resolved_category(found, F.col("wanted"), ("wanted",)).select("wanted", "category_id")
-
-
 @query("""SELECT user_id, event_id FROM (SELECT *, max(CASE WHEN event_type = 'purchase' AND value > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) AS has FROM events) WHERE event_type = CASE WHEN has = 1 THEN 'purchase' ELSE 'click' END""")
 def period_fallback(spark, sf_dir):
     df = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("period"), F.when(F.col("value") > 300, "x").alias("meeting_details_url"))

@@ -220,6 +220,16 @@ def schema_differences(spark, sf_dir):
     return M.differences(M.as_table(spark, table(spark, sf_dir, "documents").schema), M.as_table(spark, new))
 
 
+def _menus(spark, sf_dir):
+    """(wanted, found): the first word of each page's title, and the page's menu; every 7th has its id already."""
+    entity = lambda c: F.replace(F.replace(c, F.lit("&amp;"), F.lit("&")), F.lit("&quot;"), F.lit('"'))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("source"), "html")
+    found = pages.select("source", F.posexplode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(2))).alias("pos", "text"))
+    found = found.select("source", "pos", F.lower(entity(F.trim(F.regexp_replace("text", r"\s+", " ")))).alias("category"), F.concat(F.lit("c"), F.col("pos").cast("string")).alias("category_id"))
+    title = F.split_part(F.trim(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)), F.lit(" "), F.lit(1))
+    return pages.select("source", title.alias("name"), F.when(F.col("source") % 7 == 0, "kept").when(F.col("source") % 7 == 1, "").alias("cached_id")), found
+
+
 _WORDS = rf"(SELECT page_id, lower({_decoded(_TIDY)}) AS category, 'c' || i AS category_id, i AS pos FROM {_LINKS})"
 _WANTED = "(SELECT page_id, lower(split_part(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), ' ', 1)) AS name, CASE WHEN page_id % 7 = 0 THEN 'kept' WHEN page_id % 7 = 1 THEN '' END AS cached FROM pages)"
 
@@ -230,14 +240,15 @@ SELECT w.page_id, w.name, w.cached, c.category, c.category_id, c.tier, row_numbe
 SELECT c.*, CASE WHEN c.category = w.name THEN 2 WHEN contains(c.category, w.name) OR contains(w.name, c.category) THEN 3 WHEN contains(c.category, 'council') THEN 4 END AS tier FROM {_WORDS} c JOIN {_WANTED} w ON w.page_id = c.page_id
 ) c ON c.page_id = w.page_id AND c.tier IS NOT NULL) WHERE n = 1""")
 def category_tiers(spark, sf_dir):
-    """The first word of each page's title against the menu of the page; every 7th has its id already."""
-    texts = F.regexp_extract_all("html", F.lit(_LINK), F.lit(2))
-    entity = lambda c: F.replace(F.replace(c, F.lit("&amp;"), F.lit("&")), F.lit("&quot;"), F.lit('"'))
-    raw = table(spark, sf_dir, "pages")
-    found = raw.select(F.col("page_id").alias("source"), F.posexplode(texts).alias("pos", "text")).select("source", "pos", F.lower(entity(F.trim(F.regexp_replace("text", r"\s+", " ")))).alias("category"), F.concat(F.lit("c"), F.col("pos").cast("string")).alias("category_id"))
-    title = F.split_part(F.trim(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)), F.lit(" "), F.lit(1))
-    cached = F.when(F.col("page_id") % 7 == 0, "kept").when(F.col("page_id") % 7 == 1, "")
-    return H.cascaded_categories(raw.select(F.col("page_id").alias("source"), title.alias("name"), cached.alias("cached_id")), found).withColumnRenamed("source", "page_id")
+    return H.cascaded_categories(*_menus(spark, sf_dir)).withColumnRenamed("source", "page_id")
+
+
+@query(f"""SELECT page_id, category, category_id FROM (SELECT p.page_id, c.category, c.category_id, row_number() OVER (PARTITION BY p.page_id ORDER BY c.tier NULLS LAST, c.pos) AS n FROM (SELECT DISTINCT page_id FROM {_WORDS}) p LEFT JOIN (
+SELECT c.*, CASE WHEN c.category = w.name THEN 1 WHEN contains(c.category, w.name) OR contains(w.name, c.category) THEN 2 WHEN contains(c.category, 'council') THEN 3 END AS tier FROM {_WORDS} c JOIN {_WANTED} w ON w.page_id = c.page_id
+) c ON c.page_id = p.page_id AND c.tier IS NOT NULL) WHERE n = 1""")
+def category_cascade(spark, sf_dir):
+    wanted, found = _menus(spark, sf_dir)
+    return H.resolved_category(found.withColumnRenamed("source", "page_id").join(wanted.select(F.col("source").alias("page_id"), "name"), "page_id"), F.col("name")).select("page_id", "category", "category_id")
 
 
 def _digests(spark, sf_dir):

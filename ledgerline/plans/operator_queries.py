@@ -103,17 +103,37 @@ def consent_items(spark, sf_dir):
 # ---- scores of matched facts ------------------------------------------------------------------------------
 
 
+def _sign(key: Column, modulus: int) -> Column:
+    """A letter for a key; keys differ in it unless the modulus divides their difference."""
+    return F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + F.pmod(key, F.lit(modulus))), 4, "0")), "UTF-16BE")
+
+
+def _wording(key: Column) -> Column:
+    """A text that is nearly all other for any other key: of three letters at most one is the same."""
+    return F.concat(*[F.repeat(_sign(key, m), 13) for m in (19_997, 20_011, 20_021)])
+
+
 def gold_and_predicted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Amounts and people of every customer's orders; predictions miss every 4th and change every 5th."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("case_id"), _key().cast("int").alias("idx"), F.when(_key() % 2 == 0, "amounts").otherwise("people").alias("field_type"))
-    shown = lambda key: F.when(F.col("field_type") == "amounts", F.to_json(F.struct(F.lit("x").alias("raw_text"), key.alias("amount_usd")))).otherwise(F.to_json(F.struct(F.concat(F.lit("Mayor "), F.repeat(F.md5(key), 2)).alias("raw_name"))))
-    gold = o.select("case_id", "field_type", "idx", shown(F.col("idx").cast("string")).alias("value"))
-    changed = F.when(F.col("idx") % 5 == 0, F.concat(F.lit("9"), F.col("idx").cast("string"))).otherwise(F.col("idx").cast("string"))
+    """Facts of all four types of every customer's orders; predictions miss every 4th and change every 5th."""
+    kind = F.element_at(F.array(*map(F.lit, C.FIELD_TYPES)), (F.pmod(F.floor(_key() / 8), F.lit(4)) + 1).cast("int"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("case_id"), _key().cast("int").alias("idx"), kind.alias("field_type"))
+
+    def shown(key: Column) -> Column:
+        text, field = _wording(key), F.col("field_type")
+        return (
+            F.when(field == "amounts", F.to_json(F.struct(F.lit("x").alias("raw_text"), key.cast("string").alias("amount_usd"))))
+            .when(field == "people", F.to_json(F.struct(F.concat(F.lit("Mayor "), text).alias("raw_name"))))
+            .when(field == "locations", F.to_json(F.struct(text.alias("raw_text"))))
+            .otherwise(F.to_json(F.struct(text.alias("text"), F.lit("passed").alias("outcome"), key.cast("string").alias("tally"))))
+        )
+
+    gold = o.select("case_id", "field_type", "idx", shown(F.col("idx").cast("long")).alias("value"))
+    changed = F.when(F.col("idx") % 5 == 0, F.col("idx").cast("long") + 900_000_000).otherwise(F.col("idx").cast("long"))
     predicted = o.where("idx % 4 <> 1 AND idx % 8 <> 2").select("case_id", "field_type", "idx", shown(changed).alias("value"))
     return gold, predicted
 
 
-_KIND = "CASE WHEN o_orderkey % 2 = 0 THEN 'amounts' ELSE 'people' END"
+_KIND = "list_extract([" + ", ".join(f"'{f}'" for f in C.FIELD_TYPES) + "], CAST(o_orderkey // 8 % 4 + 1 AS INTEGER))"
 _PAIRS = f"""(SELECT CAST(o_custkey AS VARCHAR) AS case_id, {_KIND} AS field_type, count(*) FILTER (WHERE p AND NOT c) AS tp, count(*) FILTER (WHERE p AND c) AS fp, count(*) FILTER (WHERE NOT p OR c) AS fn
 FROM (SELECT *, o_orderkey % 4 <> 1 AND o_orderkey % 8 <> 2 AS p, o_orderkey % 5 = 0 AS c FROM orders) GROUP BY ALL)"""
 _SCORES = ("precision", "recall", "f1")
@@ -288,14 +308,32 @@ def integer_baselines(spark, sf_dir):
 # ---- URLs and text ----------------------------------------------------------------------------------------
 
 
-@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'legistar' WHEN 1 THEN 'civicplus' WHEN 2 THEN 'boarddocs' END AS platform FROM pages""")
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'legistar' WHEN 1 THEN 'civicplus' WHEN 2 THEN CASE WHEN length(html) + 17 <= 60000 THEN 'boarddocs' END END AS platform FROM pages""")
 def page_platforms(spark, sf_dir):
+    """Whole pages with a platform's name in the address, in front, or at the very end, where only so many characters are looked at."""
     k = F.col("page_id") % 4
     url = F.concat("url", F.when(k == 0, "/x.LEGISTAR.com").otherwise(""))
-    html = F.concat(F.when(k == 0, "granicus.com").when(k == 1, "<a href='//www.CivicPlusMedia.com'>").when(k == 2, "go.boarddocs.com").otherwise(""), F.substring("html", 1, 1000))
+    html = F.concat(F.when(k == 0, "granicus.com").when(k == 1, "<a href='//www.CivicPlusMedia.com'>").otherwise(""), "html", F.when(k == 2, "<b>go.boarddocs.com").otherwise(""))
     return table(spark, sf_dir, "pages").select("page_id", U.platform(url, html).alias("platform"))
 
 
+@query(f"""SELECT case_id, field_type, 'gold' AS side, idx, CASE WHEN p AND NOT c THEN idx END AS other FROM (SELECT CAST(o_custkey AS VARCHAR) AS case_id, {_KIND} AS field_type, CAST(o_orderkey AS INTEGER) AS idx, o_orderkey % 4 <> 1 AND o_orderkey % 8 <> 2 AS p, o_orderkey % 5 = 0 AS c FROM orders)
+UNION ALL SELECT CAST(o_custkey AS VARCHAR), {_KIND}, 'pred', CAST(o_orderkey AS INTEGER), CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey AS INTEGER) END FROM orders WHERE o_orderkey % 4 <> 1 AND o_orderkey % 8 <> 2""")
+def greedy_match(spark, sf_dir):
+    return matching.greedy_match(*gold_and_predicted(spark, sf_dir))
+
+
+_USER_F1 = "SELECT CAST(user_id AS VARCHAR) AS user_id, round(avg(value / (value + 100)), 6) AS f1 FROM events WHERE value >= 0 AND event_id % 2 = {} GROUP BY 1"
+
+
+@query(f"SELECT n.user_id, n.f1, o.f1 AS baseline_f1, round(n.f1 - o.f1, 6) AS delta FROM ({_USER_F1.format(1)}) n JOIN ({_USER_F1.format(0)}) o ON n.user_id = o.user_id WHERE o.f1 - n.f1 > 0.03")
+def gate_at_margin(spark, sf_dir):
+    """The gate with its own margin, over two halves of each user's events."""
+    share = F.round(F.avg(F.col("value") / (F.col("value") + 100)), 6).alias("f1")
+    half = lambda k: table(spark, sf_dir, "events").where((F.col("value") >= 0) & (F.col("event_id") % 2 == k)).groupBy(F.col("user_id").cast("string").alias("user_id")).agg(share)
+    return scoring.regressions(half(1), half(0), keys=("user_id",)).select("user_id", "f1", "baseline_f1", F.round("delta", 6).alias("delta"))
+
+
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'https://s' || s_suppkey || '.legistar.com/Calendar.aspx' END AS root, CASE WHEN s_suppkey % 3 = 0 THEN 'https://t' || s_suppkey || '.legistar.com/Calendar.aspx' END AS named FROM supplier""")
 def calendar_roots(spark, sf_dir):
     k = F.col("s_suppkey")
@@ -469,10 +507,12 @@ def platform_sources(spark, sf_dir):
     return R.of_platform(_cities(spark, sf_dir)).select("jurisdiction", "body")
 
 
-@query("SELECT c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'granicus' WHEN c_custkey % 5 = 0 THEN 'legistar' END AS platform FROM customer")
+@query("""SELECT c_name AS name, CASE WHEN c_custkey % 7 = 0 THEN 'legistar' WHEN c_custkey % 3 = 0 THEN 'granicus' WHEN c_custkey % 5 = 0 THEN 'legistar' END AS platform,
+CASE WHEN c_custkey % 7 = 0 THEN 'https://c' || c_custkey || '.legistar.com/Calendar.aspx' END AS root_url FROM customer""")
 def detected_platforms(spark, sf_dir):
     k = F.col("pos")
-    probes = _cities(spark, sf_dir).select("name", F.when(k % 3 == 0, "https://x.granicus.com").otherwise("https://y.org").alias("final_url"), F.lit(None).cast("string").alias("html"), (k % 5 == 0).alias("reached"))
+    named = F.when(k % 7 == 0, F.concat(F.lit("<p>agendas at HTTPS://C"), k.cast("string"), F.lit(".Legistar.com/x and more")))
+    probes = _cities(spark, sf_dir).select("name", F.when(k % 3 == 0, "https://x.granicus.com").otherwise("https://y.org").alias("final_url"), named.alias("html"), (k % 5 == 0).alias("reached"))
     return R.detected(probes)
 
 

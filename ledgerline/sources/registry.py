@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import constants as C
 from ledgerline.functions.text import not_empty
-from ledgerline.functions.urls import base_url, calendar_root, platform
+from ledgerline.functions.urls import base_url, calendar_root, calendar_root_in, platform
 
 CITIES = "pos int, name string, homepage string, platform string, connector string, agenda_url string, body string, root_url string, category_id string, category_name string, status string, note string"
 
@@ -72,8 +72,12 @@ def seeded(spark: SparkSession, csv_path: str, verified: DataFrame) -> DataFrame
 
 
 def detected(probes: DataFrame) -> DataFrame:
-    """Platforms from landed probes (name, final_url, html), of subdomain probes (name, slug_url, reached) where those find none."""
-    return probes.select("name", F.coalesce(platform(F.col("final_url"), F.col("html")), F.when(F.col("reached"), F.lit("legistar"))).alias("platform"))
+    """Platform and calendar page from landed probes (name, final_url, html), of subdomain probes (name, slug_url, reached) where those find no platform.
+
+    The calendar page is that of the address reached, else of the first one that the page's text names.
+    """
+    found = F.coalesce(platform(F.col("final_url"), F.col("html")), F.when(F.col("reached"), F.lit("legistar")))
+    return probes.select("name", found.alias("platform"), F.coalesce(calendar_root(F.col("final_url")), calendar_root_in(F.col("html"))).alias("root_url"))
 
 
 def probe_status(probes: DataFrame) -> DataFrame:

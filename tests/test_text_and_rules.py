@@ -99,3 +99,23 @@ def test_judge_tier_and_context(spark):
     items = spark.createDataFrame([("t", 0, "1", [("A B", "mayor")]), ("t", 1, "", [("A B", "staff"), ("C D", "staff")])], "text_id string, pos int, item_number string, people array<struct<raw_name:string,role:string>>")
     row = style.context_of(items).first()
     assert row.known_item_numbers == ["1"] and [tuple(p) for p in row.people] == [("A B", "mayor"), ("C D", "staff")]
+
+
+def test_other_fixture_cases(spark):
+    from ledgerline.functions import urls as U
+    from ledgerline.operators import matching, scoring
+    from ledgerline.sources import html as H
+
+    found = spark.createDataFrame([(u,) for u in fixtures.URLS], "u string").select("u", U.platform(F.col("u"), F.lit(None).cast("string")).alias("p")).collect()
+    assert [r.p for r in found] == ["legistar", "granicus", "civicplus", "iqm2", None]
+    scores = scoring.rule_scores(spark.createDataFrame(fixtures.RULE_CASES, "expected array<string>, actual array<string>")).collect()
+    assert {(r.rule, r.tp, r.fp, r.fn) for r in scores} == set(fixtures.RULE_COUNTS)
+    amounts = spark.createDataFrame(fixtures.AMOUNTS, "a string, b string, want boolean").select(matching.amounts_equal(F.col("a"), F.col("b")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in amounts)
+    names = spark.createDataFrame(fixtures.NAMES, "name string, want string").select(matching.strip_title(F.col("name")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in names)
+    gold, pred = (spark.createDataFrame(rows, "case_id string, field_type string, idx int, value string") for rows in (fixtures.GOLD, fixtures.PREDICTED))
+    pairs = {(r.case_id, r.field_type, r.side, r.idx): r.other for r in matching.greedy_match(gold, pred).collect()}
+    assert pairs[("c1", "people", "gold", 0)] == 0 and pairs[("c1", "people", "gold", 1)] is None and pairs[("c2", "amounts", "gold", 0)] == 0 and pairs[("c2", "amounts", "pred", 1)] is None
+    best = H.resolved_category(spark.createDataFrame(fixtures.CATEGORIES, "wanted string, category string, category_id string, pos int"), F.col("wanted"), ("wanted",)).collect()
+    assert {(r.wanted, r.category_id) for r in best} == set(fixtures.CATEGORY_ANSWERS)
