@@ -8,6 +8,15 @@ one's docs. All but the last return the columns of `documents`.
 3. decontamination: documents that hold a copy of a benchmark item go.
 4. secrets: secrets in texts are masked and n_chars is counted anew; no row goes.
 5. tokens: the ids of every text, checked by decoding them.
+
+Cases, for every stage: an empty table gives an empty one with the same columns (quality without a trusted positive scores
+all alike, 0.5, and keeps all); columns beside doc_id, text and n_chars, whatever their names, are passed on as they are up to the last stage.
+Nulls and repeated rows:
+1. a null text is scored as an empty one; null ids are never learned from; repeated rows are decided each, alike.
+2. null and empty texts are in no class and stay; rows with a null id stay; of rows with one id all stay or none.
+3. null texts hold no copy and stay; null ids and repeated rows are decided each.
+4. null texts stay null, with the n_chars they had; null ids and repeated rows are masked each.
+5. a null text has no ids and decodes to the empty string; null ids and repeated rows are encoded each.
 """
 
 from __future__ import annotations
