@@ -8,7 +8,8 @@ text alone.
 The prior is estimated from positives and unlabelled texts alone (`class_prior`): above any score, unlabelled texts hold at
 least prior times the share of positives that score so, and nearly no more where only positives score so high. So a first
 network is fitted on one half of both, and on the other halves the ratio of the two shares is taken at the score where its
-upper bound is least. That is an upper estimate, so of several splits the least one counts.
+upper bound is least. The prior is the mean over several splits; the least of them was too low on small tables, and a
+prior that is too low rejects good documents.
 
 At most `SAMPLE` trusted positives and `SAMPLE` unlabelled texts fit the model, those with the least hashes of their
 ids (of an id with several rows one counts); every text is scored. With fewer than `FEWEST` of either the prior is 0.5;
@@ -144,7 +145,7 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, splits: int = SPLI
         slack = sum(np.sqrt(np.log(4 / chance) / (2 * len(s))) for s in (sp, su))
         best = int(((of_u + slack) / of_p).argmin())
         found.append(of_u[best] / of_p[best])
-    return float(min(0.98, max(0.02, min(found))))
+    return float(min(0.98, max(0.02, np.mean(found))))
 
 
 def fold_of(key: str) -> F.Column:
