@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,26 +90,31 @@ def greedy_match(gold: DataFrame, predicted: DataFrame, matchers: dict | None =
     """Every label and prediction with the index it is paired with (`other`, NULL where it has none).
 
     Both sides: case_id, field_type, idx, value (JSON). A case's facts of one field are one document's, so a group is small;
-    groups are dealt by case and field.
+    it is gathered to one row, and tasks take many such rows at a time.
     """
     import json
 
     matchers = matchers or MATCHERS
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        sides = {s: pdf[pdf["side"] == s] for s in ("gold", "pred")}
-        values = {s: [json.loads(v) for v in x["value"]] for s, x in sides.items()}
-        ids = {s: x["idx"].tolist() for s, x in sides.items()}
-        pairs = claims(values["gold"], values["pred"], matchers[key[1]])
-        by_gold, by_pred = dict(pairs), {p: g for g, p in pairs}
-        rows = [(*key, "gold", i, ids["pred"][by_gold[k]] if k in by_gold else None) for k, i in enumerate(ids["gold"])]
-        rows += [(*key, "pred", i, ids["gold"][by_pred[k]] if k in by_pred else None) for k, i in enumerate(ids["pred"])]
-        out = pd.DataFrame(rows, columns=["case_id", "field_type", "side", "idx", "other"])
-        return out.astype({"idx": "int32", "other": "Int32"})
-
-    both = gold.select("case_id", "field_type", F.lit("gold").alias("side"), "idx", "value").unionByName(predicted.select("case_id", "field_type", F.lit("pred").alias("side"), "idx", "value"))
-    return both.groupBy("case_id", "field_type").applyInPandas(run, PAIRED)
+    names = [f.split()[0] for f in PAIRED.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for case, field, gold, pred in zip(*(batch.column(c).to_pylist() for c in ("case_id", "field_type", "gold", "pred"))):
+                pairs = claims([json.loads(x["value"]) for x in gold], [json.loads(x["value"]) for x in pred], matchers[field])
+                by_gold, by_pred = dict(pairs), {p: g for g, p in pairs}
+                rows += [(case, field, "gold", x["idx"], pred[by_gold[k]]["idx"] if k in by_gold else None) for k, x in enumerate(gold)]
+                rows += [(case, field, "pred", x["idx"], gold[by_pred[k]]["idx"] if k in by_pred else None) for k, x in enumerate(pred)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names)
+
+    def of(side: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("idx", "value")))).alias(side)
+
+    case, idx = F.col("case_id").cast("string").alias("case_id"), F.col("idx").cast("int").alias("idx")
+    both = gold.select(case, "field_type", F.lit("gold").alias("side"), idx, "value").unionByName(predicted.select(case, "field_type", F.lit("pred").alias("side"), idx, "value"))
+    return both.groupBy("case_id", "field_type").agg(of("gold"), of("pred")).mapInArrow(run, PAIRED)
 
 
 def greedy_fold(matrix: Column) -> Column:

@@ -177,3 +177,11 @@ def test_evaluation(spark):
     assert card["fields"]["people"]["true_positives"] == 1 and card["fields"]["people"]["false_negatives"] == 1 and card["fields"]["people"]["false_positives"] == 0
     assert card["hallucination_rate"] == 0.5 and "people" in scoring.scorecard_text(card) and json.loads(scoring.scorecard_json(card))
     assert scoring.baseline_path("r", "a") != scoring.baseline_path("r", "b") and len(C.FIELD_TYPES) == 4
+
+
+def test_groups_of_matches_share_batches(spark):
+    many = spark.range(3000).selectExpr("CAST(id % 1000 AS string) AS case_id", "'amounts' AS field_type", "CAST(id AS int) AS idx", "to_json(struct(id AS amount_usd)) AS value")
+    matched = matching.greedy_match(many, many.where("idx % 3 = 0"))
+    assert "FlatMapGroups" not in matched._jdf.queryExecution().optimizedPlan().toString()
+    rows = matched.collect()
+    assert len(rows) == 4000 and all(r.other == (r.idx if r.idx % 3 == 0 else None) for r in rows)
