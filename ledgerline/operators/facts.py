@@ -52,7 +52,9 @@ def _valid(field: str) -> Callable[[Column], Column]:
 def parsed(raw: DataFrame, json_col: str = "payload") -> DataFrame:
     """The payload as `item`, and whether it is valid (`schema_valid`): it parses, required members are there, closed sets hold."""
     with_bad = S.StructType([*ITEM.fields, S.StructField("_corrupt_record", _STR)])
-    df = raw.withColumn("item", F.from_json(json_col, with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    item = F.from_json(json_col, with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    # exploded from an array of one, so that the payload is parsed once: filters would take a plain column's expression along, once for each member
+    df = raw.select(*[c for c in raw.columns if c != "item"], F.explode(F.array(item)).alias("item"))
     ok: Column = F.col("item").isNotNull() & F.col("item._corrupt_record").isNull() & F.col("item.title").isNotNull() & F.coalesce(F.col("item.item_type").isin(C.ITEM_TYPES), F.lit(False))
     for field in C.FIELD_TYPES:
         ok = ok & F.coalesce(F.forall(F.col(f"item.{field}"), _valid(field)), F.lit(True))
@@ -62,11 +64,11 @@ def parsed(raw: DataFrame, json_col: str = "payload") -> DataFrame:
 def exploded(items: DataFrame) -> DataFrame:
     """One row per fact: case_id, field_type, idx (place in its list), value (JSON), confidence, source_text, source_document."""
 
-    def of(field: str) -> DataFrame:
-        rows = items.select("case_id", F.posexplode(F.col(f"item.{field}")).alias("idx", "x"))
-        return rows.select("case_id", F.lit(field).alias("field_type"), "idx", F.to_json("x.value").alias("value"), "x.confidence", "x.provenance.source_text", "x.provenance.source_document")
+    def of(field: str) -> Column:
+        fact = lambda x, i: F.struct(F.lit(field).alias("field_type"), i.alias("idx"), F.to_json(x["value"]).alias("value"), x["confidence"].alias("confidence"), x["provenance"]["source_text"].alias("source_text"), x["provenance"]["source_document"].alias("source_document"))
+        return F.coalesce(F.transform(f"item.{field}", fact), F.array())
 
-    return reduce(DataFrame.unionByName, map(of, C.FIELD_TYPES))
+    return items.select("case_id", F.inline(F.concat(*map(of, C.FIELD_TYPES))))
 
 
 def with_verification(facts: DataFrame, documents: DataFrame) -> DataFrame:

@@ -179,6 +179,13 @@ def test_evaluation(spark):
     assert scoring.baseline_path("r", "a") != scoring.baseline_path("r", "b") and len(C.FIELD_TYPES) == 4
 
 
+def test_a_payload_is_parsed_once(spark):
+    items = parsed(spark, item(people=[(MAHAN, 0.97, "Mayor Mahan"), (MAHAN, 0.5, "nobody")], amounts=[({"raw_text": "$1", "kind": "contract"}, 0.8, "$1")]))
+    found = X.exploded(items.where("schema_valid"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert sorted((r.field_type, r.idx, r.confidence) for r in found.collect()) == [("amounts", 0, 0.8), ("people", 0, 0.97), ("people", 1, 0.5)]
+
+
 def test_groups_of_matches_share_batches(spark):
     many = spark.range(3000).selectExpr("CAST(id % 1000 AS string) AS case_id", "'amounts' AS field_type", "CAST(id AS int) AS idx", "to_json(struct(id AS amount_usd)) AS value")
     matched = matching.greedy_match(many, many.where("idx % 3 = 0"))
