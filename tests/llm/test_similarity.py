@@ -450,3 +450,15 @@ def test_one_template_for_a_place():
 
     began = time.time()
     assert len(index.best("All rights reserved. " * 20_000)) == 20_000 and time.time() - began < 10
+
+
+def test_classes_with_every_join_by_a_shuffle(spark, monkeypatch):
+    """More clusters than are broadcast: their texts are fetched, and all else joined, by shuffles."""
+    monkeypatch.setattr(jt, "FEW", 0)
+    rng = random.Random(8)
+    base = cases.prose(2, 120).split()
+    rows = [(i, edited(base, rng, rng.randrange(0, 4))) for i in range(12)] + [(20, "few words"), (21, None), (None, " ".join(base)), (22, cases.prose(3, 90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (jt.CELL_BYTES, 8_000):
+        got = [tuple(r) for r in jt.jaccard_classes(docs, size).collect()]
+        assert sorted(got, key=str) == sorted(plain_classes(rows), key=str)
