@@ -63,6 +63,14 @@ def evaluate(gold: DataFrame, raw: DataFrame, filtered: DataFrame, documents: Da
     return matched, points
 
 
+def point_rates(points: DataFrame) -> DataFrame:
+    """hallucination_rate and mean_confidence, in one pass over the points."""
+    return points.agg(
+        F.coalesce(F.avg(F.when(F.col("verified"), 0.0).otherwise(1.0)), F.lit(0.0)).alias("hallucination_rate"),
+        F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean_confidence"),
+    )
+
+
 def hallucination_rate(points: DataFrame) -> DataFrame:
     return points.agg(F.coalesce(F.avg(F.when(F.col("verified"), 0.0).otherwise(1.0)), F.lit(0.0)).alias("hallucination_rate"))
 

@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import constants as C
 from ledgerline.operators import digest, health, matching, review, scoring
 from ledgerline.operators import facts as X
-from ledgerline.plans import pipeline
+from ledgerline.plans import operator_queries, pipeline
 
 DOC = "Mayor Mahan moved. The plan passed (11-0). It costs $1,000,000."
 
@@ -192,3 +193,11 @@ def test_groups_of_matches_share_batches(spark):
     assert "FlatMapGroups" not in matched._jdf.queryExecution().optimizedPlan().toString()
     rows = matched.collect()
     assert len(rows) == 4000 and all(r.other == (r.idx if r.idx % 3 == 0 else None) for r in rows)
+
+
+def test_rates_of_points_take_one_pass(spark):
+    points = spark.createDataFrame([(True, 0.5), (False, 1.0)], "verified boolean, confidence double")
+    assert scoring.point_rates(points).collect() == [(0.5, 0.75)] and scoring.point_rates(points.limit(0)).collect() == [(0.0, 0.0)]
+    if os.path.isdir("/root/testdata/sf0.001"):
+        rates = operator_queries.raw_rates(spark, "/root/testdata/sf0.001")
+        assert rates._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 2
