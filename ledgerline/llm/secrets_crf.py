@@ -5,10 +5,12 @@ from the token's shape, the string that it stands in, its neighbouring tokens an
 join neighbouring tags, and it is decoded by Viterbi. A secret may be of many tokens: keys with dashes, dots or slashes,
 or the words of a passphrase.
 
-Only tokens that may be part of a secret (`candidates`: in a string of eight characters or more of a key's alphabet with a
-letter and a digit, or straight after an assignment to a keyword, or in the line after a passphrase is announced) may be B or I. All other
-tokens are O for certain, so the best path over a whole text is made of the best paths over its runs of neighbouring
-candidates, with the steps from O into a run and from it to O; just these are decoded, and no text is cut.
+Every token of the whole text is put to the field. Those of `candidates` (strings of eight characters or more of a key's
+alphabet with a letter and a digit, or straight after an assignment to a keyword, or the line after a passphrase is announced)
+have rich features; all others (`plain`) have a few codes of themselves, their string and their neighbours, whose potentials
+are looked up in small tables, all tokens of a text at once. A token that no stretch of B and I with a chance against O
+everywhere can hold (`open_tokens`, a bound by the field's own weights) is O on the best path; the path is
+decoded over the runs of the others, with the steps from O and to it, so it is the best of the whole text, and no text is cut.
 
 The field is trained here, by gradient ascent on the exact conditional likelihood of sentences that `examples` invents
 from a fixed seed. Its weights are a few thousand numbers and travel with the task.
@@ -150,14 +152,17 @@ class Field:
         return tuple(np.array(found, np.int64).reshape(-1, 2).T)
 
     def potentials(self, feats: Iterable[list[str]]) -> np.ndarray:
-        """Potentials of the tags; the names of a part of the tokens are held at a time."""
+        return self._bordered(self.states(feats))
+
+    def states(self, feats: Iterable[list[str]]) -> np.ndarray:
+        """Potentials of the tags without steps; the names of a part of the tokens are held at a time."""
         feats, parts = iter(feats), []
         while part := list(islice(feats, _PART)):
             out = np.zeros((len(part), 3))
             numbers, tokens = self.known(part)
             np.add.at(out, tokens, self.state[numbers])
             parts.append(out)
-        return self._bordered(np.concatenate(parts))
+        return np.concatenate(parts)
 
     def _summed(self, numbers: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, 3))
@@ -178,7 +183,10 @@ class Field:
         return step
 
     def viterbi(self, feats: Iterable[list[str]]) -> list[int]:
-        p, step = self.potentials(feats), self.steps()
+        return self.best_path(self.potentials(feats))
+
+    def best_path(self, p: np.ndarray) -> list[int]:
+        step = self.steps()
         best, back = p[0], []
         for row in p[1:]:
             paths = best[:, None] + step
@@ -199,9 +207,7 @@ class Field:
         for t in range(n - 2, -1, -1):
             b[t] = np.logaddexp.reduce(step + (p[t + 1] + b[t + 1])[None, :], axis=1)
         z = np.logaddexp.reduce(a[-1])
-        pairs = np.zeros((3, 3))
-        for t in range(1, n):
-            pairs += np.exp(a[t - 1][:, None] + step + (p[t] + b[t])[None, :] - z)
+        pairs = np.exp(a[:-1, :, None] + step + (p + b)[1:, None, :] - z).sum(0)
         return np.exp(a + b - z), pairs
 
 
@@ -277,6 +283,55 @@ def look_alikes(count: int = 400, seed: int = 12) -> list[tuple[str, list[tuple[
     return out
 
 
+def short_values(count: int = 500, seed: int = 13) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Invented texts with short values, with and without marks inside, after words that announce them; half hold none."""
+    rng = random.Random(seed)
+    prose = lambda low, high: " ".join(rng.choice(_PROSE) for _ in range(rng.randrange(low, high)))
+    announced = ["password is ", "password: ", "Password = ", "passwd ", "pwd: ", "the password was ", "secret: \"", "token is ", "pwd=", "password '", "credentials: "]
+    out = []
+    for i in range(count):
+        text, spans = prose(0, 12) + " ", []
+        if i % 2:
+            word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 6)))
+            word = rng.choice([word, word.capitalize(), word.upper()])
+            digits = "".join(rng.choice("0123456789") for _ in range(rng.randrange(1, 4)))
+            marks = "!@#$%&*?"
+            secret = rng.choice([f"{word}{rng.choice(marks)}{digits}", f"{word}{digits}{rng.choice(marks)}{rng.choice('xyzKQ')}", f"{digits}{rng.choice(marks)}{word}", f"{word}{digits}", f"{word[0]}{digits}{word[1:].upper()}{rng.choice(marks)}{digits}"])
+            text += rng.choice(announced)
+            spans.append((len(text), len(text) + len(secret)))
+            text += secret + rng.choice(["\" ", " ", "\n", "' ", ", ", ". "]) + prose(1, 6)
+        else:
+            text += rng.choice([*announced, *("" for _ in announced)]) + rng.choice([
+                "required.", "changed last week, by the clerk.", f"due in {rng.randrange(2, 90)} days.", f"{rng.randrange(1, 999)} items", "set, then sent.", f"Room {rng.randrange(1, 60)}B", f"$1,{rng.randrange(100, 999)}.50", f"(see p. {rng.randrange(1, 99)})", f"no. {rng.randrange(1, 99)}!", f"at {rng.randrange(1, 12)}:{rng.randrange(10, 60)} pm",
+                f"50% of {rng.randrange(2, 9)}", f"user@example{rng.randrange(1, 9)}.org", f"C#{rng.randrange(1, 9)} & F#", f"**note{rng.randrange(1, 9)}**", "kept secret; the token gesture", f"covid{rng.randrange(10, 20)}?",
+            ]) + " " + prose(1, 6)
+        out.append((text, spans))
+    return out
+
+
+def plain_texts(count: int = 400, seed: int = 14) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Invented texts without secrets in many manners: shouted, accented, with runs of marks, lists, prices, markup and code."""
+    rng = random.Random(seed)
+    n = lambda k: str(rng.randrange(10 ** rng.randrange(1, k + 1)))
+    word = lambda: "".join(rng.choice("etaoinshrdlu" if rng.random() < 0.9 else "éäüñößàcmpgbwyvk") for _ in range(rng.randrange(1, 12)))
+    odd = [
+        lambda: n(4), lambda: f"{n(3)}.{n(2)}", lambda: f"${n(3)},{n(3)}", lambda: f"{n(2)}%", lambda: f"#{n(3)}", lambda: f"({word()})", lambda: f"[{n(2)}]", lambda: f"{word()}'s", lambda: f"{word()}-{word()}", lambda: f"{word()}{n(2)}", lambda: f"{n(2)}{rng.choice(['th', 'st', 'km', 'B', 'x', 'GB'])}",
+        lambda: f"{word()}@{word()}.com", lambda: f"<{word()} {word()}=\"{word()}{n(1)}\">", lambda: f"</{word()}>", lambda: f"{word()}({word()}{n(1)},", lambda: f"{word()}_{word()} = {n(3)};", lambda: "{", lambda: "};", lambda: f"{n(2)}:{n(2)}", lambda: f"a{n(1)}-", lambda: f"*{word()}*", lambda: f"**{word().upper()}**", lambda: f"&{word()};", lambda: f"{word()}/{word()}", lambda: f"+{n(3)} {n(3)}-{n(4)}",
+        lambda: rng.choice(["token", "secret", "key", "password", "access key", "phrase", "Password", "SECRET"]),
+    ]
+    out = []
+    for _ in range(count):
+        manner = rng.choice([str, str, str.capitalize, str.upper])
+        marks = rng.choice(["!!", "$$$", "###", "&&&", "%%%", "***", "@@@", "...", "?!", ""])
+        often, oddly = rng.choice([0, 0.1, 0.6, 1]), rng.choice([0, 0.1, 0.5])
+        words = []
+        for _ in range(rng.randrange(4, 40)):
+            one = rng.choice(odd)() if rng.random() < oddly else manner(word())
+            words.append(one + rng.choice(["", "", "", ",", "."]) + (marks if rng.random() < often else ""))
+        out.append((" ".join(words), []))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Places of the strings whose tokens may be part of a secret, disjoint and in order."""
     out = []
@@ -343,6 +398,102 @@ def run_features(text: str, run: Run, file: tuple[str, ...]) -> Iterator[list[st
         yield [*feats, *file]
 
 
+_KEY_WORD = re.compile("(?<![A-Za-z0-9])(?:" + "|".join(sorted((w for w in _WORDS["key"] if w.isalnum()), key=len, reverse=True)) + ")(?![A-Za-z0-9])", re.IGNORECASE | re.ASCII)
+_SPACE, _LOW, _UP, _NUM, _MARK = range(5)
+_CHARS = np.full(0x3002, _MARK, np.int8)  # all beyond are marks
+_CHARS[[c for c in range(0x3002) if chr(c).isspace()]] = _SPACE
+_CHARS[ord("a") : ord("z") + 1], _CHARS[ord("A") : ord("Z") + 1], _CHARS[ord("0") : ord("9") + 1] = _LOW, _UP, _NUM
+_MARKS = ":=\"'.,;!?-_/@#$%&*+()"
+_MARK_CODE = np.full(128, len(_MARKS), np.int64)
+_MARK_CODE[[ord(c) for c in _MARKS]] = np.arange(len(_MARKS))
+#: Families of a plain token's codes and how many codes each has. "near": whether a key word is among the six tokens before its string.
+_OWN, _WHOLE, _CLASS = 64 + len(_MARKS) + 1, 128, len(_MARKS) + 6
+FAMILIES = {"own": _OWN, "near-own": 2 * _OWN, "string": _WHOLE, "near-string": 2 * _WHOLE, "b1": _CLASS, "b2": _CLASS, "near-b1": 2 * _CLASS, "a1": _CLASS, "place": 4, "near": 2}
+
+
+def plain(text: str) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Starts and ends of all tokens of a text, and their codes in each family."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _CHARS[np.minimum(points, 0x3001)]
+    word = (kind > _SPACE) & (kind < _MARK)
+    before = np.append(False, word[:-1])
+    first = np.flatnonzero((word & ~before) | (kind == _MARK))
+    last = np.flatnonzero((word & ~np.append(word[1:], False)) | (kind == _MARK)) + 1
+    if not len(first):
+        return first, last, {}
+    solid = np.append(False, kind > _SPACE)
+    opens = np.flatnonzero(solid[1:] & ~solid[:-1])  # strings between whitespace
+    string = np.searchsorted(opens, first, "right") - 1
+    head = np.searchsorted(first, opens)  # the first token of each string
+    size = np.diff(np.append(head, len(first)))
+    counts = [np.append(0, np.cumsum(kind == k)) for k in (_LOW, _UP, _NUM, _MARK)]
+    has = lambda a, b: sum(((c[b] > c[a]).astype(np.int64) << i for i, c in enumerate(counts)), np.zeros(len(a), np.int64))
+    mark = kind[first] == _MARK
+    code = _MARK_CODE[np.minimum(points[first], 127)]
+    code[points[first] > 127] = len(_MARKS)
+    length = last - first
+    own = np.where(mark, 64 + code, (has(first, last) & 7) * 8 + np.minimum(7, length // 2))
+    ends = last[head + size - 1]
+    whole = (has(opens, ends) * 8 + np.minimum(7, (ends - opens) // 2))[string]
+    key = np.zeros(len(first), np.int64)
+    found = [m.start() for m in _KEY_WORD.finditer(text)]
+    if found:
+        key[np.searchsorted(first, found)] = 1
+    class_ = np.where(mark, code, len(_MARKS) + 1 + np.where(key > 0, 0, np.where(has(first, last) & 4, 1, 2)))
+    none, sums = len(_MARKS) + 4, np.append(0, np.cumsum(key))
+    near = (sums[head] > sums[np.maximum(0, head - 6)]).astype(np.int64)[string]
+    back = lambda d: np.concatenate([np.full(min(d, len(class_)), none), class_[: max(0, len(class_) - d)]])
+    at = np.arange(len(first))
+    place = (at == head[string]) * 2 + (at == (head + size - 1)[string])
+    b1 = back(1)
+    return first, last, {
+        "own": own, "near-own": near * _OWN + own, "string": whole, "near-string": near * _WHOLE + whole, "b1": b1, "b2": back(2), "near-b1": near * _CLASS + b1,
+        "a1": np.append(class_[1:], none), "place": place, "near": near,
+    }
+
+
+def token_features(text: str) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    """Starts, ends and the names of the features of all tokens of a text, candidates and others."""
+    first, last, codes = plain(text)
+    feats = [[f"plain-{family}{c}" for family, c in zip(codes, row)] for row in zip(*(x.tolist() for x in codes.values()))]
+    file = file_features(text)
+    for run in runs(text, candidates(text)):
+        for (a, *_), names in zip(run, run_features(text, run, file)):
+            feats[int(np.searchsorted(first, a))] = names
+    return first, last, feats
+
+
+@lru_cache(maxsize=4)
+def plain_tables(field: Field) -> dict[str, np.ndarray]:
+    """Potentials by code, for each family."""
+    none = np.zeros(3)
+    return {family: np.array([field.state[n] if (n := field.number.get(f"plain-{family}{c}")) is not None else none for c in range(many)]) for family, many in FAMILIES.items()}
+
+
+def text_states(text: str, field: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and potentials of all tokens of a text: those of `token_features`, by tables where a token is no candidate."""
+    first, last, codes = plain(text)
+    p = np.zeros((len(first), 3))
+    for family, table in plain_tables(field).items():
+        if codes:
+            p += table[codes[family]]
+    places = candidates(text)
+    if places:
+        file = file_features(text)
+        for run in runs(text, places):
+            p[np.searchsorted(first, [a for a, *_ in run])] = field.states(run_features(text, run, file))
+    return first, last, p
+
+
+def open_tokens(p: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Which tokens may be other than O on the best path: some stretch with them, at its bound, is not worse than O throughout."""
+    gain = np.maximum(p[:, B], p[:, I]) - p[:, O] + step[B:, B:].max() - step[O, O]
+    sums = np.append(0, np.cumsum(gain))
+    best = np.maximum.accumulate(sums[:0:-1])[::-1] - np.minimum.accumulate(sums[:-1])
+    ends = step[O, B] + step[B:, O].max() - step[B:, B:].max() - step[O, O]
+    return best + ends > -1e-6
+
+
 def _kept(shape, string: str) -> tuple[str, ...]:
     """A shape from memory; those of long strings are not kept in it."""
     return shape(string) if len(string) <= _KEPT_CHARS else shape.__wrapped__(string)
@@ -356,15 +507,10 @@ _STOP = {"the", "a", "an", "is", "are", "was", "be", "to", "of", "by", "in", "on
 def trained(rounds: int = 5) -> Field:
     """The field after `rounds` passes of adaptive gradient steps over the invented texts."""
     data = []
-    for text, spans in (*examples(), *look_alikes()):
-        file = file_features(text)
-        for run in runs(text, candidates(text)):
-            tags = [O] * len(run)
-            for i, (a, b, _, _) in enumerate(run):
-                for s, e in spans:
-                    if a < e and s < b:
-                        tags[i] = B if a <= s else I
-            data.append((list(run_features(text, run, file)), tags))
+    for text, spans in (*examples(), *look_alikes(), *short_values(), *plain_texts()):
+        first, last, feats = token_features(text)
+        tags = [next((B if a <= s else I for s, e in spans if a < e and s < b), O) for a, b in zip(first.tolist(), last.tolist())]
+        data.append((feats, tags))
     field = Field()
     for feats, _ in data:
         for names in feats:
@@ -402,23 +548,22 @@ def trained(rounds: int = 5) -> Field:
 def secret_spans(text: str, field: Field) -> list[tuple[int, int, str, int]]:
     """All spans by start, then kind as in KINDS: the patterns' and the field's that overlap none of them."""
     found = base_spans(text)
-    places = candidates(text)
-    if places:
-        file = file_features(text)
+    first, last, p = text_states(text, field)
+    open_ = np.flatnonzero(open_tokens(p, field.steps())) if len(p) else first
+    extra: list[tuple[int, int]] = []
+    for part in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else ():
+        open_span = None
+        for a, b, tag in zip(first[part].tolist(), last[part].tolist(), field.best_path(field._bordered(p[part]))):
+            if tag == I and open_span:
+                open_span = (open_span[0], b)
+            else:
+                if open_span:
+                    extra.append(open_span)
+                open_span = (a, b) if tag == B else None
+        if open_span:
+            extra.append(open_span)
+    if extra:
         taken = sorted((a, b) for a, b, _, _ in found)
-        extra: list[tuple[int, int]] = []
-        for run in runs(text, places):
-            tags = field.viterbi(run_features(text, run, file))
-            open_span = None
-            for (a, b, _, _), tag in zip(run, tags):
-                if tag == I and open_span:
-                    open_span = (open_span[0], b)
-                else:
-                    if open_span:
-                        extra.append(open_span)
-                    open_span = (a, b) if tag == B else None
-            if open_span:
-                extra.append(open_span)
         merged: list[list[int]] = []
         for s, e in taken:
             if merged and s < merged[-1][1]:

@@ -135,3 +135,34 @@ def test_tables(spark):
     assert text == 'password = "[SECRET]" and [SECRET] and [SECRET]' and masked.where("doc_id = 12").first().n_chars == len(text)
     assert masked.where("doc_id = 6").first().text == cases.TEXTS[6] and masked.where("doc_id = 1").first().text is None
     assert sc.find_secrets(cases.empty(spark)).count() == 0 and sc.mask_secrets(cases.empty(spark)).count() == 0
+
+
+def test_every_token_is_put_to_the_field():
+    field = sc.trained()
+    for text, secret in (("the password is Tr0b!42 now", "Tr0b!42"), ("pwd: x7#Kp9 and the rest", "x7#Kp9")):
+        assert sc.candidates(text) == [] and [text[a:b] for a, b, *_ in sc.secret_spans(text, field)] == [secret]
+    assert sc.secret_spans("the password was changed by the clerk", field) == []
+    held_out = sc.short_values(300, seed=99)
+    whole = sum(any(g[3] <= s + 1 and e - 1 <= g[1] for g in sc.secret_spans(text, field)) for text, spans in held_out for s, e in spans)
+    assert whole >= 0.9 * sum(len(spans) for _, spans in held_out) and sum(bool(sc.secret_spans(text, field)) for text, spans in held_out if not spans) <= 7
+    assert sum(bool(sc.secret_spans(text, field)) for text, _ in sc.plain_texts(300, seed=77)) <= 7
+
+
+def test_potentials_and_the_path_of_a_whole_text():
+    field = sc.trained()
+    texts = [t for t in TEXTS if t][:12] + LOOK_ALIKES[:6] + [t for t, _ in (*sc.examples(60, seed=3), *sc.short_values(60, seed=3))] + ["é\U0001f600 pass word: q1!　z \x1c-", "\ud800 pwd=a#1 "]
+    some = 0
+    for text in texts:
+        first, last, p = sc.text_states(text, field)
+        assert list(zip(first.tolist(), last.tolist())) == [m.span() for m in sc._TOKEN.finditer(text)]
+        if not len(p):
+            continue
+        assert np.allclose(p, field.states(sc.token_features(text)[2]), atol=1e-9)
+        whole = field.best_path(field._bordered(p.copy()))  # all tokens, none left out
+        tags, open_ = [sc.O] * len(p), np.flatnonzero(sc.open_tokens(p, field.steps()))
+        for part in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else ():
+            for i, tag in zip(part, field.best_path(field._bordered(p[part]))):
+                tags[i] = tag
+        assert tags == whole
+        some += any(whole) and len(open_) < len(p)
+    assert some > 20
