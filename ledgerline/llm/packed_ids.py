@@ -177,10 +177,11 @@ class PieceEncoder:
 
     Byte-level pre-tokenization starts a new match at every space that follows a non-space, before and after a lone line
     feed between non-spaces, and where a letter or digit is followed by one full stop or comma and then a space or line
-    feed. So the pieces between such places encode alone as they do inside the text. New pieces that start with a space
-    go to the library as one text: only the first id of such a piece starts with a space. Texts with other whitespace or
-    with a special token of the tokenizer's are given to the library whole. The ids of the pieces seen last, twice
-    `keep` at most, are remembered.
+    feed. So the pieces between such places encode alone as they do inside the text. A new piece of a space and letters is
+    one match by the library's own pre-tokenizer (`spelled`), so its model alone encodes it. Other new pieces that start
+    with a space go to the library as one text: only the first id of such a piece starts with a space. Texts with other
+    whitespace or with a special token of the tokenizer's are given to the library whole. The ids of the pieces seen last,
+    twice `keep` at most, are remembered.
     """
 
     def __init__(self, path: str, keep: int = 250_000) -> None:
@@ -192,24 +193,40 @@ class PieceEncoder:
         space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0] if self.tokenizer.pre_tokenizer else " "
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
+        self.spelled = self._spelled()
+        self.letters = re.compile(" [" + "".join(map(chr, self.spelled.keys() - {32})) + "]+") if self.spelled else re.compile(r"(?!)")
         self.keep = keep
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
+    def _spelled(self) -> dict[int, str]:
+        """The model's spelling of a space and of each letter below U+0250 that stays in one match with the letters around it."""
+        split = self.tokenizer.pre_tokenizer
+        if split is None or self.tokenizer.normalizer is not None:
+            return {}
+        out = {}
+        for c in filter(str.isalpha, map(chr, range(0x250))):
+            found = [x for x, _ in split.pre_tokenize_str(f" a{c}Z{c}{c}")]
+            if len(found) == 1 and found[0][1] == "a" and [x for x, _ in split.pre_tokenize_str(f" {c}")] == [found[0][0] + (own := found[0][2 : found[0].index("Z", 2)] or c)]:
+                out[ord(c)], out[32] = own, found[0][0]
+        return out
+
     def _library(self, texts: list[str]) -> list[bytes]:
         code = self.kind[1:] == "u2" and "H" or "I"  # little-endian machines, as Spark's executors are
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _new_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         spaced = [p for p in pieces if p[0] == " " and len(p) > 1]
-        out = {}
+        code, tokenize = self.kind[1:] == "u2" and "H" or "I", self.tokenizer.model.tokenize
+        out = {p: array(code, [t.id for t in tokenize(p.translate(self.spelled))]).tobytes() for p in filter(self.letters.fullmatch, spaced)}
+        spaced = [p for p in spaced if p not in out]
         if len(spaced) > 1:
             ids = np.frombuffer(self._library(["".join(spaced)])[0], self.kind)
             first = np.flatnonzero(self.opens[ids])
             if len(first) == len(spaced):
                 ends = np.append(first[1:], len(ids)) * ids.itemsize
                 data = ids.tobytes()
-                out = {p: data[a:b] for p, a, b in zip(spaced, (first * ids.itemsize).tolist(), ends.tolist())}
+                out |= {p: data[a:b] for p, a, b in zip(spaced, (first * ids.itemsize).tolist(), ends.tolist())}
         rest = [p for p in pieces if p not in out]
         return out | dict(zip(rest, self._library(rest)))
 

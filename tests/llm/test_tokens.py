@@ -107,3 +107,15 @@ def test_very_long_runs_are_encoded():
         ids = bpe_codec.encode_text(text, codec)
         assert codec.decode_bytes(ids.tolist()) == text.encode()
     assert max(map(len, bpe_codec.pieces("日本語、" * 300_000))) < bpe_codec.LONG + 10
+
+
+def test_pieces_of_letters_need_no_library_call():
+    coder = packed_ids.PieceEncoder(P.path("byte_bpe_50k.json"))
+    asked, library = [], coder._library
+    coder._library = lambda texts: asked.extend(texts) or library(texts)
+    text = "x" + "".join(f" {w}" for w in ("the Straße équipe naïve zebra Łódź ǅ ıIİ don't a1 œuvre日本 " + "ªº ǃ ʰ ɐ é é ZZ").split())
+    assert coder.ids(text).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert " équipe" not in "".join(asked) and " don't" in "".join(asked)
+    for c in filter(str.isalpha, map(chr, range(0x400))):
+        text = f"so {c} {c}{c}a b{c}B {c}1 it{c}"
+        assert coder.ids(text).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids, c
