@@ -61,19 +61,22 @@ def parsed(raw: DataFrame, json_col: str = "payload") -> DataFrame:
     return df.withColumn("schema_valid", F.coalesce(ok, F.lit(False)))
 
 
-def exploded(items: DataFrame) -> DataFrame:
-    """One row per fact: case_id, field_type, idx (place in its list), value (JSON), confidence, source_text, source_document."""
+def exploded(items: DataFrame, *keep: str) -> DataFrame:
+    """One row per fact: case_id, field_type, idx (place in its list), value (JSON), confidence, source_text, source_document.
+
+    keep: further columns of the item that its facts carry along.
+    """
 
     def of(field: str) -> Column:
         fact = lambda x, i: F.struct(F.lit(field).alias("field_type"), i.alias("idx"), F.to_json(x["value"]).alias("value"), x["confidence"].alias("confidence"), x["provenance"]["source_text"].alias("source_text"), x["provenance"]["source_document"].alias("source_document"))
         return F.coalesce(F.transform(f"item.{field}", fact), F.array())
 
-    return items.select("case_id", F.inline(F.concat(*map(of, C.FIELD_TYPES))))
+    return items.select("case_id", *keep, F.inline(F.concat(*map(of, C.FIELD_TYPES))))
 
 
-def with_verification(facts: DataFrame, documents: DataFrame) -> DataFrame:
-    """facts with `verified`: their span stands verbatim in their case's document. documents: case_id, document_text."""
-    joined = facts.join(documents.select("case_id", "document_text"), "case_id", "left")
+def with_verification(facts: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """facts with `verified`: their span stands verbatim in their case's document. documents: case_id, document_text; none where facts carry document_text."""
+    joined = facts if documents is None else facts.join(documents.select("case_id", "document_text"), "case_id", "left")
     return joined.withColumn("verified", T.verified(F.col("source_text"), F.col("document_text"))).drop("document_text")
 
 

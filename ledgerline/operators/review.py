@@ -9,9 +9,10 @@ from ledgerline.functions import constants as C
 from ledgerline.operators.facts import VALUES
 
 
-def queue_items(routed: DataFrame, context: DataFrame) -> DataFrame:
-    """Queued facts as pending review items. context: case_id and the meeting's columns and document_text."""
-    queued = routed.where("route = 'queued'").join(context, "case_id")
+def queue_items(routed: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """Queued facts as pending review items. context: case_id and the meeting's columns and document_text; none where facts carry these."""
+    queued = routed.where("route = 'queued'")
+    queued = queued if context is None else queued.join(context, "case_id")
     return queued.withColumns({"status": F.lit("pending"), "resolved_value": F.lit(None).cast("string"), "reviewer_notes": F.lit(None).cast("string")})
 
 

@@ -201,3 +201,14 @@ def test_rates_of_points_take_one_pass(spark):
     if os.path.isdir("/root/testdata/sf0.001"):
         rates = operator_queries.raw_rates(spark, "/root/testdata/sf0.001")
         assert rates._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 2
+
+
+def test_queue_and_verification_parse_payloads_once(spark, tmp_path):
+    rows = [(k, 7, 1000.5, "1-URGENT") for k in (4, 4, 5, 6, 10)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    of = lambda name: getattr(operator_queries, name)(spark, str(tmp_path))
+    for name, joins in {"verified_facts": 0, "queue_rows": 0, "decided_items": 1, "session_counts": 1, "reviewed_cases": 1, "rejected_items": 1}.items():
+        plan = of(name)._jdf.queryExecution().optimizedPlan().toString()
+        assert (name, plan.count("from_json(StructField(item_number"), plan.count("Join ")) == (name, 1, joins)
+    assert of("verified_facts").count() == 10  # an order that stands twice has its facts twice, not four times
+    assert sorted(r.queue_id for r in of("rejected_items").collect()) == ["o10-amounts-0", "o6-amounts-0"]
