@@ -79,17 +79,26 @@ def encode_text(text: str, codec: tiktoken.Encoding) -> np.ndarray:
     return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.empty(0, "<u4")
 
 
+def _encoded(batch: pa.RecordBatch, codec: tiktoken.Encoding) -> pa.RecordBatch:
+    ids = [encode_text(text, codec) for text in batch.column("text").to_pylist()]
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
+        ["doc_id", "n_tokens", "ids"],
+    )
+
+
+def _decoded(batch: pa.RecordBatch, codec: tiktoken.Encoding) -> pa.RecordBatch:
+    data = [codec.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in batch.column("ids").to_pylist()]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "ids")), pa.array(data, pa.binary())], ["doc_id", "n_tokens", "ids", "bytes"])
+
+
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoding(rank_path, pattern)
         for batch in slices(batches):
-            ids = [encode_text(text, codec) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                ["doc_id", "n_tokens", "ids"],
-            )
+            yield _encoded(batch, codec)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, ENCODED)
 
@@ -100,12 +109,22 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoding(rank_path, pattern)
         for batch in slices(batches):
-            data = [codec.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "ids")), pa.array(data, pa.binary())], ["doc_id", "n_tokens", "ids", "bytes"])
+            yield _decoded(batch, codec)
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, DECODED)
 
 
+def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What `decode` gives of what `encode` gives. Both run in one Python worker of a task; a pass for each would keep two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = encoding(rank_path, pattern)
+        for batch in slices(batches):
+            yield _decoded(_encoded(batch, codec), codec)
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, DECODED)
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -5,10 +5,12 @@ import re
 import numpy as np
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 from tiktoken.load import load_tiktoken_bpe
 
 import cases
 import corpus_pipeline as cp
+from ledgerline.llm import bpe_codec
 from ledgerline.llm import decontaminate as dc
 from ledgerline.llm import quality_pu as qp
 from ledgerline.llm.align import local_alignment, plain_words
@@ -111,3 +113,13 @@ def test_awkward_tables(spark, tmp_path):
         assert made.count() > 0 and none.count() == 0, name
     ids = sorted(r.doc_id for r in dict(cp.STAGES)["near_duplicates"](spark, docs, "").collect() if r.doc_id is not None)
     assert ids == [1, 2, 3, 4, 5, 6, 6, 9, 10, 11, 12, 13]
+
+
+def test_tokens_keep_one_worker_a_task(spark):
+    """Encoding and decoding in a pass each kept two Python workers in every task slot."""
+    docs = cases.documents(spark)
+    made = dict(cp.STAGES)["tokens"](spark, docs, "")
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    plain = bpe_codec.decode(bpe_codec.encode(docs, path, P.PATTERN), path, P.PATTERN)
+    assert made.exceptAll(plain.select("doc_id", "n_tokens", "ids", F.sha2("bytes", 256).alias("decoded_sha256"))).isEmpty() and made.count() == docs.count()
