@@ -35,14 +35,19 @@ def rendered_item(number: Column) -> Column:
 def rendered_facts(items: DataFrame, key: str = "meeting_id") -> DataFrame:
     """Per meeting the fact block: sections in their order, items in source order; closed sessions are left out."""
     order = F.array_position(F.array(*map(F.lit, C.SECTION_ORDER)), F.col("section"))
-    shown = items.where("item.item_type != 'closed_session'").withColumn("section", section_of(F.col("item.item_type"))).withColumn("block", rendered_item(F.col("item.item_number")))
-    per_section = shown.groupBy(key, "section").agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("l")).withColumn("body", F.concat(F.lit("## "), F.col("section"), F.lit("\n\n"), F.array_join(F.transform("l", lambda x: x["block"]), "\n\n")))
-    blocks = per_section.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "body"))).alias("l")).select(key, F.array_join(F.transform("l", lambda x: x["body"]), "\n\n").alias("facts"))
-    return items.select(key).distinct().join(blocks, key, "left").withColumn("facts", F.coalesce("facts", F.lit(C.EMPTY_FACTS)))
+    shown = F.col(key).isNotNull() & (F.col("item.item_type") != "closed_session")
+    # rows of items that are not shown keep their meeting in the grouping; one shuffle by the key serves both groupings
+    rows = items.select(key, "pos", F.when(shown, section_of(F.col("item.item_type"))).alias("section"), F.when(shown, rendered_item(F.col("item.item_number"))).alias("block")).repartition(F.col(key))
+    per_section = rows.groupBy(key, "section").agg(F.array_sort(F.collect_list(F.when(F.col("section").isNotNull(), F.struct("pos", "block")))).alias("l")).withColumn("body", F.concat(F.lit("## "), F.col("section"), F.lit("\n\n"), F.array_join(F.transform("l", lambda x: x["block"]), "\n\n")))
+    blocks = per_section.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("section").isNotNull(), F.struct(order.alias("o"), "body")))).alias("l"))
+    return blocks.select(key, F.coalesce(not_empty(F.array_join(F.transform("l", lambda x: x["body"]), "\n\n")), F.lit(C.EMPTY_FACTS)).alias("facts"))
 
 
 def template_digest(facts: DataFrame, meetings: DataFrame, key: str = "meeting_id") -> DataFrame:
-    """A digest from facts alone, without a model: a title, an overview line, the fact block."""
-    df = facts.join(meetings, key)
+    """A digest from facts alone, without a model: a title, an overview line, the fact block.
+
+    Neither side is small: Spark's estimates of texts and compressed files would send one of them through the driver.
+    """
+    df = facts.join(meetings.hint("merge"), key)
     title = F.concat(F.lit("# "), F.coalesce("jurisdiction", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")), F.lit(", "), F.coalesce("date", F.lit("")))
     return df.select(key, F.concat(title, F.lit("\n\n## Overview\n\nFacts of one meeting, by section.\n\n"), F.col("facts")).alias("digest_markdown"))

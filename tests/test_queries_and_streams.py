@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from ledgerline.functions import constants as C
 from ledgerline.operators.health import FLOATS
 from ledgerline.plans import catalogue, operator_queries
 from ledgerline.streaming import facts as streams
@@ -56,6 +57,19 @@ def test_streams(spark, tmp_path):
     assert row.facts == 2 and row.hallucination_rate == 0.5 and json.dumps(row.mean_confidence) == "0.75"
 
 
+def test_template_digests_send_no_texts_through_the_driver(spark, tmp_path):
+    """Meetings with shown items, with closed sessions alone and without a key; no side of a join is broadcast, however small it seems."""
+    orders = [(k, c, 5.0, "1-URGENT") for k, c in [(12, 1), (3, 1), (2, 1), (4, 1), (31, 2), (5, None)]]  # 12 and 3: reports, 2: action, 4 and 31: closed sessions
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, "a", "b"), (2, "c", "d"), (3, "e", "f")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    facts = {r.meeting_id: r.facts for r in operator_queries.rendered(spark, str(tmp_path)).collect()}
+    block = "Item {}: 1-URGENT\n  - Person: Clerk Roe (staff)\n  - Amount: $5 (contract) = $5".format
+    assert facts == {1: f"## Other Actions\n\n{block(2)}\n\n## Reports\n\n{block(3)}\n\n{block(12)}", 2: C.EMPTY_FACTS, None: C.EMPTY_FACTS}
+    got = operator_queries.template_digests(spark, str(tmp_path))
+    assert {r.meeting_id for r in got.collect()} == {1, 2}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_style_findings_of_all_rules(spark, tmp_path):
     long = "The council approved $5 for you of course " + "considerable administrative reorganization " * 60 + "today."
     spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
