@@ -23,12 +23,12 @@ _BLANK = r"[\s\x1c-\x1f]"
 
 def stripped(text: Column) -> Column:
     """Without whitespace of any kind at either end; '' for NULL."""
-    return F.regexp_replace(or_empty(text), rf"(?U)^{_BLANK}+|{_BLANK}+\z", "")
+    return F.regexp_extract(or_empty(text), rf"(?sU)\A{_BLANK}*+(.*[^\s\x1c-\x1f])", 1)  # back from the end, not at every blank
 
 
 def lines(text: Column) -> Column:
     """The lines of a text, at every kind of line break."""
-    return F.split(or_empty(text), r"\R|[\x1c-\x1e]")
+    return F.split(F.regexp_replace(or_empty(text), r"\R|[\x1c-\x1e]", "\n"), "\n")  # split would compile the pattern for every text
 
 
 def normalize(text: Column) -> Column:
@@ -51,14 +51,20 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    return F.regexp_count(or_empty(text), F.lit(r"(?U)[^\s\x1c-\x1f]+"))
+
+
+def more_words_than(text: Column, n: int) -> Column:
+    """Whether the text has more than n words; looks no further than the one after the nth."""
+    return or_empty(text).rlike(rf"(?U)\A{_BLANK}*+(?:[^\s\x1c-\x1f]++{_BLANK}++){{{n}}}[^\s\x1c-\x1f]")
 
 
 def sentences(text: Column) -> Column:
     """Sentences of the lines that are neither blank nor headings; a listed abbreviation ends none."""
-    no_abbreviation = "".join(rf"(?<!\b{a}\.)" for a in C.ABBREVIATIONS)
+    no_abbreviation = "".join(rf"(?<!\b{a}\.\s)" for a in C.ABBREVIATIONS)
+    ends = rf"(?U)\s(?<=[.!?]\s){no_abbreviation}\s*"  # the blank first, as most places have none; a line has no \n of its own
     kept = F.filter(F.transform(lines(text), stripped), lambda x: (x != "") & ~x.startswith("#"))
-    return F.filter(F.flatten(F.transform(kept, lambda x: F.split(x, rf"(?U)(?<=[.!?]){no_abbreviation}\s+"))), lambda s: s != "")
+    return F.filter(F.flatten(F.transform(kept, lambda x: F.split(F.regexp_replace(x, ends, "\n"), "\n"))), lambda s: s != "")
 
 
 def paragraphs(text: Column) -> Column:
@@ -68,7 +74,8 @@ def paragraphs(text: Column) -> Column:
 
 def snippet(text: Column, limit: int = C.SNIPPET_CHARS) -> Column:
     clean = F.when(text.isNotNull(), stripped(text))
-    return F.when(F.char_length(clean) > limit, F.concat(F.regexp_replace(F.left(clean, F.lit(limit)), rf"(?U){_BLANK}+\z", ""), F.lit("..."))).otherwise(clean)
+    cut = lambda c: F.when(F.char_length(c) > limit, F.concat(F.regexp_replace(F.left(c, F.lit(limit)), rf"(?U){_BLANK}+\z", ""), F.lit("..."))).otherwise(c)
+    return F.get(F.transform(F.array(clean), cut), F.lit(0))  # so that it is stripped once
 
 
 def context_snippet(document: Column, span: Column, radius: int = C.CONTEXT_RADIUS) -> Column:
@@ -91,17 +98,22 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.lit(1), n - F.when(low.endswith("e") & (n > 1), 1).otherwise(0))
 
 
-def reading_grade(text: Column) -> Column:
+def reading_grade(text: Column, split: Column | None = None) -> Column:
     """Flesch-Kincaid grade; 0 without words or sentences. Words count in headings too, sentences do not.
 
-    Syllables of all words at once: vowel clusters, and one for each word without any, less the silent e of words with
-    two clusters or more.
+    Syllables of all words at once: one for each word, and one for each further vowel cluster of it, less the silent e.
+    split: the text's sentences, where they are at hand.
     """
     many = lambda pattern: F.regexp_count(or_empty(text), F.lit(pattern))
-    n, s = many("[A-Za-z']+"), F.size(sentences(text))
-    no_vowel = "[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ']"
-    syl = many("[aeiouyAEIOUY]+") + many(rf"(?<![A-Za-z']){no_vowel}++(?![A-Za-z'])") - many(rf"(?<![A-Za-z']){no_vowel}*+[aeiouyAEIOUY]++{no_vowel}[A-Za-z']*+(?<=[eE])")
-    return F.when((n == 0) | (s == 0), F.lit(0.0)).otherwise(F.lit(0.39) * (n / s) + F.lit(11.8) * (syl / n) - F.lit(15.59))
+    vowel, no_vowel = "[aeiouyAEIOUY]", "[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ']"
+    more = many(rf"{vowel}{no_vowel}++(?={vowel})(?!{vowel}++(?<=[eE])(?![A-Za-z']))")
+    counts = F.struct(many("[A-Za-z']+").alias("n"), more.alias("more"), F.size(sentences(text) if split is None else split).alias("s"))
+
+    def grade(c: Column) -> Column:
+        syl = c["n"] + c["more"]
+        return F.when((c["n"] == 0) | (c["s"] == 0), F.lit(0.0)).otherwise(F.lit(0.39) * (c["n"] / c["s"]) + F.lit(11.8) * (syl / c["n"]) - F.lit(15.59))
+
+    return F.get(F.transform(F.array(counts), grade), F.lit(0))  # so that each is counted once
 
 
 def headings(text: Column) -> Column:
@@ -121,7 +133,7 @@ def has_amount(text: Column) -> Column:
 
 
 def has_outcome_verb(text: Column) -> Column:
-    return F.exists(F.array(*map(F.lit, C.OUTCOME_VERBS)), lambda v: F.contains(F.lower(text), v))
+    return F.lower(text).rlike("|".join(C.OUTCOME_VERBS))
 
 
 def verified(source_text: Column, document: Column) -> Column:

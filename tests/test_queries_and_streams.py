@@ -77,3 +77,9 @@ def test_style_findings_of_all_rules(spark, tmp_path):
     assert rows == {("1", rule, s): n for rule, s, n in [
         ("missing_header", "high", 1), ("missing_overview", "high", 1), ("missing_citation", "high", 1), ("banned_construction", "medium", 2),
         ("paragraph_too_long", "low", 1), ("sentence_too_long", "low", 1), ("reading_level", "low", 1)]} | {("2", "section_order", "medium"): 1}
+
+
+def test_style_findings_read_each_text_once(spark, tmp_path):
+    spark.createDataFrame([(1, "One."), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = catalogue.queries()["style_findings"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
