@@ -119,3 +119,8 @@ def test_other_fixture_cases(spark):
     assert pairs[("c1", "people", "gold", 0)] == 0 and pairs[("c1", "people", "gold", 1)] is None and pairs[("c2", "amounts", "gold", 0)] == 0 and pairs[("c2", "amounts", "pred", 1)] is None
     best = H.resolved_category(spark.createDataFrame(fixtures.CATEGORIES, "wanted string, category string, category_id string, pos int"), F.col("wanted"), ("wanted",)).collect()
     assert {(r.wanted, r.category_id) for r in best} == set(fixtures.CATEGORY_ANSWERS)
+
+
+def test_first_references_with_an_empty_name(spark):
+    texts = spark.createDataFrame([(1, "Smith. Mayor Smith.", [("", "mayor"), ("A Smith", "mayor")])], "text_id long, text string, people array<struct<raw_name:string,role:string>>")
+    assert [r.excerpt for r in style.first_references(texts).collect()] == ["A Smith"]
